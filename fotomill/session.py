@@ -59,18 +59,29 @@ def salted_lookup(
 
 
 def hot_split_join(
-    big: DataFrame, small: DataFrame, key: str, count_col: str, total: int, how: str = "inner", parts: int = 500
+    big: DataFrame,
+    small: DataFrame,
+    key: str,
+    count_col: str,
+    total: int,
+    spread: Column,
+    how: str = "inner",
+    counts: DataFrame | None = None,
+    parts: int = 500,
+    salts: int = 32,
 ) -> DataFrame:
     """Equi-join of `big` with `small` (unique keys), which carries in `count_col` how many rows of `big` have the key.
 
-    Keys holding more than a `parts`-th of `total` rows of `big` are at most `parts` in number; these
-    few rows of `small` are broadcast, all other keys are joined by shuffle, and none of those can
-    fill a task. `count_col` is dropped. how: "inner" or "left".
+    Keys held by more than a `parts`-th of `total` rows are few, whatever the size; these key values alone are
+    broadcast. Their rows are spread over `salts` tasks by `spread`, and their rows of `small` repeated as often; every
+    other key meets in one task. `count_col` is dropped. how: "inner" or "left". counts: a cheaper source of
+    (key, count_col) than `small`.
     """
-    hot_at = max(1000, total // parts)
-    hot = small.filter(F.col(count_col) > hot_at).drop(count_col)
-    cold = small.filter(F.coalesce(F.col(count_col), F.lit(0)) <= hot_at).drop(count_col)
-    hot_keys = hot.select(key)
-    first = big.join(F.broadcast(hot), key, "inner")
-    rest = big.join(F.broadcast(hot_keys), key, "left_anti").join(cold, key, how)
-    return first.unionByName(rest)
+    s, hot_at = "__salt", max(1000, total // parts)
+    hot = F.coalesce(F.col(count_col) > hot_at, F.lit(False))
+    hot_keys = (small if counts is None else counts).filter(hot).select(key, F.lit(True).alias("__hot"))
+    left = big.join(F.broadcast(hot_keys), key, "left")
+    left = left.withColumn(s, F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
+    all_salts = F.array(*[F.lit(i) for i in range(salts)])
+    right = small.withColumn(s, F.explode(F.when(hot, all_salts).otherwise(F.array(F.lit(0))))).drop(count_col)
+    return left.join(right, [key, s], how).drop(s)
