@@ -1,6 +1,6 @@
 """Problem 8: items put into containers of fixed capacity, by swap-based local search.
 
-Each shard of items is first packed as it comes (best fit), then improved: items of the least filled
+Each shard of items is first packed largest first (best fit), then improved: items of the least filled
 container are moved to others, exchanged one for one, or two for one, whatever raises the sum of squared fills most,
 until containers empty and no exchange helps, or no container can be saved.
 """
@@ -22,7 +22,9 @@ def pack(sizes: np.ndarray, capacity: int, max_passes: int = 50) -> np.ndarray:
     """
     n = len(sizes)
     sizes = sizes.astype(np.int64)
-    bin_of = _best_fit(sizes, capacity)
+    largest_first = np.argsort(-sizes, kind="stable")
+    bin_of = np.empty(n, np.int64)
+    bin_of[largest_first] = _best_fit(sizes[largest_first], capacity)
     fill = np.bincount(bin_of, weights=sizes).astype(np.int64) if n else np.zeros(0, np.int64)
     least = -(-int(sizes.sum()) // capacity)
     for _ in range(max_passes):
