@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from fotomill.llm.tokens import TOKENIZER, encoder
 
-#: Strength of a boundary: the end of a paragraph, line, sentence or word, or none but between two whole characters.
-PARAGRAPH, LINE, SENTENCE, WORD, NONE, BROKEN = 4, 3, 2, 1, 0, -1
-KINDS = {PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", WORD: "word", NONE: "none"}
+#: Strength of a boundary: the end of a paragraph, line, sentence or word before a space, the end of a word beside a mark,
+#: or none but between two whole characters.
+PARAGRAPH, LINE, SENTENCE, WORD, MARK, NONE, BROKEN = 5, 4, 3, 2, 1, 0, -1
+KINDS = {PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", WORD: "word", MARK: "word", NONE: "none"}
 
 
 @lru_cache(maxsize=2)
@@ -28,6 +29,7 @@ def _features(path: str):
     n = enc.max_token_value + 1
     pure, starts, whole = np.zeros(n, bool), np.zeros(n, bool), np.ones(n, bool)
     newlines, ends, wide = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+    size, first, last = np.zeros(n, np.int64), np.zeros(n, "U1"), np.zeros(n, "U1")
     for b in enc.token_byte_values():
         i = enc.encode_single_token(b)
         text = b.decode("utf-8", "replace")
@@ -37,15 +39,15 @@ def _features(path: str):
         newlines[i] = text.replace("\r\n", "\n").replace("\r", "\n").count("\n")
         ends[i] = text.rstrip("\"')]}*_»”’")[-1:] in tuple(".!?…;:") and not text[-1].isspace()
         wide[i] = text[-1] in "。！？"
-    size = np.array([0] * n)
-    for b in enc.token_byte_values():
-        size[enc.encode_single_token(b)] = len(b)
-    return pure, starts, whole, newlines, ends, wide, size
+        # a letter or digit, a mark, or neither: a space or a part of a character
+        first[i], last[i] = (" " if c.isspace() or c == "\ufffd" else "a" if c.isalnum() else "!" for c in (text[0], text[-1]))
+        size[i] = len(b)
+    return pure, starts, whole, newlines, ends, wide, first, last, size
 
 
 def boundary_strengths(ids: np.ndarray, path: str) -> np.ndarray:
     """The strength of the boundary before each token, and of the text's end: len(ids) + 1 values."""
-    pure, starts, whole, newlines, ends, wide, _ = _features(path)
+    pure, starts, whole, newlines, ends, wide, first, last, _ = _features(path)
     out = np.full(len(ids) + 1, NONE)
     out[0] = out[-1] = PARAGRAPH
     if len(ids) < 2:
@@ -57,6 +59,7 @@ def boundary_strengths(ids: np.ndarray, path: str) -> np.ndarray:
     before = np.maximum.accumulate(np.where(pure[ids], -1, k))
     run = np.where(pure[ids], total - np.where(before >= 0, total[before], 0), 0)[:-1]
     inner = out[1:-1]
+    inner[((last[a] == "a") & (first[b] == "!")) | ((last[a] == "!") & (first[b] == "a"))] = MARK
     word_end = ~pure[a] & starts[b]
     inner[word_end] = WORD
     inner[word_end & ends[a]] = SENTENCE
@@ -90,12 +93,12 @@ def split_points(strength: np.ndarray, limit: int, overlap: int, pieces: int | N
                 return None
             near = max(16, limit // 8)
             end = _strongest(strength, max(lo, target - near), min(hi, target + near), target)
-            if end is None or strength[end] < WORD:
+            if end is None or strength[end] <= NONE:
                 wider = _strongest(strength, lo, hi, target)
                 end = wider if wider is not None and (end is None or strength[wider] > strength[end]) else end
             if end is None:
                 return None
-            if strength[end] < WORD and pieces_could_help(strength, start + overlap + 1, lo):
+            if strength[end] <= NONE and pieces_could_help(strength, start + overlap + 1, lo):
                 return None
         out.append((start, end))
         if i < k - 1:
@@ -105,7 +108,7 @@ def split_points(strength: np.ndarray, limit: int, overlap: int, pieces: int | N
 
 def pieces_could_help(strength: np.ndarray, first: int, lo: int) -> bool:
     """Whether a shorter piece would find a natural end."""
-    return bool((strength[first:lo] >= WORD).any())
+    return bool((strength[first:lo] > NONE).any())
 
 
 def _strongest(strength: np.ndarray, lo: int, hi: int, target: int) -> int | None:
@@ -124,7 +127,7 @@ def _start(strength: np.ndarray, end: int, overlap: int, last_start: int) -> int
     """Where the next piece starts: `overlap` tokens before `end`, or a few fewer if a natural boundary is there."""
     first = max(end - overlap, last_start + 1, 0)
     s = strength[first : min(first + max(1, overlap // 4), end) + 1]
-    for least in (WORD, NONE):
+    for least in (WORD, MARK, NONE):
         at = np.flatnonzero(s >= least)
         if len(at):
             return first + int(at[0])

@@ -13,7 +13,7 @@ from fotomill.llm import queries
 from fotomill.llm.components import components, group_links
 from fotomill.llm.near_duplicates import Level, near_duplicate_pairs, near_duplicates, read_hash, similar_hashes
 from fotomill.llm.packing import fill_containers, pack
-from fotomill.llm.splitting import split_ids, split_texts
+from fotomill.llm.splitting import PARAGRAPH, SENTENCE, boundary_strengths, split_ids, split_texts
 from fotomill.llm.survivorship import Field, best_records, field_winners, group_of, merged_records, trust_and_decay
 from fotomill.llm.tokens import SAFE, TOKENIZER, corpus_ids, encoder, with_token_counts
 from tests.oracle import connect, duck_rows, spark_rows
@@ -257,8 +257,11 @@ def test_pieces_of_every_document(spark):
             assert r["piece"] == enc.decode(ids[r["token_start"] : r["token_end"]]) and len(enc.encode_ordinary(r["piece"])) <= 512
         for a, b in zip(rows, rows[1:], strict=False):
             assert 48 <= a["token_end"] - b["token_start"] == b["overlap_tokens"] <= 64
+            if a["cut"] == "none":  # nowhere to cut: no word ends in what is new in the piece
+                strength = boundary_strengths(np.array(ids), TOKENIZER)
+                assert (strength[a["token_start"] + 65 : a["token_start"] + 513] <= 0).all()
             cuts.append(a["cut"])
-    assert sum(c == "none" for c in cuts) < 0.02 * len(cuts)
+    assert sum(c in ("paragraph", "line", "sentence") for c in cuts) > 0.8 * len(cuts)
 
 
 @pytest.mark.parametrize(
@@ -276,9 +279,9 @@ def test_pieces_of_odd_texts(text):
         if nxt:
             assert a < nxt[0] <= b and b - nxt[0] <= 12
     if text.startswith("One"):
-        assert {g[2] for g in got[:-1]} == {4}
+        assert {g[2] for g in got[:-1]} == {PARAGRAPH}
     if text.startswith("日"):
-        assert {g[2] for g in got[:-1]} == {2}
+        assert {g[2] for g in got[:-1]} == {SENTENCE}
 
 
 def test_split_edges(spark):
