@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fotomill.operators.bursts import islands
+
 
 def day_clusters(items: DataFrame, at: str, gap_days: int = 2, by: list[str] | None = None) -> DataFrame:
     """items with event_year and cluster_no (from 1 in each year, and `by`): a cluster ends where more than gap_days calendar days
@@ -74,16 +76,11 @@ def thin_near_duplicates(items: DataFrame, group: list[str], at: str, record_id:
     """items without those within `seconds` of an item kept before, in the same group and with the same prefix.
 
     Whether an item is kept depends on the last kept one, so each run of items whose neighbours are within `seconds` is
-    folded in order; runs are found without looking at more than an hour at once, and are cut wherever the camera paused.
+    folded in order; a run ends wherever the camera paused.
     """
-    gaps = with_gap(items.withColumn("__prefix", prefix), [*group, "__prefix"], at, record_id)
-    # seconds are whole: a gap of 5.9 s is one of 5
-    gaps = gaps.withColumn("__new", (F.col("gap_micros").isNull() | (F.floor(F.col("gap_micros") / 1_000_000) > seconds)).cast("int"))
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at))
-    runs = gaps.withColumn("__t", micros)
-    w = Window.partitionBy(*group, "__prefix").orderBy("__t", record_id)
-    runs = runs.withColumn("__run", F.sum("__new").over(w))
-    folded = runs.groupBy(*group, "__prefix", "__run").agg(F.sort_array(F.collect_list(F.struct("__t", F.col(record_id).alias("i")))).alias("xs"))
+    runs = islands(items.withColumn("__prefix", prefix), [*group, "__prefix"], at, record_id, seconds).withColumn("__t", micros)
+    folded = runs.groupBy(*group, "__prefix", "island").agg(F.sort_array(F.collect_list(F.struct("__t", F.col(record_id).alias("i")))).alias("xs"))
     start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(acc, x):

@@ -1,4 +1,738 @@
-"""Queries of the photo library's own operators."""
+"""Queries of the photo library's own operators over the driver's tables, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fotomill.functions import dates, geo, hashes, media, payloads, text
+from fotomill.operators import bursts, clusters, duplicates, lifecycle, locations, naming, ordering
+from fotomill.session import table
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that must give the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _media(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "media_items")
+
+
+# -- shared pieces of SQL ----------------------------------------------------------------------------------------------
+
+_AT = r"""CASE WHEN regexp_full_match(date_taken, '\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2}|T\d{2}:\d{2}:\d{2}(\.\d+)?)') THEN try_cast(date_taken AS TIMESTAMP)
+  WHEN regexp_full_match(date_taken, '\d{4}-\d{2}-\d{2}') THEN try_cast(date_taken AS TIMESTAMP) + INTERVAL 12 HOUR END"""
+_ITEMS = f"items AS (SELECT id, filename, source_device, blur_score, perceptual_hash, {_AT} AS ts FROM media_items)"
+_CLUSTERS = f"""{_ITEMS}
+, flagged AS (SELECT *, year(ts) AS event_year, CASE WHEN ts::DATE - lag(ts::DATE) OVER w > 2 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS f
+  FROM items WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY year(ts) ORDER BY ts, id))
+, clustered AS (SELECT *, sum(f) OVER (PARTITION BY event_year ORDER BY ts, id)::INT AS cluster_no FROM flagged)"""
+_SPLIT = f"""{_CLUSTERS}
+, gaps AS (SELECT *, date_sub('second', lag(ts) OVER w, ts) AS gap, row_number() OVER w AS pos FROM clustered
+  WINDOW w AS (PARTITION BY event_year, cluster_no ORDER BY ts, id))
+, cuts AS (SELECT event_year, cluster_no, max(ts::DATE) - min(ts::DATE) AS days, max(gap) AS top FROM gaps GROUP BY ALL)
+, first_cut AS (SELECT g.event_year, g.cluster_no, min(pos) AS cut FROM gaps g JOIN cuts c USING (event_year, cluster_no) WHERE gap = top AND days > 14 GROUP BY ALL)
+, parts AS (SELECT g.*, CASE WHEN pos >= cut THEN 1 ELSE 0 END AS part_no FROM gaps g LEFT JOIN first_cut USING (event_year, cluster_no))"""
+_STATS = f"""{_SPLIT}
+, stats AS (SELECT event_year, cluster_no, part_no, count(*) AS item_count, min(ts::DATE) AS start_date, max(ts::DATE) AS end_date,
+  (max(ts::DATE) - min(ts::DATE) + 1)::BIGINT AS duration_days, count(DISTINCT ts::DATE) AS distinct_days,
+  bool_or(month(ts) = 12 AND day(ts) >= 20) AS is_holiday FROM parts GROUP BY event_year, cluster_no, part_no)"""
+_NAMES = f"""{_STATS}
+, named AS (SELECT *, event_year::VARCHAR || ' - ' || CASE WHEN is_holiday THEN 'Family Christmas' WHEN item_count < 3 THEN 'Misc' ELSE monthname(start_date) || ' Memories' END AS base_name,
+  CASE WHEN is_holiday THEN 'high' WHEN item_count < 3 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN is_holiday THEN 0 ELSE 1 END AS is_misc FROM stats)
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY event_year, lower(base_name) ORDER BY cluster_no DESC, part_no DESC) AS n FROM named)
+, folders AS (SELECT *, CASE n WHEN 1 THEN base_name WHEN 2 THEN base_name || ' (Early)' WHEN 3 THEN base_name || ' (Late)' ELSE base_name || ' ' || (n - 2)::VARCHAR END AS folder_name FROM ranked)"""
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    m = _media(spark, d)
+    return m.select("id", "filename", "source_device", "blur_score", "perceptual_hash", dates.capture_time(F.col("date_taken")).alias("at"))
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.split_long_spans(clusters.day_clusters(_items(spark, d), "at"), "at", "id")
+
+
+_GROUP = ["event_year", "cluster_no", "part_no"]
+
+
+# -- dashboard, counts and groups --------------------------------------------------------------------------------------
+
+
+@query("""SELECT count(*) AS total, count_if(status = 'indexed') AS indexed,
+ count_if(status = 'indexed' AND coalesce(image_flags, '') NOT IN ('', '[]')) AS image_review, count_if(status = 'image_reviewed') AS image_verified,
+ count_if(status = 'image_reviewed' AND date_needs_review = 1) AS date_review, count_if(date_needs_review = 1) AS date_needs_review,
+ count_if(status = 'date_verified') AS date_verified, count_if(status = 'grouped') AS grouped, count_if(status = 'filed') AS filed,
+ count_if(mime_type ILIKE 'video/%' AND status IN ('image_reviewed','video_reviewed','date_verified','excluded','grouped','filed')) AS video_total,
+ count_if(mime_type ILIKE 'video/%' AND status = 'excluded') AS video_excluded,
+ count_if(mime_type ILIKE 'video/%' AND status = 'image_reviewed' AND (coalesce(file_size, 0) <= 5242880 OR coalesce(duration_secs, 0) <= 10)) AS video_flagged
+ FROM media_items""")
+def dashboard_counts(spark, d):
+    """All counters in one pass."""
+    s, video = F.col("status"), F.col("mime_type").ilike("video/%")
+    flags = F.coalesce("image_flags", F.lit(""))
+    low = (F.coalesce("file_size", F.lit(0)) <= 5 * 1024 * 1024) | (F.coalesce("duration_secs", F.lit(0.0)) <= 10)
+    counted = {
+        "indexed": s == "indexed", "image_review": (s == "indexed") & ~flags.isin("", "[]"), "image_verified": s == "image_reviewed",
+        "date_review": (s == "image_reviewed") & (F.col("date_needs_review") == 1), "date_needs_review": F.col("date_needs_review") == 1,
+        "date_verified": s == "date_verified", "grouped": s == "grouped", "filed": s == "filed",
+        "video_total": video & s.isin("image_reviewed", "video_reviewed", "date_verified", "excluded", "grouped", "filed"),
+        "video_excluded": video & (s == "excluded"), "video_flagged": video & (s == "image_reviewed") & low,
+    }
+    return _media(spark, d).agg(F.count("*").alias("total"), *[F.count_if(c).alias(k) for k, c in counted.items()])
+
+
+@query("""SELECT g.id AS group_id, g.item_count AS recorded, count(m.id) AS item_count FROM event_groups g
+ LEFT JOIN media_items m ON m.event_group_id = g.id AND m.status <> 'excluded' GROUP BY ALL""")
+def group_item_counts(spark, d):
+    g = table(spark, d, "event_groups").select(F.col("id").alias("group_id"), F.col("item_count").alias("recorded"))
+    return lifecycle.with_counts(g, _media(spark, d), "group_id", "event_group_id", F.col("status") != "excluded", "item_count")
+
+
+@query("SELECT DISTINCT event_group_id FROM media_items WHERE event_group_id IS NOT NULL AND id IN (SELECT media_item_id FROM date_estimate)")
+def distinct_groups(spark, d):
+    """Groups touched by a set of items."""
+    ids = table(spark, d, "date_estimate").select(F.col("media_item_id").alias("id"))
+    return _media(spark, d).join(ids, "id", "left_semi").filter("event_group_id IS NOT NULL").select("event_group_id").distinct()
+
+
+@query("""SELECT event_group_id, try_cast(substr(arg_min(date_taken, (date_taken, id)), 1, 4) AS INT) AS event_year FROM media_items
+ WHERE event_group_id IS NOT NULL AND try_cast(substr(date_taken, 1, 4) AS INT) IS NOT NULL AND regexp_full_match(substr(date_taken, 1, 4), '\\d{4}') GROUP BY 1""")
+def group_years(spark, d):
+    """Year of the first dated item of each group."""
+    year = F.when(F.substring("date_taken", 1, 4).rlike(r"^\d{4}$"), F.substring("date_taken", 1, 4).try_cast("int"))
+    m = _media(spark, d).withColumn("y", year).filter("y IS NOT NULL AND event_group_id IS NOT NULL")
+    return m.groupBy("event_group_id").agg(F.min_by("y", F.struct("date_taken", "id")).alias("event_year"))
+
+
+@query("""SELECT lower(trim(burst_group_id)) AS burst, list(id ORDER BY date_taken NULLS FIRST, id) AS ids FROM media_items
+ WHERE status <> 'excluded' AND trim(burst_group_id) <> '' GROUP BY 1""")
+def burst_listing(spark, d):
+    """Members of each burst in order; a burst is as small as a camera's series."""
+    b = F.lower(F.trim("burst_group_id"))
+    m = _media(spark, d).filter((F.col("status") != "excluded") & (b != "")).select(b.alias("burst"), "date_taken", "id")
+    xs = F.sort_array(F.collect_list(F.struct(F.col("date_taken").alias("t"), F.col("id").alias("i"))))
+    return m.groupBy("burst").agg(F.transform(xs, lambda x: x["i"]).alias("ids"))
+
+
+@query("""SELECT lower(trim(burst_group_id)) AS burst, arg_max(id, (coalesce(CASE WHEN isnan(blur_score) THEN NULL ELSE blur_score END, 0.0), id)) AS primary_id
+ FROM media_items WHERE trim(burst_group_id) <> '' GROUP BY 1""")
+def burst_primaries(spark, d):
+    """The sharpest of each burst, of equals the last."""
+    b = F.lower(F.trim("burst_group_id"))
+    score = F.coalesce(F.when(~F.isnan("blur_score"), F.col("blur_score")), F.lit(0.0))
+    m = _media(spark, d).select(F.when(b != "", b).alias("burst"), "id", score.alias("score"))
+    return bursts.best_of_groups(m, "burst", "id", ["score"]).withColumnRenamed("id", "primary_id")
+
+
+@query("""SELECT mime_type, round(avg(b), 4) AS mean_blur, round(var_pop(b), 2) AS var_blur, round(stddev_pop(e), 4) AS std_exposure, round(avg(CASE WHEN e <= 90 THEN 1.0 ELSE 0.0 END), 6) AS dark_share
+ FROM (SELECT lower(mime_type) AS mime_type, CASE WHEN NOT isnan(blur_score) AND blur_score >= 0 THEN blur_score END AS b, exposure_mean AS e FROM media_items WHERE exposure_mean IS NOT NULL AND NOT isnan(exposure_mean)) GROUP BY 1""")
+def score_moments(spark, d):
+    m = _media(spark, d).filter("exposure_mean IS NOT NULL AND NOT isnan(exposure_mean)")
+    b = F.when(~F.isnan("blur_score") & (F.col("blur_score") >= 0), F.col("blur_score"))
+    m = m.select(F.lower("mime_type").alias("mime_type"), b.alias("b"), F.col("exposure_mean").alias("e"))
+    return m.groupBy("mime_type").agg(
+        F.round(F.avg("b"), 4).alias("mean_blur"), F.round(F.var_pop("b"), 2).alias("var_blur"), F.round(F.stddev_pop("e"), 4).alias("std_exposure"),
+        F.round(F.avg(F.when(F.col("e") <= 90, 1.0).otherwise(0.0)), 6).alias("dark_share"),
+    )
+
+
+@query("""SELECT status, count_if(coalesce(image_flags, '[]') NOT IN ('', '[]')) AS flagged, count_if(coalesce(image_flags, '[]') IN ('', '[]')) AS unflagged FROM media_items GROUP BY 1""")
+def flag_counts(spark, d):
+    empty = F.coalesce("image_flags", F.lit("[]")).isin("", "[]")
+    return _media(spark, d).groupBy("status").agg(F.count_if(~empty).alias("flagged"), F.count_if(empty).alias("unflagged"))
+
+
+# -- queues, filters and views -----------------------------------------------------------------------------------------
+
+_FLAGS_SQL = "CASE WHEN json_valid(image_flags) AND json_type(image_flags) = 'ARRAY' THEN from_json(image_flags, '[\"VARCHAR\"]') ELSE [] END"
+
+
+@query("""WITH j AS (SELECT id, filename, CASE WHEN json_valid(ai_date_estimate_raw) THEN ai_date_estimate_raw END AS e FROM media_items WHERE date_needs_review = 1)
+ SELECT id, filename, e ->> '$.ai_date' AS ai_date, CASE WHEN json_type(e, '$.confidence') IN ('DOUBLE','UBIGINT','BIGINT') THEN (e ->> '$.confidence')::DOUBLE ELSE 0.0 END AS confidence,
+ coalesce(e ->> '$.reasoning', 'Awaiting AI estimation') AS reasoning FROM j""")
+def date_review_queue(spark, d):
+    e = payloads.date_estimate(F.col("ai_date_estimate_raw"))
+    return _media(spark, d).filter("date_needs_review = 1").select("id", "filename", e.alias("e")).select("id", "filename", "e.*").orderBy("id")
+
+
+@query(f"SELECT id, filename, {_FLAGS_SQL} AS flags FROM media_items WHERE mime_type ILIKE 'image/%' AND status IN ('indexed', 'image_reviewed')")
+def image_review_queue(spark, d):
+    m = _media(spark, d).filter(F.col("mime_type").ilike("image/%") & F.col("status").isin("indexed", "image_reviewed"))
+    return m.orderBy(F.asc_nulls_first("date_taken"), "id").select("id", "filename", payloads.string_list(F.col("image_flags")).alias("flags"))
+
+
+@query("""SELECT id, coalesce(file_size, 0) AS file_size, coalesce(duration_secs, 0.0) AS duration_secs FROM media_items
+ WHERE mime_type ILIKE 'video/%' AND status IN ('image_reviewed', 'video_reviewed')""")
+def video_review_queue(spark, d):
+    m = _media(spark, d).filter(F.col("mime_type").ilike("video/%") & F.col("status").isin("image_reviewed", "video_reviewed"))
+    m = m.orderBy(F.asc_nulls_first("date_taken"), "id")
+    return m.select("id", F.coalesce("file_size", F.lit(0)).alias("file_size"), F.coalesce("duration_secs", F.lit(0.0)).alias("duration_secs"))
+
+
+@query("""SELECT 'size' AS mode, id FROM media_items WHERE mime_type ILIKE 'video/%' AND status <> 'excluded' AND file_size <= 20971520
+ UNION ALL SELECT 'duration', id FROM media_items WHERE mime_type ILIKE 'video/%' AND status <> 'excluded' AND duration_secs <= 15""")
+def video_threshold_views(spark, d):
+    """Short or small videos, by either mode, smallest first."""
+    v = _media(spark, d).filter(F.col("mime_type").ilike("video/%") & (F.col("status") != "excluded"))
+    size = v.filter(F.col("file_size") <= 20 * 1024 * 1024).orderBy("file_size").select(F.lit("size").alias("mode"), "id")
+    return size.unionByName(v.filter(F.col("duration_secs") <= 15).orderBy("duration_secs").select(F.lit("duration").alias("mode"), "id"))
+
+
+@query(f"""WITH v AS (SELECT id, {_FLAGS_SQL} AS f, duplicate_group_id AS dup, burst_group_id AS b FROM media_items WHERE status <> 'excluded' AND mime_type ILIKE 'image/%')
+ SELECT id, len(f) > 0 AS flagged, dup IS NOT NULL AS duplicate, list_contains(f, 'screenshot_or_meme') AS screenshot, b IS NOT NULL AS burst FROM v""")
+def image_view_modes(spark, d):
+    m = _media(spark, d).filter((F.col("status") != "excluded") & F.col("mime_type").ilike("image/%"))
+    f = payloads.string_list(F.col("image_flags"))
+    return m.select(
+        "id", (F.size(f) > 0).alias("flagged"), F.col("duplicate_group_id").isNotNull().alias("duplicate"),
+        F.array_contains(f, "screenshot_or_meme").alias("screenshot"), F.col("burst_group_id").isNotNull().alias("burst"),
+    )
+
+
+@query("""SELECT id, blur_score BETWEEN 40 AND 60 AS borderline, coalesce(screenshot_heuristic >= 0.6 AND NOT isnan(screenshot_heuristic), false) AS screenshot_candidate, coalesce(file_size, 0) AS file_size
+ FROM media_items WHERE mime_type ILIKE 'image/%' AND blur_score IS NOT NULL AND NOT isnan(blur_score)""")
+def scan_candidates(spark, d):
+    """Images with a blur score: whether it is borderline, and whether they may be screenshots."""
+    m = _media(spark, d).filter(F.col("mime_type").ilike("image/%") & F.col("blur_score").isNotNull() & ~F.isnan("blur_score"))
+    shot = F.coalesce((F.col("screenshot_heuristic") >= 0.6) & ~F.isnan("screenshot_heuristic"), F.lit(False))
+    return m.select("id", F.col("blur_score").between(50 * 0.8, 50 * 1.2).alias("borderline"), shot.alias("screenshot_candidate"), F.coalesce("file_size", F.lit(0)).alias("file_size"))
+
+
+@query("SELECT a.id, a.group_name FROM event_groups a WHERE EXISTS (SELECT 1 FROM event_groups b WHERE lower(trim(a.group_name)) = lower(trim(b.group_name)) AND a.id <> b.id)")
+def name_exists(spark, d):
+    """Groups whose name another group has; counted per name, so that a common name is no quadratic join."""
+    g = table(spark, d, "event_groups").select("id", "group_name", text.normalise_name(F.col("group_name")).alias("k"))
+    shared = g.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("k")
+    return g.join(shared, "k", "left_semi").select("id", "group_name")
+
+
+@query("SELECT id, date_taken FROM media_items WHERE date_taken IS NULL OR trim(date_taken) = '' OR starts_with(date_taken, '1970:01:01') OR starts_with(date_taken, '0000:00:00')")
+def invalid_dates(spark, d):
+    t = F.col("date_taken")
+    return _media(spark, d).filter(t.isNull() | (F.trim(t) == "") | dates.is_invalid_date(t)).select("id", "date_taken")
+
+
+@query("""SELECT id, CASE WHEN event_group_id IS NOT NULL THEN 'grouped' WHEN mime_type ILIKE 'video/%' THEN 'image_reviewed' ELSE 'indexed' END AS restored FROM media_items WHERE status = 'excluded'""")
+def restore_status(spark, d):
+    to = F.when(F.col("event_group_id").isNotNull(), "grouped").when(F.col("mime_type").ilike("video/%"), "image_reviewed").otherwise("indexed")
+    return _media(spark, d).filter("status = 'excluded'").select("id", to.alias("restored"))
+
+
+@query("""SELECT action_name, CASE WHEN action_name IN ('queued','indexed','image_reviewed','video_reviewed','date_verified','grouped','filed','excluded') THEN action_name
+ WHEN action_name IN ('downloading','downloaded','metadata_extracted','date_review_pending','error') THEN 'indexed' ELSE 'queued' END AS status, count(*) AS n FROM audit_log GROUP BY ALL""")
+def status_remap(spark, d):
+    a = table(spark, d, "audit_log")
+    return a.groupBy("action_name", text.remap_status(F.col("action_name")).alias("status")).agg(F.count("*").alias("n"))
+
+
+# -- joins, listings and pages -----------------------------------------------------------------------------------------
+
+
+@query("""SELECT m.id, 'organized/' || g.event_year::VARCHAR || '/' || g.folder_name || '/' || CASE WHEN row_number() OVER (PARTITION BY g.event_year, g.folder_name, m.filename ORDER BY m.id) > 1
+ THEN m.id::VARCHAR || '_' ELSE '' END || m.filename AS target_path FROM media_items m JOIN event_groups g ON g.id = m.event_group_id WHERE m.status = 'grouped'""")
+def target_paths(spark, d):
+    """Where grouped items are filed; equal names in a folder are told apart."""
+    g = table(spark, d, "event_groups").select(F.col("id").alias("event_group_id"), F.col("event_year").alias("y"), "folder_name")
+    m = _media(spark, d).filter("status = 'grouped'").select("id", "filename", "event_group_id").join(g, "event_group_id")
+    folder = F.concat(F.lit("organized/"), F.col("y").cast("string"), F.lit("/"), F.col("folder_name"))
+    return lifecycle.target_paths(m, folder, "filename", "id").select("id", "target_path")
+
+
+@query("""WITH r AS (SELECT id, filename, row_number() OVER (PARTITION BY filename ORDER BY id) - 1 AS n FROM media_items)
+ SELECT id, CASE WHEN n = 0 THEN filename ELSE regexp_extract(filename, '^(.*?)(\\.[^.]*)?$', 1) || '_' || CASE WHEN n <= 9999 THEN n::VARCHAR ELSE 'overflow' END || regexp_extract(filename, '^(.*?)(\\.[^.]*)?$', 2) END AS unique_name FROM r""")
+def numbered_names(spark, d):
+    return lifecycle.numbered_paths(_media(spark, d).select("id", "filename"), "filename", "id").select("id", "unique_name")
+
+
+@query("SELECT id, event_year, group_name, item_count FROM event_groups")
+def group_listing(spark, d):
+    return table(spark, d, "event_groups").orderBy(F.desc("event_year"), "group_name").select("id", "event_year", "group_name", "item_count")
+
+
+@query("""WITH top AS (SELECT id AS g, row_number() OVER (ORDER BY item_count DESC, id) AS r FROM event_groups ORDER BY item_count DESC, id LIMIT 3)
+ SELECT r::INT AS group_rank, m.id FROM media_items m JOIN top ON top.g = m.event_group_id WHERE mime_type ILIKE 'image/%' ORDER BY r, date_taken NULLS FIRST, m.id LIMIT 3""")
+def top_group_pictures(spark, d):
+    """The first three pictures of the three largest groups."""
+    top = ordering.first_by_order(table(spark, d, "event_groups"), [F.desc("item_count"), F.col("id")], 3)
+    rows = [(r["id"], k + 1) for k, r in enumerate(top.select("id").collect())]  # three rows: the feature's own limit
+    ranks = spark.createDataFrame(rows, "event_group_id long, group_rank int")
+    m = _media(spark, d).filter(F.col("mime_type").ilike("image/%")).join(F.broadcast(ranks), "event_group_id")
+    return ordering.first_by_order(m, [F.col("group_rank"), F.asc_nulls_first("date_taken"), F.col("id")], 3).select("group_rank", "id")
+
+
+@query("SELECT id FROM media_items WHERE status <> 'excluded' ORDER BY coalesce(file_size, 0) DESC, id OFFSET 40 LIMIT 20")
+def page_slice(spark, d):
+    """The third page of twenty, largest files first."""
+    m = _media(spark, d).filter("status <> 'excluded'")
+    return ordering.first_by_order(m, [F.desc(F.coalesce("file_size", F.lit(0))), F.col("id")], 20, skip=40).select("id")
+
+
+@query("""SELECT event_year, greatest(1, floor(1000 / 180))::INT AS columns_n, ceil(count(*) / greatest(1, floor(1000 / 180)))::BIGINT AS rows_n,
+ (ceil(count(*) / 5.0) * 5 - count(*))::BIGINT AS empty_slots FROM event_groups GROUP BY 1""")
+def grid_layout(spark, d):
+    """Rows and empty slots of a grid 1000 pixels wide with items of 180."""
+    n, cols = F.count("*"), F.greatest(F.lit(1), F.floor(F.lit(1000 / 180)))
+    g = table(spark, d, "event_groups").groupBy("event_year").agg(cols.cast("int").alias("columns_n"), F.ceil(n / cols).alias("rows_n"), n.alias("n"))
+    return g.select("event_year", "columns_n", "rows_n", (F.col("rows_n") * F.col("columns_n") - F.col("n")).alias("empty_slots"))
+
+
+@query("""WITH s AS (SELECT id, original_path, row_number() OVER (ORDER BY original_path NULLS FIRST, id) AS n FROM media_items)
+ SELECT id, lpad(n::VARCHAR, greatest(5, length(n::VARCHAR))::INT, '0') || '-' || (SELECT filename FROM media_items m WHERE m.id = s.id) AS staged_name FROM s""")
+def staged_names(spark, d):
+    """File names numbered in path order, without sorting in one place."""
+    m = ordering.global_ordinal(_media(spark, d).select("id", "original_path", "filename"), ["original_path", "id"])
+    n = F.col("ordinal").cast("string")
+    return m.select("id", F.concat(F.when(F.length(n) >= 5, n).otherwise(F.lpad(n, 5, "0")), F.lit("-"), "filename").alias("staged_name"))
+
+
+@query("""WITH k AS (SELECT id, (date_taken, id) AS k, file_size FROM media_items WHERE date_taken IS NOT NULL)
+, ends AS (SELECT min(k) AS lo, max(k) AS hi FROM (SELECT k FROM k ORDER BY file_size DESC NULLS LAST, id LIMIT 2))
+SELECT id FROM k, ends WHERE k BETWEEN lo AND hi""")
+def range_selection(spark, d):
+    """Rows between the two largest recorded files in the order of date and id: bounds by two keys instead of numbering all rows."""
+    m = _media(spark, d).filter("date_taken IS NOT NULL").select("id", F.struct("date_taken", "id").alias("k"), "file_size")
+    ends = ordering.first_by_order(m, [F.desc_nulls_last("file_size"), F.col("id")], 2).agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    return m.join(F.broadcast(ends), (F.col("k") >= F.col("lo")) & (F.col("k") <= F.col("hi"))).select("id")
+
+
+@query("""SELECT id, CASE WHEN current_path IN (SELECT current_path FROM media_items WHERE file_size > 0) THEN current_path
+ WHEN original_path IN (SELECT current_path FROM media_items WHERE file_size > 0) THEN original_path ELSE current_path END AS resolved_path FROM media_items""")
+def resolved_paths(spark, d):
+    m = _media(spark, d)
+    listing = m.filter("file_size > 0").select("current_path")
+    return lifecycle.resolve_paths(m.select("id", "current_path", "original_path"), [F.col("current_path"), F.col("original_path")], listing).select("id", "resolved_path")
+
+
+@query("SELECT id, created_at FROM media_items WHERE created_at::TIMESTAMP BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-02-01'")
+def listed_between(spark, d):
+    from fotomill.sources.media import listed_between as between
+
+    return between(_media(spark, d).select("id", "created_at"), "created_at", "2024-01-01", "2024-02-01")
+
+
+# -- scalars -----------------------------------------------------------------------------------------------------------
+
+_EXT = r"lower(regexp_extract(filename, '[^/]\.([^./]*)$', 1))"
+
+
+@query(f"""SELECT id, {_EXT} AS ext, {_EXT} IN ('jpg','jpeg','png','heic','heif','gif','webp','bmp','tif','tiff','mp4','mov','m4v') AS supported,
+ CASE {_EXT} WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' WHEN 'heic' THEN 'image/heic' WHEN 'heif' THEN 'image/heic' WHEN 'gif' THEN 'image/gif'
+ WHEN 'webp' THEN 'image/webp' WHEN 'bmp' THEN 'image/bmp' WHEN 'tif' THEN 'image/tiff' WHEN 'tiff' THEN 'image/tiff' WHEN 'mp4' THEN 'video/mp4' WHEN 'm4v' THEN 'video/mp4' WHEN 'mov' THEN 'video/quicktime'
+ ELSE 'application/octet-stream' END AS index_mime, CASE WHEN {_EXT} IN ('jpg','jpeg') THEN 'image/jpeg' WHEN {_EXT} IN ('png','webp','gif','bmp') THEN 'image/' || {_EXT} WHEN {_EXT} IN ('tif','tiff') THEN 'image/tiff'
+ WHEN {_EXT} IN ('heic','heif') THEN 'image/heic' WHEN {_EXT} IN ('mp4','mov','m4v') THEN 'video/mp4' ELSE 'application/octet-stream' END AS display_mime,
+ {_EXT} IN ('jpg','jpeg','png') AS copyable, {_EXT} IN ('jpg','jpeg','png','webp','gif','bmp') AS renderable FROM media_items""")
+def media_types(spark, d):
+    e = text.extension(F.col("filename"))
+    return _media(spark, d).select(
+        "id", e.alias("ext"), e.isin(text.MEDIA_EXTENSIONS).alias("supported"), text.mime_of(F.col("filename")).alias("index_mime"),
+        text.mime_of(F.col("filename"), text.DISPLAY_MIME).alias("display_mime"), e.isin(text.COPYABLE).alias("copyable"), e.isin(text.RENDERABLE).alias("renderable"),
+    )
+
+
+@query(f"SELECT id, {_AT} AS taken_at FROM media_items")
+def capture_parse(spark, d):
+    return _media(spark, d).select("id", dates.capture_time(F.col("date_taken")).alias("taken_at"))
+
+
+@query("""SELECT record_id, CASE WHEN substr(create_date, 5, 1) = ':' THEN replace(substr(create_date, 1, 10), ':', '-') ELSE create_date END AS day,
+ CASE WHEN substr(create_date, 5, 1) = ':' THEN replace(substr(create_date, 1, 10), ':', '-') ELSE '2026-01-01' END AS legacy_day FROM metadata_info""")
+def exif_days(spark, d):
+    c = F.col("create_date")
+    return table(spark, d, "metadata_info").select("record_id", dates.exif_day(c).alias("day"), dates.normalised_day(c, 2026).alias("legacy_day"))
+
+
+@query(r"""SELECT id, trim(regexp_replace(ai_suggested_name, '[<>:"/\\|?*]', '-', 'g')) AS cleaned, event_year::VARCHAR || ' - ' || group_name AS with_year, lower(trim(group_name)) AS normal,
+ CASE WHEN starts_with(folder_name, event_year::VARCHAR || ' - ') THEN substr(folder_name, length(event_year::VARCHAR) + 4) ELSE folder_name END AS without_year FROM event_groups""")
+def group_names(spark, d):
+    g = table(spark, d, "event_groups")
+    return g.select(
+        "id", text.sanitize_folder_name(F.col("ai_suggested_name")).alias("cleaned"), text.with_year(F.col("group_name"), F.col("event_year")).alias("with_year"),
+        text.normalise_name(F.col("group_name")).alias("normal"), text.without_year(F.col("folder_name"), F.col("event_year")).alias("without_year"),
+    )
+
+
+@query(r"SELECT id, regexp_replace(regexp_replace(lower(filename), '\.[^.]*$', ''), '[0-9_\- ]+$', '') AS prefix FROM media_items")
+def filename_prefixes(spark, d):
+    return _media(spark, d).select("id", text.filename_prefix(F.col("filename")).alias("prefix"))
+
+
+@query("""SELECT id, CASE WHEN file_size >= 1048576 THEN printf('%.1f', file_size / 1048576.0) || ' MB' WHEN file_size >= 1024 THEN floor(file_size / 1024.0 + 0.5)::BIGINT::VARCHAR || ' KB' ELSE file_size::VARCHAR || ' B' END AS size_label,
+ floor(greatest(0, floor(duration_secs + 0.5)) / 60)::BIGINT::VARCHAR || ':' || lpad((greatest(0, floor(duration_secs + 0.5))::BIGINT % 60)::VARCHAR, 2, '0') AS duration_label
+ FROM media_items WHERE duration_secs IS NOT NULL AND NOT isnan(duration_secs)""")
+def size_labels(spark, d):
+    m = _media(spark, d).filter("duration_secs IS NOT NULL AND NOT isnan(duration_secs)")
+    return m.select("id", text.format_bytes(F.col("file_size")).alias("size_label"), text.format_duration(F.col("duration_secs")).alias("duration_label"))
+
+
+_HASH_SQL = r"""digits AS (SELECT id, burst_group_id, regexp_replace(regexp_replace(lower(perceptual_hash), '[\s-]', '', 'g'), '^0x', '') AS x FROM media_items)
+, hashed AS (SELECT id, burst_group_id AS burst, ('0x' || x)::UBIGINT AS h FROM digits WHERE regexp_full_match(x, '[0-9a-f]{1,16}') AND lpad(x, 16, '0') <> repeat(left(lpad(x, 16, '0'), 1), 16))"""
+
+
+@query(f"WITH {_HASH_SQL} SELECT id, lpad(lower(to_hex(h)), 16, '0') AS hash, (h >> 48)::BIGINT AS bucket, bit_count(h)::INT AS bits FROM hashed")
+def hash_forms(spark, d):
+    m = _media(spark, d).select("id", hashes.read_hash(F.col("perceptual_hash")).alias("h")).filter("h IS NOT NULL")
+    return m.select("id", hashes.write_hash(F.col("h")).alias("hash"), hashes.prefix_bucket(F.col("h")).alias("bucket"), F.bit_count("h").alias("bits"))
+
+
+@query("""SELECT id, CASE WHEN json_valid(image_flags) AND json_type(image_flags) = 'ARRAY' THEN list_filter(list_transform(from_json(image_flags, '["VARCHAR"]'), lambda x: trim(x)), lambda x: x <> '') ELSE [] END AS flags,
+ CASE WHEN json_valid(image_flags) AND json_type(image_flags) = 'ARRAY' THEN array_to_string(from_json(image_flags, '["VARCHAR"]'), ', ') ELSE '' END AS label FROM media_items""")
+def flag_lists(spark, d):
+    f = payloads.string_list(F.col("image_flags"))
+    return _media(spark, d).select("id", payloads.trimmed_list(f).alias("flags"), F.array_join(f, ", ").alias("label"))
+
+
+_SIZES = ", ".join(f"'{min(s)}x{max(s)}'" for s in media.SCREEN_SIZES)
+_RATIO = "greatest(width, height) / nullif(least(width, height), 0)::DOUBLE"
+
+
+@query(f"""SELECT id, coalesce(least(width, height)::VARCHAR || 'x' || greatest(width, height)::VARCHAR IN ({_SIZES}), false) AS screen_size,
+ coalesce(width > 0 AND height > 0 AND (abs({_RATIO} - 4/3.0::DOUBLE) < 0.03 OR abs({_RATIO} - 1.5) < 0.03 OR abs({_RATIO} - 16/9.0::DOUBLE) < 0.03 OR abs({_RATIO} - 1.0) < 0.03), false) AS camera_ratio FROM media_items WHERE width IS NOT NULL AND height IS NOT NULL""")
+def picture_shapes(spark, d):
+    w, h = F.col("width"), F.col("height")
+    m = _media(spark, d).filter("width IS NOT NULL AND height IS NOT NULL")
+    return m.select("id", media.is_screen_size(w, h).alias("screen_size"), media.is_camera_ratio(w, h).alias("camera_ratio"))
+
+
+@query("""SELECT s_suppkey AS a, n_nationkey AS b, round(2 * 3958.8 * asin(sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))), 3) AS miles
+ FROM (SELECT s_suppkey, n_nationkey, s_acctbal / 200.0 AS lat1, s_acctbal / 100.0 AS lon1, n_nationkey * 3.0 AS lat2, n_regionkey * 30.0 AS lon2 FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
+def haversine(spark, d):
+    n = table(spark, d, "nation")
+    s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    lat, lon = F.col("s_acctbal") / 200.0, F.col("s_acctbal") / 100.0
+    miles = geo.haversine_miles(lat, lon, F.col("n_nationkey") * 3.0, F.col("n_regionkey") * 30.0)
+    return s.select(F.col("s_suppkey").alias("a"), F.col("n_nationkey").alias("b"), F.round(miles, 3).alias("miles"))
+
+
+@query("""SELECT s_suppkey, printf('%.2f', s_acctbal / 100.0) || ':' || printf('%.2f', -s_acctbal / 50.0) AS coord_key FROM supplier""")
+def geocode_keys(spark, d):
+    s = table(spark, d, "supplier")
+    return s.select("s_suppkey", geo.geocode_key(F.col("s_acctbal") / 100.0, -F.col("s_acctbal") / 50.0).alias("coord_key"))
+
+
+@query("SELECT record_id, create_date, width, height, mime_type, CASE WHEN NOT isnan(duration_secs) THEN duration_secs END AS duration_secs, video_codec, camera_make FROM metadata_info")
+def exif_records(spark, d):
+    """Records written as exif JSON and read back: durations as text, the codec under its second name."""
+    m = table(spark, d, "metadata_info")
+    duration = F.when(~F.isnan("duration_secs"), F.col("duration_secs")).cast("string")
+    json = F.to_json(F.struct(F.col("create_date").alias("CreateDate"), F.col("width").alias("ImageWidth"), F.col("height").alias("ImageHeight"), F.col("mime_type").alias("MIMEType"), duration.alias("Duration"), F.col("video_codec").alias("CompressorName"), F.col("camera_make").alias("Make")))
+    e = m.select("record_id", payloads.exif_record(json).alias("e"))
+    return e.select("record_id", *[f"e.{c}" for c in ("create_date", "width", "height", "mime_type", "duration_secs", "video_codec", "camera_make")])
+
+
+@query("SELECT n_nationkey, n_name AS city, r_name AS country, 'GPS data suggests these photos were taken in: ' || n_name || ', ' || r_name AS hint FROM nation JOIN region ON n_regionkey = r_regionkey")
+def geocode_answers(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    json = F.to_json(F.struct(F.struct(F.concat(F.lit(" "), "n_name").alias("town"), F.col("r_name").alias("country")).alias("address")))
+    at = payloads.city_country(json)
+    return n.select("n_nationkey", at["city"].alias("city"), at["country"].alias("country"), text.location_hint(at["city"], at["country"]).alias("hint"))
+
+
+@query("SELECT s_suppkey, s_acctbal AS lat, -s_acctbal AS lon FROM supplier")
+def forward_geocode(spark, d):
+    s = table(spark, d, "supplier")
+    json = F.to_json(F.array(F.struct(F.col("s_acctbal").cast("string").alias("lat"), (-F.col("s_acctbal")).cast("string").alias("lon"))))
+    p = payloads.first_place(json)
+    return s.select("s_suppkey", p["lat"].alias("lat"), p["lon"].alias("lon"))
+
+
+@query("""SELECT id, CASE WHEN coalesce(file_size, 0) <= 26214400 THEN 'data:' || mime_type || ';base64,' || to_base64(filename::BLOB) END AS url FROM media_items WHERE mime_type IS NOT NULL""")
+def preview_urls(spark, d):
+    m = _media(spark, d).filter("mime_type IS NOT NULL")
+    return m.select("id", text.data_url(F.col("mime_type"), F.encode("filename", "UTF-8"), F.coalesce("file_size", F.lit(0))).alias("url"))
+
+
+# -- clusters, names and samples ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_CLUSTERS} SELECT id, event_year, cluster_no FROM clustered")
+def day_clusters(spark, d):
+    return clusters.day_clusters(_items(spark, d), "at").select("id", "event_year", "cluster_no")
+
+
+@query(f"""WITH {_CLUSTERS} SELECT event_year, min(ts::DATE) AS first_day, max(ts::DATE) AS last_day, count(*) AS item_count FROM clustered GROUP BY event_year, cluster_no""")
+def day_clusters_by_session_window(spark, d):
+    """The same clusters by Spark's own session window over days."""
+    rows = _items(spark, d).filter("at IS NOT NULL").select(F.year("at").alias("event_year"), F.to_date("at").alias("day"))
+    days = rows.groupBy("event_year", "day").agg(F.count("*").alias("n"))
+    w = F.session_window(F.col("day").cast("timestamp"), "2 days")
+    return days.groupBy("event_year", w).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum("n").alias("item_count")).drop("session_window")
+
+
+@query(f"WITH {_SPLIT} SELECT id, event_year, cluster_no, part_no FROM parts")
+def split_long_spans(spark, d):
+    return _parts(spark, d).select("id", *_GROUP)
+
+
+@query(f"WITH {_STATS} SELECT * FROM stats")
+def cluster_stats(spark, d):
+    return clusters.cluster_stats(_parts(spark, d), _GROUP, "at")
+
+
+def _named(spark, d):
+    named = naming.offline_names(clusters.cluster_stats(_parts(spark, d), _GROUP, "at"))
+    return naming.resolve_collisions(named, ["event_year"], "base_name", [F.desc("cluster_no"), F.desc("part_no")])
+
+
+@query(f"WITH {_NAMES} SELECT event_year, folder_name, item_count, start_date, end_date, duration_days, distinct_days, confidence, is_misc FROM folders")
+def offline_event_names(spark, d):
+    """The flagship: items to clusters, cut, described, named, and told apart."""
+    return _named(spark, d).select("event_year", "folder_name", "item_count", "start_date", "end_date", "duration_days", "distinct_days", "confidence", "is_misc")
+
+
+@query(f"WITH {_NAMES} SELECT p.id, f.folder_name FROM parts p JOIN folders f USING (event_year, cluster_no, part_no)")
+def regrouped_items(spark, d):
+    """Every dated item with its event's folder."""
+    names = _named(spark, d).select(*_GROUP, "folder_name")
+    return _parts(spark, d).join(names, _GROUP).select("id", "folder_name")
+
+
+_POS = f"""{_CLUSTERS}
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY event_year, cluster_no ORDER BY ts, id) - 1 AS pos, count(*) OVER (PARTITION BY event_year, cluster_no) AS n FROM clustered)"""
+
+
+@query(f"""WITH {_POS} SELECT event_year, cluster_no, id FROM ranked r WHERE n <= 10 OR pos IN (SELECT floor(i * (n - 1) / 9.0 + 0.5)::BIGINT FROM range(10) t(i))""")
+def even_samples(spark, d):
+    """At most ten items of each cluster, evenly spread in time."""
+    ranked = ordering.position_in_group(clusters.day_clusters(_items(spark, d), "at").select("event_year", "cluster_no", "at", "id"), ["event_year", "cluster_no"], ["at", "id"])
+    return ranked.filter(ordering.is_even_sample(F.col("pos"), F.col("size"), F.least(F.col("size"), F.lit(10)))).select("event_year", "cluster_no", "id")
+
+
+@query()
+def near_dup_thinning(spark, d):
+    """Items of each cluster without those within five seconds of a kept one with the same name prefix."""
+    c = clusters.day_clusters(_items(spark, d), "at")
+    return clusters.thin_near_duplicates(c, ["event_year", "cluster_no"], "at", "id", text.filename_prefix(F.col("filename"))).select("event_year", "cluster_no", "id")
+
+
+_BY_DEVICE = f"""{_ITEMS}
+, steps AS (SELECT *, CASE WHEN date_sub('second', lag(ts) OVER w, ts) > 600 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM items WHERE ts IS NOT NULL AND source_device IS NOT NULL
+  WINDOW w AS (PARTITION BY source_device ORDER BY ts, id))
+, runs AS (SELECT *, sum(f) OVER (PARTITION BY source_device ORDER BY ts, id) AS run FROM steps)"""
+
+
+@query(f"WITH {_BY_DEVICE} SELECT source_device, epoch_us(min(ts)) AS start_micros, count(*) AS item_count FROM runs GROUP BY source_device, run HAVING count(*) > 1")
+def burst_runs(spark, d):
+    """Runs of pictures of one device with at most ten minutes between neighbours."""
+    return bursts.burst_runs(_items(spark, d).filter("source_device IS NOT NULL"), ["source_device"], "at", "id", 600)
+
+
+@query()
+def burst_groups(spark, d):
+    """Bursts of like pictures within three seconds, per device."""
+    rows = _items(spark, d).filter("source_device IS NOT NULL").withColumn("h", hashes.read_hash(F.col("perceptual_hash")))
+    return bursts.bursts(rows, ["source_device"], "at", "id", "h", "blur_score")
+
+
+_CLASS_SQL = f"{_HASH_SQL}, classes AS (SELECT h, burst, min(id) AS rep, count(*) AS size FROM hashed GROUP BY ALL)"
+_PAIR = "a.h >> 48 = b.h >> 48 AND bit_count(xor(a.h, b.h)) <= 5 AND coalesce(a.burst <> b.burst, true)"
+
+
+@query(f"WITH {_CLASS_SQL} SELECT a.rep AS rep_a, b.rep AS rep_b, bit_count(xor(a.h, b.h))::INT AS bits FROM classes a JOIN classes b ON a.rep < b.rep AND {_PAIR}")
+def hash_pairs(spark, d):
+    m = _media(spark, d).select("id", hashes.read_hash(F.col("perceptual_hash")).alias("h"), F.col("burst_group_id").alias("burst"))
+    return duplicates.hash_pairs(duplicates.hash_classes(m, "id", "h", "burst"))
+
+
+@query(f"""WITH RECURSIVE {_HASH_SQL}
+, links AS (SELECT a.id AS a, b.id AS b FROM hashed a JOIN hashed b ON a.id <> b.id AND {_PAIR})
+, reach AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT node AS record_id, 'dup-' || min(other)::VARCHAR AS duplicate_group FROM reach GROUP BY node""")
+def duplicate_components(spark, d):
+    m = _media(spark, d).select("id", hashes.read_hash(F.col("perceptual_hash")).alias("h"), F.col("burst_group_id").alias("burst"))
+    return duplicates.duplicate_groups(m, "id", "h", "burst")
+
+
+# -- places ------------------------------------------------------------------------------------------------------------
+
+_GPS = """gps AS (SELECT c.*, CASE WHEN c.source_device IS NOT NULL THEN 36.0 + k * 0.25 END AS lat, CASE WHEN c.source_device IS NOT NULL THEN -86.0 - k * 0.125 END AS lon, n.n_name AS city
+ FROM (SELECT *, length(filename) + length(coalesce(source_device, '')) + year(ts) % 12 - 20 AS k FROM clustered) c LEFT JOIN nation n ON n.n_nationkey = c.k AND c.source_device IS NOT NULL)"""
+
+
+def _gps(spark, d):
+    """Clustered items with stand-in coordinates (the tables have none), missing for items without a device, and the place there."""
+    c = clusters.day_clusters(_items(spark, d), "at")
+    k = F.length("filename") + F.length(F.coalesce("source_device", F.lit(""))) + F.year("at") % 12 - 20
+    c = c.withColumn("k", F.when(F.col("source_device").isNotNull(), k))
+    places = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("city"))
+    return c.withColumns({"lat": 36.0 + F.col("k") * 0.25, "lon": -86.0 - F.col("k") * 0.125}).join(places, "k", "left")
+
+
+_MILES = "2 * 3958.8 * asin(sqrt(pow(sin(radians(lat - 36.5) / 2), 2) + cos(radians(36.5)) * cos(radians(lat)) * pow(sin(radians(lon + 86.0) / 2), 2)))"
+
+
+@query(f"""WITH {_CLUSTERS}, {_GPS}
+, located AS (SELECT *, {_MILES} AS miles, row_number() OVER (PARTITION BY event_year, cluster_no ORDER BY ts, id) - 1 AS pos, count(*) OVER (PARTITION BY event_year, cluster_no) AS n FROM gps WHERE lat IS NOT NULL)
+, dist AS (SELECT event_year, cluster_no, list_sort(list(miles))[count(*) // 2 + 1] AS miles, avg(CASE WHEN miles > 25 THEN 1.0 ELSE 0.0 END) AS outside FROM located GROUP BY ALL)
+, sampled AS (SELECT * FROM located WHERE n <= 5 OR pos IN (SELECT floor(i * (n - 1) / 4.0 + 0.5)::BIGINT FROM range(5) t(i)))
+, votes AS (SELECT event_year, cluster_no, lower(city) AS k, count(*) AS v, min(pos) AS p, arg_min(city, pos) AS c FROM sampled WHERE city IS NOT NULL GROUP BY ALL)
+, place AS (SELECT event_year, cluster_no, arg_max(c, (v, -p)) AS dominant, max(v) / sum(v) AS ratio, count(*) AS cities FROM votes GROUP BY ALL)
+, facts AS (SELECT event_year, cluster_no, round(100.0 * count(lat) / count(*), 6) AS coverage, (max(ts::DATE) - min(ts::DATE) + 1)::BIGINT AS duration_days, count(DISTINCT ts::DATE) AS distinct_days FROM gps GROUP BY ALL)
+, joined AS (SELECT f.*, round(miles, 4) AS median_miles, dominant, CASE WHEN ratio > 0.7 THEN 'high' WHEN ratio > 0.4 THEN 'medium' WHEN ratio IS NOT NULL THEN 'low' END AS place_confidence,
+  CASE WHEN cities = 1 THEN 'consistent' WHEN cities > 1 THEN 'mixed' ELSE 'none' END AS consistency,
+  CASE WHEN miles IS NOT NULL THEN (miles > 25 AND outside >= 0.6) OR coalesce(ratio > 0.7 AND lower(dominant) <> 'canada', false) END AS away
+  FROM facts f LEFT JOIN dist USING (event_year, cluster_no) LEFT JOIN place USING (event_year, cluster_no))
+SELECT event_year, cluster_no, coverage AS gps_coverage_percent, dominant AS dominant_location, place_confidence, median_miles, away AS away_from_home, consistency AS location_consistency, duration_days, distinct_days,
+ coalesce(away, false) AND duration_days >= 2 AND consistency <> 'none' AS maybe_travel FROM joined""")
+def location_facts(spark, d):
+    out = locations.location_facts(_gps(spark, d), ["event_year", "cluster_no"], ["at", "id"], "at", "lat", "lon", "city", (36.5, -86.0, 25.0, "Canada"))
+    return out.withColumn("median_miles", F.round("median_miles", 4)).withColumn("gps_coverage_percent", F.round("gps_coverage_percent", 6))
+
+
+@query(f"WITH {_CLUSTERS}, {_GPS} SELECT event_year, cluster_no, list_sort(list({_MILES}))[count(*) // 2 + 1].round(4) AS miles FROM gps WHERE lat IS NOT NULL GROUP BY ALL")
+def upper_median_distance(spark, d):
+    g = _gps(spark, d).withColumn("miles", geo.haversine_miles(F.lit(36.5), F.lit(-86.0), F.col("lat"), F.col("lon")))
+    return ordering.upper_median(g, ["event_year", "cluster_no"], "miles").withColumn("miles", F.round("miles", 4))
+
+
+@query(f"""WITH {_CLUSTERS}, {_GPS} SELECT event_year, cluster_no, arg_min(city, (ts, id)) AS first_city FROM gps WHERE city IS NOT NULL GROUP BY ALL""")
+def first_places(spark, d):
+    """The place of the first located item of each cluster."""
+    return _gps(spark, d).filter("city IS NOT NULL").groupBy("event_year", "cluster_no").agg(F.min_by("city", F.struct("at", "id")).alias("first_city"))
+
+
+_SETTINGS = [("home_latitude", "36.5"), ("home_longitude", "-86.0"), ("home_radius_miles", "far"), ("home_label", "  "), ("home_address_raw", "1 Main St"), ("blur_threshold", "55.5"), ("burst_window", "x")]
+
+
+@query("SELECT 36.5::DOUBLE AS lat, -86.0::DOUBLE AS lon, 25.0::DOUBLE AS radius, '1 Main St' AS label")
+def home_settings(spark, d):
+    return locations.home_config(spark.createDataFrame(_SETTINGS, "key string, value string"))
+
+
+@query("SELECT 55.5::DOUBLE AS blur_threshold, 3::BIGINT AS burst_window, 0.6::DOUBLE AS screenshot_threshold")
+def typed_settings(spark, d):
+    s = spark.createDataFrame(_SETTINGS, "key string, value string")
+    return lifecycle.typed_settings(s, {"blur_threshold": 50.0, "burst_window": 3, "screenshot_threshold": 0.6})
+
+
+# -- rules -------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT id, list_filter([CASE WHEN file_size < 512000 THEN 'small_file' END, CASE WHEN blur < 50 THEN 'blurry' END, CASE WHEN dark > 0.6 OR bright > 0.6 THEN 'poor_exposure' END,
+ CASE WHEN CASE WHEN cls IS NOT NULL THEN cls IN ('screenshot','meme','graphic','document') ELSE shot >= 0.8 END THEN 'screenshot_or_meme' END,
+ CASE WHEN burst IS NOT NULL AND prim IS DISTINCT FROM 1 THEN 'burst_shot' END, CASE WHEN dup IS NOT NULL THEN 'duplicate' END], lambda x: x IS NOT NULL) AS flags
+ FROM (SELECT id, coalesce(file_size, 0) AS file_size, CASE WHEN isnan(blur_score) THEN NULL ELSE blur_score END AS blur, 1 - least(exposure_mean / 60.0, 1) AS dark, greatest(exposure_mean - 195.0, 0) / 60.0 AS bright,
+ CASE WHEN isnan(screenshot_heuristic) THEN NULL ELSE screenshot_heuristic END AS shot, ai_content_class AS cls, burst_group_id AS burst, is_burst_primary AS prim, duplicate_group_id AS dup FROM media_items WHERE mime_type ILIKE 'image/%' AND coalesce(NOT isnan(exposure_mean), true))""")
+def image_flags(spark, d):
+    """The ordered quality flags of pictures (dark and bright shares are stand-ins from the mean brightness)."""
+    m = _media(spark, d).filter(F.col("mime_type").ilike("image/%") & F.coalesce(~F.isnan("exposure_mean"), F.lit(True)))
+    number = lambda c: F.when(~F.isnan(c), F.col(c))
+    dark = 1 - F.least(F.col("exposure_mean") / 60.0, F.lit(1))
+    bright = F.greatest(F.col("exposure_mean") - 195.0, F.lit(0)) / 60.0
+    shot = F.when(F.col("ai_content_class").isNotNull(), F.col("ai_content_class").isin("screenshot", "meme", "graphic", "document")).otherwise(number("screenshot_heuristic") >= 0.8)
+    rules = {
+        "small_file": F.coalesce("file_size", F.lit(0)) < 500 * 1024, "blurry": number("blur_score") < 50, "poor_exposure": (dark > 0.6) | (bright > 0.6), "screenshot_or_meme": shot,
+        "burst_shot": F.col("burst_group_id").isNotNull() & ~F.col("is_burst_primary").eqNullSafe(1), "duplicate": F.col("duplicate_group_id").isNotNull(),
+    }
+    return m.select("id", F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull()).alias("flags"))
+
+
+@query(r"""WITH n AS (SELECT id, event_year, trim(coalesce(ai_suggested_name, 'Misc')) AS g, lower(ai_confidence) AS c, lower(ai_event_type) AS t FROM event_groups)
+, x AS (SELECT *, event_year::VARCHAR || ' - ' || trim(regexp_replace(CASE WHEN g = '' THEN 'Misc' ELSE g END, '[<>:"/\\|?*]', '-', 'g')) AS f, CASE WHEN c IN ('high','medium','low') THEN c ELSE 'medium' END AS lv FROM n)
+, y AS (SELECT *, lower(substr(f, 8)) IN ('family gathering','weekend moments','family time','special memories','good times','fun times','daily life','everyday moments') AS banned FROM x)
+SELECT id, f AS folder_name, CASE WHEN banned THEN 'low' ELSE lv END AS confidence, CASE WHEN t IN ('holiday','birthday','vacation','sports','school','family','anniversary','graduation','travel','day_trip','misc','other') THEN t END AS event_type,
+ banned OR lv = 'low' AS needs_fallback FROM y""")
+def validated_names(spark, d):
+    g = table(spark, d, "event_groups")
+    v = naming.validated_name(F.col("ai_suggested_name"), F.col("ai_confidence"), F.col("ai_event_type"), F.col("event_year"))
+    return g.select("id", v.alias("v")).select("id", "v.*")
+
+
+@query("""WITH last AS (SELECT media_item_id, arg_min(coalesce(create_date, date_time_original), record_id) AS exif FROM metadata_info WHERE coalesce(create_date, date_time_original) IS NOT NULL AND media_item_id IS NOT NULL GROUP BY 1)
+, c AS (SELECT id, coalesce(exif, date_taken) AS t FROM media_items LEFT JOIN last ON media_item_id = id)
+, v AS (SELECT id, t, t IS NULL OR trim(t) = '' OR starts_with(t, '1970:01:01') OR starts_with(t, '0000:00:00') AS bad FROM c)
+SELECT id, CASE WHEN bad THEN NULL WHEN substr(t, 5, 1) = ':' THEN replace(substr(t, 1, 10), ':', '-') ELSE t END AS day, bad AS needs_review FROM v""")
+def date_enforcement(spark, d):
+    """The record's own date else the stored one; bad ones need review."""
+    m = table(spark, d, "metadata_info").select("media_item_id", "record_id", F.coalesce("create_date", "date_time_original").alias("t")).filter("t IS NOT NULL AND media_item_id IS NOT NULL")
+    exif = m.groupBy(F.col("media_item_id").alias("id")).agg(F.min_by("t", "record_id").alias("exif"))
+    t = F.col("t")
+    bad = t.isNull() | (F.trim(t) == "") | dates.is_invalid_date(t)
+    rows = _media(spark, d).select("id", "date_taken").join(exif, "id", "left").select("id", F.coalesce("exif", "date_taken").alias("t"))
+    return rows.select("id", F.when(~bad, dates.exif_day(t)).alias("day"), bad.alias("needs_review"))
+
+
+@query("""WITH best AS (SELECT media_item_id, arg_max(ai_date, (confidence, estimate_id)) AS day FROM date_estimate WHERE ai_date IS NOT NULL AND confidence >= 0.5 GROUP BY 1)
+SELECT id, coalesce(day, date_taken) AS date_taken, CASE WHEN day IS NOT NULL THEN 'user_override' ELSE date_taken_source END AS date_taken_source FROM media_items LEFT JOIN best ON media_item_id = id WHERE date_needs_review = 1""")
+def date_approval(spark, d):
+    """Review rows with the surest estimate taken over."""
+    e = table(spark, d, "date_estimate").filter("ai_date IS NOT NULL AND confidence >= 0.5").groupBy(F.col("media_item_id").alias("id")).agg(F.max_by("ai_date", F.struct("confidence", "estimate_id")).alias("day"))
+    m = _media(spark, d).filter("date_needs_review = 1").join(e, "id", "left")
+    return m.select("id", F.coalesce("day", "date_taken").alias("date_taken"), F.when(F.col("day").isNotNull(), "user_override").otherwise(F.col("date_taken_source")).alias("date_taken_source"))
+
+
+# -- changes -----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT icloud_id, min(id) AS id FROM media_items WHERE icloud_id IS NOT NULL AND created_at < '2024-03-01' GROUP BY 1
+ UNION ALL SELECT icloud_id, min(id) FROM media_items WHERE icloud_id IS NOT NULL AND icloud_id NOT IN (SELECT icloud_id FROM media_items WHERE created_at < '2024-03-01' AND icloud_id IS NOT NULL) GROUP BY 1""")
+def insert_or_ignore(spark, d):
+    """A re-index: the records known before March 2024, and of the others the first of each key."""
+    m = _media(spark, d).filter("icloud_id IS NOT NULL")
+    known = m.filter("created_at < '2024-03-01'").groupBy("icloud_id").agg(F.min("id").alias("id"))
+    return lifecycle.insert_or_ignore(known, m.select("icloud_id", "id"), "icloud_id", ["id"])
+
+
+@query("""WITH base AS (SELECT id AS media_item_id, status FROM media_items), ch AS (SELECT media_item_id, arg_max(action_name, (logged_at, id, action_name)) AS status FROM audit_log WHERE media_item_id IS NOT NULL GROUP BY 1)
+ SELECT * FROM ch UNION ALL SELECT * FROM base WHERE media_item_id NOT IN (SELECT media_item_id FROM ch)""")
+def last_write_wins(spark, d):
+    base = _media(spark, d).select(F.col("id").alias("media_item_id"), "status")
+    ch = table(spark, d, "audit_log").filter("media_item_id IS NOT NULL").select("media_item_id", F.col("action_name").alias("status"), "logged_at", "id")
+    last = ch.groupBy("media_item_id").agg(F.max_by("status", F.struct("logged_at", "id", "status")).alias("status"))
+    return lifecycle.upsert(base, last, ["media_item_id"], ["status"])
+
+
+@query("""SELECT media_item_id, action_name, old_value, new_value, source, details FROM audit_log
+ UNION ALL SELECT id, 'excluded', status, 'excluded', 'keep_best', '{"burst":"' || lower(trim(burst_group_id)) || '"}' FROM media_items WHERE trim(burst_group_id) <> '' AND is_burst_primary = 0 AND status <> 'excluded'""")
+def keep_best_only(spark, d):
+    """Non-primary members of bursts are excluded: the log with a row for each."""
+    b = F.lower(F.trim("burst_group_id"))
+    out = _media(spark, d).filter((b != "") & (F.col("is_burst_primary") == 0) & (F.col("status") != "excluded"))
+    rows = lifecycle.audit_rows(out, "id", "excluded", F.col("status"), F.lit("excluded"), "keep_best", F.to_json(F.struct(b.alias("burst"))))
+    return table(spark, d, "audit_log").select(rows.columns).unionByName(rows)
+
+
+@query("""SELECT id, CASE WHEN id IN (SELECT media_item_id FROM date_estimate WHERE confidence < 0.2) AND status IN ('indexed', 'image_reviewed', 'grouped') THEN 'excluded' ELSE status END AS status FROM media_items""")
+def exclude_items(spark, d):
+    wanted = table(spark, d, "date_estimate").filter("confidence < 0.2").select("media_item_id")
+    return lifecycle.change_where(_media(spark, d).select("id", "status"), wanted, "id", {"status": F.lit("excluded")}, F.col("status").isin("indexed", "image_reviewed", "grouped"))
+
+
+@query("""WITH moved AS (SELECT id, CASE WHEN id IN (SELECT media_item_id FROM date_estimate) THEN 1 ELSE event_group_id END AS g, status FROM media_items)
+ SELECT e.id AS group_id, count(m.id) AS item_count FROM event_groups e LEFT JOIN moved m ON m.g = e.id AND m.status <> 'excluded' GROUP BY 1""")
+def move_items(spark, d):
+    """Items with estimates moved to group 1, and all groups counted again."""
+    wanted = table(spark, d, "date_estimate").select("media_item_id")
+    moved = lifecycle.change_where(_media(spark, d).select("id", "event_group_id", "status"), wanted, "id", {"event_group_id": F.lit(1).cast("bigint")})
+    g = table(spark, d, "event_groups").select(F.col("id").alias("group_id"))
+    return lifecycle.with_counts(g, moved, "group_id", "event_group_id", F.col("status") != "excluded", "item_count")
+
+
+@query("""WITH r AS (SELECT media_item_id, arg_min(width, record_id) AS w, arg_min(video_codec, record_id) AS c FROM metadata_info WHERE media_item_id IS NOT NULL AND width IS NOT NULL AND video_codec IS NOT NULL GROUP BY 1)
+SELECT id, coalesce(video_width, w) AS video_width, coalesce(video_codec, c) AS video_codec, coalesce(duration_secs, 0.0) AS duration_secs FROM media_items LEFT JOIN r ON media_item_id = id WHERE mime_type ILIKE 'video/%'""")
+def video_backfill(spark, d):
+    """Missing video fields from the item's first complete metadata record."""
+    m = table(spark, d, "metadata_info").filter("media_item_id IS NOT NULL AND width IS NOT NULL AND video_codec IS NOT NULL")
+    r = m.groupBy(F.col("media_item_id").alias("id")).agg(F.min_by("width", "record_id").alias("w"), F.min_by("video_codec", "record_id").alias("c"))
+    v = _media(spark, d).filter(F.col("mime_type").ilike("video/%")).select("id", "video_width", "video_codec", "duration_secs").join(r, "id", "left")
+    return v.select("id", F.coalesce("video_width", "w").alias("video_width"), F.coalesce("video_codec", "c").alias("video_codec"), F.coalesce("duration_secs", F.lit(0.0)).alias("duration_secs"))
+
+
+@query()
+def picture_measures(spark, d):
+    """Measures of 8 x 8 grey pictures made from the embeddings."""
+    from fotomill.operators.kernels import picture_measures as measures
+
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.least(F.greatest((x + 0.5) * 255, F.lit(0.0)), F.lit(255.0))).alias("p"))
+    return measures(e.withColumns({"w": F.lit(8), "h": F.lit(8)}), "vec_id", "p", "w", "h")
