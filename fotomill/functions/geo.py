@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EARTH_MILES = 3958.8
 
@@ -14,7 +15,7 @@ def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     return F.lit(2 * EARTH_MILES) * F.asin(F.sqrt(a))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def geocode_key(lat: pd.Series, lon: pd.Series) -> pd.Series:
     """'lat:lon' with two decimals, rounded from the exact binary value (built-in formatting rounds the decimal text half up)."""
     return pd.Series([None if a != a or b != b else f"{a:.2f}:{b:.2f}" for a, b in zip(lat.astype(float), lon.astype(float), strict=True)], dtype=object)

@@ -51,7 +51,7 @@ def string_list(json: Column) -> Column:
 
 def trimmed_list(items: Column) -> Column:
     """Texts trimmed, blanks dropped, null as an empty list."""
-    return F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def one_of(value: Column, allowed: list[str]) -> Column:
