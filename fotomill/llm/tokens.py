@@ -48,6 +48,21 @@ def encoder(path: str):
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def outer_boundaries(text: str) -> tuple[int, int] | None:
+    """The first and the last safe boundary of a text, null if it has fewer than two; looks only as far from the ends as it must."""
+    first = SAFE.search(text)
+    if first is None:
+        return None
+    width = 64
+    while True:
+        at = [m.start() for m in SAFE.finditer(text, max(first.end(), len(text) - width))]
+        if at and at[-1] > first.start():
+            return first.start(), at[-1]
+        if len(text) - width <= first.end():
+            return None
+        width *= 4
+
+
 # -- chunks ------------------------------------------------------------------------------------------------------------
 
 _WINDOW = 32
@@ -127,11 +142,11 @@ def _encode_chunks(path: str):
         for batch in batches:
             heads, bodies, tails = [], [], []
             for text in batch.column("chunk").to_pylist():
-                at = [m.start() for m in SAFE.finditer(text)]
-                if len(at) < 2:
+                at = outer_boundaries(text)
+                if at is None:
                     heads.append(text), bodies.append(None), tails.append("")
                 else:
-                    heads.append(text[: at[0]]), bodies.append(enc.encode_ordinary(text[at[0] : at[-1]])), tails.append(text[at[-1] :])
+                    heads.append(text[: at[0]]), bodies.append(enc.encode_ordinary(text[at[0] : at[1]])), tails.append(text[at[1] :])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("uses"), pa.array(heads, pa.string()), pa.array(bodies, pa.list_(pa.int32())), pa.array(tails, pa.string())],
                 ["key", "uses", "head", "body", "tail"],
@@ -145,26 +160,35 @@ def _repair(path: str):
 
     def run(batches):
         enc = encoder(path)
-        seam_ids = lru_cache(maxsize=50_000)(lambda s: np.array(enc.encode_ordinary(s), np.int32))
+        ids_of = lambda s: np.array(enc.encode_ordinary(s), np.int32)
+        often = lru_cache(maxsize=20_000)(ids_of)
+        seam_ids = lambda s: often(s) if len(s) < 200 else ids_of(s)
         for batch in batches:
-            out, sizes = [], []
-            for parts in batch.column("parts"):
+            column = batch.column("parts")
+            parts = column.flatten()
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            pos, heads, bodies, tails = parts.flatten()
+            pos, heads, tails = pos.to_pylist(), heads.to_pylist(), tails.to_pylist()
+            tokens, spans, known = bodies.values.to_numpy(), bodies.offsets.to_numpy(), bodies.is_valid().to_pylist()
+            out, sizes, begin = [], [], 0
+            for end in ends:
                 size, seam, last = 0, "", None
-                for p in sorted(parts.as_py() if parts.is_valid else [], key=lambda p: p["pos"]):
-                    if p["pos"] == last or p["head"] is None:
+                for k in sorted(range(begin, end), key=pos.__getitem__):
+                    if pos[k] == last or heads[k] is None:
                         continue
-                    last, seam = p["pos"], seam + p["head"]
-                    if p["body"] is not None:
+                    last, seam = pos[k], seam + heads[k]
+                    if known[k]:
                         if seam:
                             out.append(seam_ids(seam))
                             size += len(out[-1])
-                        out.append(np.array(p["body"], np.int32))
+                        out.append(tokens[spans[k] : spans[k + 1]])
                         size += len(out[-1])
-                        seam = p["tail"]
+                        seam = tails[k]
                 if seam:
-                    out.append(np.array(enc.encode_ordinary(seam), np.int32))
+                    out.append(seam_ids(seam))
                     size += len(out[-1])
                 sizes.append(size)
+                begin = end
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "ids"])
