@@ -63,6 +63,11 @@ def outer_boundaries(text: str) -> tuple[int, int] | None:
         width *= 4
 
 
+def id_kind(path: str) -> type:
+    """The narrowest type of the tokenizer's ids, in which they travel between tasks."""
+    return np.uint16 if encoder(path).max_token_value < 1 << 16 else np.uint32
+
+
 # -- chunks ------------------------------------------------------------------------------------------------------------
 
 _WINDOW = 32
@@ -130,7 +135,7 @@ def _chunks(bits: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-_PART_SCHEMA = "key binary, uses bigint, head string, body array<int>, tail string"
+_PART_SCHEMA = "key binary, uses bigint, head string, body binary, tail string"
 
 
 def _encode_chunks(path: str):
@@ -138,7 +143,7 @@ def _encode_chunks(path: str):
     chunk, where there are not two of them."""
 
     def run(batches):
-        enc = encoder(path)
+        enc, kind = encoder(path), id_kind(path)
         for batch in batches:
             heads, bodies, tails = [], [], []
             for text in batch.column("chunk").to_pylist():
@@ -146,9 +151,9 @@ def _encode_chunks(path: str):
                 if at is None:
                     heads.append(text), bodies.append(None), tails.append("")
                 else:
-                    heads.append(text[: at[0]]), bodies.append(enc.encode_ordinary(text[at[0] : at[1]])), tails.append(text[at[1] :])
+                    heads.append(text[: at[0]]), bodies.append(np.array(enc.encode_ordinary(text[at[0] : at[1]]), kind).tobytes()), tails.append(text[at[1] :])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("uses"), pa.array(heads, pa.string()), pa.array(bodies, pa.list_(pa.int32())), pa.array(tails, pa.string())],
+                [batch.column("key"), batch.column("uses"), pa.array(heads, pa.string()), pa.array(bodies, pa.binary()), pa.array(tails, pa.string())],
                 ["key", "uses", "head", "body", "tail"],
             )
 
@@ -159,7 +164,7 @@ def _repair(path: str):
     """A document's parts, joined: each stretch between two bodies is encoded as one text."""
 
     def run(batches):
-        enc = encoder(path)
+        enc, kind = encoder(path), id_kind(path)
         ids_of = lambda s: np.array(enc.encode_ordinary(s), np.int32)
         often = lru_cache(maxsize=20_000)(ids_of)
         seam_ids = lambda s: often(s) if len(s) < 200 else ids_of(s)
@@ -168,8 +173,7 @@ def _repair(path: str):
             parts = column.flatten()
             ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             pos, heads, bodies, tails = parts.flatten()
-            pos, heads, tails = pos.to_pylist(), heads.to_pylist(), tails.to_pylist()
-            tokens, spans, known = bodies.values.to_numpy(), bodies.offsets.to_numpy(), bodies.is_valid().to_pylist()
+            pos, heads, bodies, tails = pos.to_pylist(), heads.to_pylist(), bodies.to_pylist(), tails.to_pylist()
             out, sizes, begin = [], [], 0
             for end in ends:
                 size, seam, last = 0, "", None
@@ -177,11 +181,11 @@ def _repair(path: str):
                     if pos[k] == last or heads[k] is None:
                         continue
                     last, seam = pos[k], seam + heads[k]
-                    if known[k]:
+                    if bodies[k] is not None:
                         if seam:
                             out.append(seam_ids(seam))
                             size += len(out[-1])
-                        out.append(tokens[spans[k] : spans[k + 1]])
+                        out.append(np.frombuffer(bodies[k], kind))
                         size += len(out[-1])
                         seam = tails[k]
                 if seam:
@@ -190,7 +194,7 @@ def _repair(path: str):
                 sizes.append(size)
                 begin = end
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
+            flat = pa.array(np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "ids"])
 
     return run
@@ -211,7 +215,8 @@ def corpus_ids(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZ
     distinct = chunks.filter("chunk IS NOT NULL").groupBy("key", "chunk").agg(F.count("*").alias("uses"))
     encoded = distinct.mapInArrow(_encode_chunks(tokenizer), _PART_SCHEMA)
     refs = chunks.select("doc_id", "doc_key", "pos", "key")
-    counts = distinct.select("key", "uses")
+    # Counted from the keys alone: a second exchange of the texts would cost more than it saves.
+    counts = refs.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("uses"))
     joined = hot_split_join(refs, encoded, "key", "uses", docs.count(), F.col("doc_key"), "left", counts, parts=100)
     parts = joined.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("pos", "head", "body", "tail")).alias("parts"))
     return parts.select("doc_id", "parts").mapInArrow(_repair(tokenizer), "doc_id bigint, ids array<int>")
