@@ -35,7 +35,7 @@ _AT = r"""CASE WHEN regexp_full_match(date_taken, '\d{4}-\d{2}-\d{2}( \d{2}:\d{2
   WHEN regexp_full_match(date_taken, '\d{4}-\d{2}-\d{2}') THEN try_cast(date_taken AS TIMESTAMP) + INTERVAL 12 HOUR END"""
 _ITEMS = f"items AS (SELECT id, filename, source_device, blur_score, perceptual_hash, {_AT} AS ts FROM media_items)"
 _CLUSTERS = f"""{_ITEMS}
-, flagged AS (SELECT *, year(ts) AS event_year, CASE WHEN ts::DATE - lag(ts::DATE) OVER w > 2 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS f
+, flagged AS (SELECT *, year(ts)::INT AS event_year, CASE WHEN ts::DATE - lag(ts::DATE) OVER w > 2 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS f
   FROM items WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY year(ts) ORDER BY ts, id))
 , clustered AS (SELECT *, sum(f) OVER (PARTITION BY event_year ORDER BY ts, id)::INT AS cluster_no FROM flagged)"""
 _SPLIT = f"""{_CLUSTERS}
@@ -70,13 +70,13 @@ _GROUP = ["event_year", "cluster_no", "part_no"]
 # -- dashboard, counts and groups --------------------------------------------------------------------------------------
 
 
-@query("""SELECT count(*) AS total, count_if(status = 'indexed') AS indexed,
- count_if(status = 'indexed' AND coalesce(image_flags, '') NOT IN ('', '[]')) AS image_review, count_if(status = 'image_reviewed') AS image_verified,
- count_if(status = 'image_reviewed' AND date_needs_review = 1) AS date_review, count_if(date_needs_review = 1) AS date_needs_review,
- count_if(status = 'date_verified') AS date_verified, count_if(status = 'grouped') AS grouped, count_if(status = 'filed') AS filed,
- count_if(mime_type ILIKE 'video/%' AND status IN ('image_reviewed','video_reviewed','date_verified','excluded','grouped','filed')) AS video_total,
- count_if(mime_type ILIKE 'video/%' AND status = 'excluded') AS video_excluded,
- count_if(mime_type ILIKE 'video/%' AND status = 'image_reviewed' AND (coalesce(file_size, 0) <= 5242880 OR coalesce(duration_secs, 0) <= 10)) AS video_flagged
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE status = 'indexed') AS indexed,
+ count(*) FILTER (WHERE status = 'indexed' AND coalesce(image_flags, '') NOT IN ('', '[]')) AS image_review, count(*) FILTER (WHERE status = 'image_reviewed') AS image_verified,
+ count(*) FILTER (WHERE status = 'image_reviewed' AND date_needs_review = 1) AS date_review, count(*) FILTER (WHERE date_needs_review = 1) AS date_needs_review,
+ count(*) FILTER (WHERE status = 'date_verified') AS date_verified, count(*) FILTER (WHERE status = 'grouped') AS grouped, count(*) FILTER (WHERE status = 'filed') AS filed,
+ count(*) FILTER (WHERE mime_type ILIKE 'video/%' AND status IN ('image_reviewed','video_reviewed','date_verified','excluded','grouped','filed')) AS video_total,
+ count(*) FILTER (WHERE mime_type ILIKE 'video/%' AND status = 'excluded') AS video_excluded,
+ count(*) FILTER (WHERE mime_type ILIKE 'video/%' AND status = 'image_reviewed' AND (coalesce(file_size, 0) <= 5242880 OR coalesce(duration_secs, 0) <= 10)) AS video_flagged
  FROM media_items""")
 def dashboard_counts(spark, d):
     """All counters in one pass."""
@@ -148,7 +148,7 @@ def score_moments(spark, d):
     )
 
 
-@query("""SELECT status, count_if(coalesce(image_flags, '[]') NOT IN ('', '[]')) AS flagged, count_if(coalesce(image_flags, '[]') IN ('', '[]')) AS unflagged FROM media_items GROUP BY 1""")
+@query("""SELECT status, count(*) FILTER (WHERE coalesce(image_flags, '[]') NOT IN ('', '[]')) AS flagged, count(*) FILTER (WHERE coalesce(image_flags, '[]') IN ('', '[]')) AS unflagged FROM media_items GROUP BY 1""")
 def flag_counts(spark, d):
     empty = F.coalesce("image_flags", F.lit("[]")).isin("", "[]")
     return _media(spark, d).groupBy("status").agg(F.count_if(~empty).alias("flagged"), F.count_if(empty).alias("unflagged"))
