@@ -99,15 +99,27 @@ def _exchange(mine: np.ndarray, sizes: np.ndarray, bin_of: np.ndarray, room: np.
     theirs = np.flatnonzero(room[bin_of] > 0)
     if not len(theirs):
         return None
-    best, found = 0, None
-    offers = [[i] for i in mine] + [[i, j] for a, i in enumerate(mine) for j in mine[a + 1 :]]
-    for give in offers:
-        gain = sizes[give].sum() - sizes[theirs]
-        gain[(gain > room[bin_of[theirs]])] = 0
-        k = int(np.argmax(gain))
-        if gain[k] > best:
-            best, found = gain[k], (np.array(give), int(theirs[k]), int(bin_of[theirs[k]]))
-    return found
+    # Items of equal size are alike, and so are equal items in containers of equal room: each kind is tried once.
+    space = room[bin_of[theirs]]
+    _, kinds = np.unique(sizes[theirs] * (room.max() + 1) + space, return_index=True)
+    theirs, space = theirs[kinds], space[kinds]
+    offers = {}
+    _, ones = np.unique(sizes[mine], return_index=True)
+    for a, i in enumerate(mine[ones]):
+        offers.setdefault(int(sizes[i]), [i])
+        for j in mine[ones[a + 1 :]]:
+            offers.setdefault(int(sizes[i] + sizes[j]), [i, j])
+        twin = mine[(sizes[mine] == sizes[i]) & (mine != i)]
+        if len(twin):
+            offers.setdefault(int(2 * sizes[i]), [i, twin[0]])
+    sums = np.array(list(offers))
+    gain = sums[:, None] - sizes[theirs][None, :]
+    gain[gain > space[None, :]] = 0
+    k = int(np.argmax(gain))
+    if gain.flat[k] <= 0:
+        return None
+    give, take = offers[int(sums[k // len(theirs)])], int(theirs[k % len(theirs)])
+    return np.array(give), take, int(bin_of[take])
 
 
 def fill_containers(sizes: DataFrame, capacity: int, shard_items: int = 20_000) -> DataFrame:
