@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotomill.operators.bursts import islands
+from fotomill.session import cut_lineage
 
 
 def day_clusters(items: DataFrame, at: str, gap_days: int = 2, by: list[str] | None = None) -> DataFrame:
@@ -48,15 +51,48 @@ def split_long_spans(clustered: DataFrame, at: str, record_id: str, max_days: in
     Each cluster is cut at most once.
     """
     group = [*(by or []), "event_year", "cluster_no"]
-    gaps = with_gap(clustered, group, at, record_id).withColumn("__gap", F.floor(F.col("gap_micros") / 1_000_000)).drop("gap_micros")
-    first = F.struct(F.coalesce("__gap", F.lit(-1)).alias("g"), (-F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at))).alias("t"), (-F.col(record_id)).alias("i"))
+    marked = _after_largest_gap(clustered, group, at, record_id)
+    part = F.when((F.col("__days") > max_days) & F.col("__after"), 1).otherwise(0)
+    return marked.withColumn("part_no", part).drop("__after", "__days", "__top")
+
+
+def _after_largest_gap(items: DataFrame, group: list[str], at: str, record_id: str) -> DataFrame:
+    """items with __after: at or after the first largest gap (in whole seconds, __top) of the group, and __days: the days it spans."""
+    gaps = with_gap(items, group, at, record_id).withColumn("__gap", F.floor(F.col("gap_micros") / 1_000_000)).drop("gap_micros")
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at))
+    first = F.struct(F.coalesce("__gap", F.lit(-1)).alias("g"), (-micros).alias("t"), (-F.col(record_id)).alias("i"))
     cuts = gaps.groupBy(*group).agg(
         F.max_by(F.struct(F.col(at).alias("at"), F.col(record_id).alias("id")), first).alias("__cut"),
+        F.max("__gap").alias("__top"),
         F.datediff(F.max(F.to_date(at)), F.min(F.to_date(at))).alias("__days"),
     )
     after = F.struct(F.col(at).alias("at"), F.col(record_id).alias("id")) >= F.col("__cut")
-    part = F.when((F.col("__days") > max_days) & after, 1).otherwise(0)
-    return gaps.join(cuts, group).withColumn("part_no", part).drop("__cut", "__days", "__gap")
+    return gaps.join(cuts, group).withColumn("__after", after).drop("__cut", "__gap")
+
+
+def resplit_generic(
+    items: DataFrame, cluster: str, at: str, record_id: str, generic: Callable[[DataFrame], DataFrame], more_than: int = 20, max_rounds: int = 100
+) -> DataFrame:
+    """items whose clusters (a STRING column) of more than `more_than` items were cut at their largest gap for as long as their name is generic.
+
+    generic: given cluster_stats() by cluster, the rows of the clusters whose name says nothing. The parts of 'c' are 'c.0' and 'c.1',
+    named and cut again in the next round; clusters all of one second can't be cut. Only clusters still being cut are
+    computed again; each round is written to the checkpoint folder.
+    """
+    open_, done = items, None
+    for _ in range(max_rounds):
+        stats = cluster_stats(open_, [cluster], at).filter(F.col("item_count") > more_than)
+        vague = generic(stats).select(cluster).distinct()
+        marked = _after_largest_gap(open_.join(vague, cluster, "left_semi"), [cluster], at, record_id).filter("__top > 0")
+        cut = marked.withColumn("__new", F.concat(cluster, F.when(F.col("__after"), ".1").otherwise(".0")))
+        cut = cut_lineage(cut.withColumn(cluster, F.col("__new")).drop("__new", "__after", "__top", "__days").select(items.columns))
+        parents = cut.select(F.regexp_replace(cluster, r"\.[01]$", "").alias(cluster)).distinct()
+        settled = open_.join(parents, cluster, "left_anti")
+        done = settled if done is None else done.unionByName(settled)
+        if not cut.limit(1).count():
+            return done
+        open_ = cut
+    raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
 
 
 def cluster_stats(clustered: DataFrame, group: list[str], at: str) -> DataFrame:

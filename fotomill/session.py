@@ -70,12 +70,11 @@ def hot_split_join(
     parts: int = 500,
     salts: int = 32,
 ) -> DataFrame:
-    """Equi-join of `big` with `small` (unique keys), which carries in `count_col` how many rows of `big` have the key.
+    """Equi-join of `big` with `small` (unique keys); `count_col` of `counts` (default: of `small`) says how many rows of `big` have a key.
 
     Keys held by more than a `parts`-th of `total` rows are few, whatever the size; these key values alone are
     broadcast. Their rows are spread over `salts` tasks by `spread`, and their rows of `small` repeated as often; every
-    other key meets in one task. `count_col` is dropped. how: "inner" or "left". counts: a cheaper source of
-    (key, count_col) than `small`.
+    other key meets in one task. `count_col` is dropped. how: "inner" or "left".
     """
     s, hot_at = "__salt", max(1000, total // parts)
     hot = F.coalesce(F.col(count_col) > hot_at, F.lit(False))
@@ -83,5 +82,6 @@ def hot_split_join(
     left = big.join(F.broadcast(hot_keys), key, "left")
     left = left.withColumn(s, F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
     all_salts = F.array(*[F.lit(i) for i in range(salts)])
-    right = small.withColumn(s, F.explode(F.when(hot, all_salts).otherwise(F.array(F.lit(0))))).drop(count_col)
+    right = small.join(F.broadcast(hot_keys), key, "left")
+    right = right.withColumn(s, F.explode(F.when(F.col("__hot"), all_salts).otherwise(F.array(F.lit(0))))).drop(count_col, "__hot")
     return left.join(right, [key, s], how).drop(s)

@@ -58,6 +58,30 @@ def test_long_span_is_cut_once_at_the_first_largest_gap_even_within_an_hour(spar
     assert got == {i: int(i >= cut) for i in range(2500)}
 
 
+def test_generic_clusters_are_cut_until_named(spark):
+    rng = random.Random(8)
+    at, rows = datetime(2024, 5, 1), []
+    for i in range(90):
+        at += timedelta(seconds=rng.choice([0, 60, 600, 40_000]))
+        rows.append((i, at))
+    flat = [(100 + i, datetime(2024, 1, 1)) for i in range(30)]
+
+    def split(part):
+        gaps = [(b[1] - a[1]).total_seconds() for a, b in zip(part, part[1:], strict=False)]
+        if len(part) <= 20 or max(gaps) == 0 or part[0][1].day % 2 == 0:
+            return [part]
+        k = gaps.index(max(gaps)) + 1
+        return split(part[:k]) + split(part[k:])
+
+    df = spark.createDataFrame([(i, t, "a") for i, t in rows] + [(i, t, "b") for i, t in flat], "id long, t timestamp, c string")
+    df = df.select("id", F.col("t").cast("timestamp_ntz").alias("at"), "c")
+    got = clusters.resplit_generic(df, "c", "at", "id", lambda s: s.filter("day(start_date) % 2 = 1")).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault(r["c"], set()).add(r["id"])
+    assert sorted(map(sorted, parts.values())) == sorted([sorted(x[0] for x in p) for p in split(rows)] + [[x[0] for x in flat]])
+
+
 def greedy_bursts(rows, seconds, distance):
     """(id -> burst, primaries) by scanning all rows of one device, without islands."""
     rows = sorted(rows, key=lambda r: (r[1], r[0]))
