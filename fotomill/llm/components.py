@@ -24,8 +24,8 @@ def _least(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every neighbour above a node is linked to the least neighbour of that node instead (to the node where it has none below)."""
     uses = edges.groupBy(F.col("small").alias("node")).agg(F.count("*").alias("uses"))
-    least = _least(edges).select(F.col("big").alias("node"), "least").join(uses, "node")
-    moved = hot_split_join(edges.withColumnRenamed("small", "node"), least, "node", "uses", total, F.col("big"), "left")
+    least = _least(edges).withColumnRenamed("big", "node")
+    moved = hot_split_join(edges.withColumnRenamed("small", "node"), least, "node", "uses", total, F.col("big"), "left", counts=uses)
     return moved.select("big", F.coalesce("least", "node").alias("small")).distinct()
 
 
