@@ -200,7 +200,7 @@ def _repair(path: str):
     return run
 
 
-def corpus_ids(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER, bits: int = 9, longest: int = 4096) -> DataFrame:
+def corpus_ids(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER, bits: int = 10, longest: int = 8192) -> DataFrame:
     """(doc_id BIGINT, ids ARRAY<INT>) of every document: its token ids without special tokens, exactly as if encoded whole.
 
     Null and empty texts give an empty list; names of special tokens in a text are ordinary text. Equal rows come
