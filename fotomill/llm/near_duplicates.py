@@ -23,23 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fotomill.functions.hashes import read_hash
 from fotomill.session import cut_lineage
 
-#: Hexadecimal digits of equal kind throughout: blank pictures.
-_BLANK = r"^([0-9a-f])\1{15}$"
-
-
-def read_hash(text: Column) -> Column:
-    """A perceptual hash as a signed 64-bit number: 1 to 16 hex digits of either case; a leading 0x, blanks and hyphens
-    do not count. Null for other texts and for hashes of sixteen equal digits."""
-    digits = F.regexp_replace(F.regexp_replace(F.lower(text), r"[\s-]", ""), "^0x", "")
-    full = F.lpad(digits, 16, "0")
-    high = F.conv(F.substring(full, 1, 8), 16, 10).cast("bigint")
-    low = F.conv(F.substring(full, 9, 8), 16, 10).cast("bigint")
-    value = F.shiftleft(high, 32).bitwiseOR(low)
-    return F.when(digits.rlike("^[0-9a-f]{1,16}$") & ~full.rlike(_BLANK), value)
-
-
 @dataclass(frozen=True)
 class Level:
     """Prefix of `bits + shared` blocks, of which `shared` must agree."""
