@@ -78,9 +78,9 @@ def format_bytes(n: Column) -> Column:
 
 
 def format_duration(seconds: Column) -> Column:
-    """'m:ss' of a rounded, non-negative number of seconds."""
+    """'m:ss' of a rounded, non-negative number of seconds; null for null, which greatest() passes over."""
     total = F.greatest(F.lit(0), F.floor(seconds + 0.5))
-    return F.concat(F.floor(total / 60).cast("string"), F.lit(":"), F.lpad((total % 60).cast("string"), 2, "0"))
+    return F.when(seconds.isNotNull(), F.concat(F.floor(total / 60).cast("string"), F.lit(":"), F.lpad((total % 60).cast("string"), 2, "0")))
 
 
 def location_hint(city: Column, country: Column) -> Column:

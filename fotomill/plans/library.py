@@ -372,10 +372,20 @@ def filename_prefixes(spark, d):
  floor(greatest(0, floor(duration_secs + 0.5)) / 60)::BIGINT::VARCHAR || ':' || lpad((greatest(0, floor(duration_secs + 0.5))::BIGINT % 60)::VARCHAR, 2, '0') AS duration_label
  FROM media_items WHERE duration_secs IS NOT NULL AND NOT isnan(duration_secs)""")
 def size_labels(spark, d):
+    """Labels of the items with a duration alone, as the SQL has them; item_labels has those of every item."""
     m = _media(spark, d).filter("duration_secs IS NOT NULL AND NOT isnan(duration_secs)")
     return m.select("id", text.format_bytes(F.col("file_size")).alias("size_label"), text.format_duration(F.col("duration_secs")).alias("duration_label"))
 
 
+@query("""WITH m AS (SELECT id, coalesce(file_size, 0) AS b, CASE WHEN NOT isnan(duration_secs) THEN greatest(0, floor(duration_secs + 0.5))::BIGINT END AS s FROM media_items)
+ SELECT id, CASE WHEN b >= 1048576 THEN printf('%.1f', b / 1048576.0) || ' MB' WHEN b >= 1024 THEN floor(b / 1024.0 + 0.5)::BIGINT::VARCHAR || ' KB' ELSE b::VARCHAR || ' B' END AS size_label,
+ (s // 60)::VARCHAR || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS duration_label FROM m""")
+def item_labels(spark, d):
+    """Size of every item, pictures too, an unknown one as 0 B; no duration label where there is no duration."""
+    size, duration = F.coalesce("file_size", F.lit(0)), F.when(~F.isnan("duration_secs"), F.col("duration_secs"))
+    return _media(spark, d).select("id", text.format_bytes(size).alias("size_label"), text.format_duration(duration).alias("duration_label"))
+
+
 _HASH_SQL = r"""digits AS (SELECT id, burst_group_id, regexp_replace(regexp_replace(lower(perceptual_hash), '[\s-]', '', 'g'), '^0x', '') AS x FROM media_items)
 , hashed AS (SELECT id, burst_group_id AS burst, ('0x' || x)::UBIGINT AS h FROM digits WHERE regexp_full_match(x, '[0-9a-f]{1,16}') AND lpad(x, 16, '0') <> repeat(left(lpad(x, 16, '0'), 1), 16))"""
 

@@ -260,3 +260,18 @@ def test_streams(spark, sf, tmp_path):
     q.stop()
     got = {(r["session_start"], r["session_end"], r["event_count"]) for r in spark.table("live").collect()}
     assert (datetime(2024, 1, 1), datetime(2024, 1, 1, 9), 10) in got
+
+
+def _tables(spark, d, **rows):
+    """A folder of small tables: a list of rows and a schema each."""
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{d}/{name}.parquet")
+    return str(d)
+
+
+def test_labels_of_every_item(spark, tmp_path):
+    rows = [(1, 2048, None), (2, 3 << 20, float("nan")), (3, 10, 125.4), (4, None, None)]
+    d = _tables(spark, tmp_path, media_items=(rows, "id long, file_size long, duration_secs double"))
+    got = {r["id"]: (r["size_label"], r["duration_label"]) for r in library.QUERIES["item_labels"](spark, d).collect()}
+    assert got == {1: ("2 KB", None), 2: ("3.0 MB", None), 3: ("10 B", "2:05"), 4: ("0 B", None)}
+    assert spark_rows(library.QUERIES["item_labels"](spark, d)) == duck_rows(connect(d), library.SQL["item_labels"])
