@@ -204,12 +204,22 @@ def image_view_modes(spark, d):
 @query("""SELECT id, blur_score BETWEEN 40 AND 60 AS borderline, coalesce(screenshot_heuristic >= 0.6 AND NOT isnan(screenshot_heuristic), false) AS screenshot_candidate, coalesce(file_size, 0) AS file_size
  FROM media_items WHERE mime_type ILIKE 'image/%' AND blur_score IS NOT NULL AND NOT isnan(blur_score)""")
 def scan_candidates(spark, d):
-    """Images with a blur score: whether it is borderline, and whether they may be screenshots."""
+    """Images with a blur score alone, as the SQL has them: whether it is borderline, and whether they may be screenshots; review_candidates has every image."""
     m = _media(spark, d).filter(F.col("mime_type").ilike("image/%") & F.col("blur_score").isNotNull() & ~F.isnan("blur_score"))
     shot = F.coalesce((F.col("screenshot_heuristic") >= 0.6) & ~F.isnan("screenshot_heuristic"), F.lit(False))
     return m.select("id", F.col("blur_score").between(50 * 0.8, 50 * 1.2).alias("borderline"), shot.alias("screenshot_candidate"), F.coalesce("file_size", F.lit(0)).alias("file_size"))
 
 
+@query("""SELECT id, coalesce(blur_score BETWEEN 40 AND 60, false) AS borderline, coalesce(screenshot_heuristic >= 0.6 AND NOT isnan(screenshot_heuristic), false) AS screenshot_candidate, coalesce(file_size, 0) AS file_size
+ FROM media_items WHERE mime_type ILIKE 'image/%'""")
+def review_candidates(spark, d):
+    """Every image: whether its blur score is borderline (not without a usable one), and whether it may be a screenshot, whatever its blur."""
+    m = _media(spark, d).filter(F.col("mime_type").ilike("image/%"))
+    shot = F.coalesce((F.col("screenshot_heuristic") >= 0.6) & ~F.isnan("screenshot_heuristic"), F.lit(False))
+    borderline = F.coalesce(F.col("blur_score").between(50 * 0.8, 50 * 1.2), F.lit(False))
+    return m.select("id", borderline.alias("borderline"), shot.alias("screenshot_candidate"), F.coalesce("file_size", F.lit(0)).alias("file_size"))
+
+
 @query("SELECT a.id, a.group_name FROM event_groups a WHERE EXISTS (SELECT 1 FROM event_groups b WHERE lower(trim(a.group_name)) = lower(trim(b.group_name)) AND a.id <> b.id)")
 def name_exists(spark, d):
     """Groups whose name another group has; counted per name, so that a common name is no quadratic join."""

@@ -275,3 +275,12 @@ def test_labels_of_every_item(spark, tmp_path):
     got = {r["id"]: (r["size_label"], r["duration_label"]) for r in library.QUERIES["item_labels"](spark, d).collect()}
     assert got == {1: ("2 KB", None), 2: ("3.0 MB", None), 3: ("10 B", "2:05"), 4: ("0 B", None)}
     assert spark_rows(library.QUERIES["item_labels"](spark, d)) == duck_rows(connect(d), library.SQL["item_labels"])
+
+
+def test_screenshots_without_a_blur_score(spark, tmp_path):
+    nan = float("nan")
+    rows = [(1, "image/png", None, 0.7, 5), (2, "image/png", nan, 0.6, None), (3, "IMAGE/heic", 50.0, nan, 5), (4, "image/jpeg", 70.0, None, 5), (5, "video/mp4", 50.0, 0.9, 5)]
+    d = _tables(spark, tmp_path, media_items=(rows, "id long, mime_type string, blur_score double, screenshot_heuristic double, file_size long"))
+    got = {tuple(r) for r in library.QUERIES["review_candidates"](spark, d).collect()}
+    assert got == {(1, False, True, 5), (2, False, True, 0), (3, True, False, 5), (4, False, False, 5)}
+    assert spark_rows(library.QUERIES["review_candidates"](spark, d)) == duck_rows(connect(d), library.SQL["review_candidates"])
