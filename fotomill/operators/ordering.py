@@ -51,6 +51,11 @@ def first_by_order(df: DataFrame, order: list[Column], n: int, skip: int = 0) ->
     return (out.offset(skip) if skip else out).limit(n)
 
 
+def work_window(items: DataFrame, done: DataFrame, record_id: str, order: list[Column], n: int) -> DataFrame:
+    """The first n items, in the given order, whose record_id is not in `done`."""
+    return first_by_order(items.join(done.select(record_id), record_id, "left_anti"), order, n)
+
+
 def upper_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """(group, value): of each group the element at floor(n/2) of its sorted non-null values, without interpolation."""
     ranked = position_in_group(df.filter(F.col(value).isNotNull()).select(*group, value), group, [value])

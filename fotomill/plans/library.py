@@ -271,6 +271,42 @@ def group_listing(spark, d):
     return table(spark, d, "event_groups").orderBy(F.desc("event_year"), "group_name").select("id", "event_year", "group_name", "item_count")
 
 
+@query("""SELECT status = 'excluded' AS excluded, id, filename, current_path, date_taken, coalesce(mime_type, '') AS mime_type FROM media_items WHERE event_group_id = 1 AND status IS NOT NULL""")
+def group_items(spark, d):
+    """The items of group 1, those not excluded and then the excluded ones, each by date and id."""
+    m = _media(spark, d).filter("event_group_id = 1 AND status IS NOT NULL").withColumn("excluded", F.col("status") == "excluded")
+    m = m.orderBy("excluded", F.asc_nulls_first("date_taken"), "id")
+    return m.select("excluded", "id", "filename", "current_path", "date_taken", F.coalesce("mime_type", F.lit("")).alias("mime_type"))
+
+
+@query("""WITH i AS (SELECT id, date_taken, status = 'excluded' AS excluded, coalesce(file_size, 0) AS size, CASE WHEN NOT isnan(sharpness_score) THEN sharpness_score ELSE 0.0 END AS sharp
+  FROM media_items WHERE mime_type ILIKE 'image/%' AND status IN ('indexed', 'image_reviewed', 'excluded'))
+ SELECT 'date' AS mode, excluded, row_number() OVER (PARTITION BY excluded ORDER BY coalesce(date_taken, ''), date_taken NULLS FIRST, id) - 1 AS pos, id FROM i
+ UNION ALL SELECT 'size', excluded, row_number() OVER (PARTITION BY excluded ORDER BY size DESC, date_taken NULLS FIRST, id) - 1, id FROM i
+ UNION ALL SELECT 'sharpness', excluded, row_number() OVER (PARTITION BY excluded ORDER BY sharp DESC, date_taken NULLS FIRST, id) - 1, id FROM i""")
+def image_sort(spark, d):
+    """Place of each image of the review, excluded ones apart, by date, by size or by sharpness (0 where unknown); of equals the queue's order."""
+    m = _media(spark, d).filter(F.col("mime_type").ilike("image/%") & F.col("status").isin("indexed", "image_reviewed", "excluded"))
+    sharp = F.coalesce(F.when(~F.isnan("sharpness_score"), F.col("sharpness_score")), F.lit(0.0))
+    falling = {"date": F.lit(0.0), "size": -F.coalesce("file_size", F.lit(0)).cast("double"), "sharpness": -sharp}
+    modes = F.array(*[F.struct(F.lit(k).alias("mode"), v.alias("key")) for k, v in falling.items()])
+    m = m.select("id", "date_taken", (F.col("status") == "excluded").alias("excluded"), F.inline(modes))
+    return ordering.position_in_group(m, ["mode", "excluded"], ["key", "date_taken", "id"]).select("mode", "excluded", "pos", "id")
+
+
+@query("""WITH todo AS (SELECT * FROM media_items WHERE id NOT IN (SELECT media_item_id FROM date_estimate WHERE media_item_id IS NOT NULL))
+ (SELECT 'image' AS kind, id FROM todo WHERE mime_type ILIKE 'image/%' AND status IN ('indexed', 'image_reviewed') ORDER BY date_taken NULLS FIRST, id LIMIT 20)
+ UNION ALL (SELECT 'video', id FROM todo WHERE mime_type ILIKE 'video/%' AND status IN ('image_reviewed', 'video_reviewed') AND coalesce(file_size, 0) <= 20971520 ORDER BY coalesce(file_size, 0), date_taken NULLS FIRST, id LIMIT 12)""")
+def thumbnail_windows(spark, d):
+    """The next images, by date, and small videos, by size, that lack a thumbnail; items with a date estimate stand in for those that have one."""
+    m, done = _media(spark, d), table(spark, d, "date_estimate").select(F.col("media_item_id").alias("id"))
+    size, shown = F.coalesce("file_size", F.lit(0)), [F.asc_nulls_first("date_taken"), F.col("id")]
+    images = m.filter(F.col("mime_type").ilike("image/%") & F.col("status").isin("indexed", "image_reviewed"))
+    videos = m.filter(F.col("mime_type").ilike("video/%") & F.col("status").isin("image_reviewed", "video_reviewed") & (size <= 20 * 1024 * 1024))
+    images, videos = ordering.work_window(images, done, "id", shown, 20), ordering.work_window(videos, done, "id", [size, *shown], 12)
+    return images.select(F.lit("image").alias("kind"), "id").unionByName(videos.select(F.lit("video").alias("kind"), "id"))
+
+
 @query("""WITH top AS (SELECT id AS g, row_number() OVER (ORDER BY item_count DESC, id) AS r FROM event_groups ORDER BY item_count DESC, id LIMIT 3)
  SELECT r::INT AS group_rank, m.id FROM media_items m JOIN top ON top.g = m.event_group_id WHERE mime_type ILIKE 'image/%' ORDER BY r, date_taken NULLS FIRST, m.id LIMIT 3""")
 def top_group_pictures(spark, d):

@@ -284,3 +284,30 @@ def test_screenshots_without_a_blur_score(spark, tmp_path):
     got = {tuple(r) for r in library.QUERIES["review_candidates"](spark, d).collect()}
     assert got == {(1, False, True, 5), (2, False, True, 0), (3, True, False, 5), (4, False, False, 5)}
     assert spark_rows(library.QUERIES["review_candidates"](spark, d)) == duck_rows(connect(d), library.SQL["review_candidates"])
+
+
+def test_group_items_image_sort_and_thumbnail_windows(spark, tmp_path):
+    nan, old = float("nan"), "2020-01-01"
+    rows = [
+        (1, "image/png", "indexed", 1, "b", 5, nan), (2, "image/png", "excluded", 1, "b", 9, 1.0), (3, "image/png", "excluded", 1, None, None, 2.0), (4, "image/png", "grouped", 1, "a", 5, 1.0),
+        (5, "image/png", "indexed", 2, None, 5, 0.5), (6, "image/png", None, 1, "a", 5, 1.0), (7, "image/png", "image_reviewed", None, "a", 7, None), (8, None, "filed", 1, "b", 1, None),
+    ]
+    rows += [(100 + i, "image/png", "indexed", None, f"c{i:02d}", 0, 0.0) for i in range(25)] + [(200 + i, "video/mp4", "video_reviewed", None, old, i << 20, None) for i in range(25)]
+    schema = "id long, mime_type string, status string, event_group_id long, date_taken string, file_size long, sharpness_score double"
+    names = ", filename string, current_path string"
+    done = [(5,), (101,), (202,), (202,), (None,)]
+    d = _tables(spark, tmp_path, media_items=([(*r, "f", "p") for r in rows], schema + names), date_estimate=(done, "media_item_id long"))
+    got = [(r["excluded"], r["id"], r["mime_type"]) for r in library.QUERIES["group_items"](spark, d).collect()]
+    assert got == [(False, 4, "image/png"), (False, 1, "image/png"), (False, 8, ""), (True, 3, "image/png"), (True, 2, "image/png")]
+    at = {}
+    for r in library.QUERIES["image_sort"](spark, d).orderBy("pos").collect():
+        at.setdefault((r["mode"], r["excluded"]), []).append(r["id"])
+    rest = [100 + i for i in range(25)]
+    assert at[("date", False)] == [5, 7, 1, *rest] and at[("size", False)] == [7, 5, 1, *rest] and at[("sharpness", False)] == [5, 7, 1, *rest]
+    assert at[("date", True)] == [3, 2] and at[("size", True)] == [2, 3] and at[("sharpness", True)] == [3, 2]
+    got = {}
+    for r in library.QUERIES["thumbnail_windows"](spark, d).collect():
+        got.setdefault(r["kind"], []).append(r["id"])
+    assert got == {"image": [7, 1, 100, *range(102, 119)], "video": [200, 201, *range(203, 213)]}
+    for name in ("group_items", "image_sort", "thumbnail_windows"):
+        assert spark_rows(library.QUERIES[name](spark, d)) == duck_rows(connect(d), library.SQL[name])
