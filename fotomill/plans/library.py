@@ -778,13 +778,30 @@ def move_items(spark, d):
 @query("""WITH r AS (SELECT media_item_id, arg_min(width, record_id) AS w, arg_min(video_codec, record_id) AS c FROM metadata_info WHERE media_item_id IS NOT NULL AND width IS NOT NULL AND video_codec IS NOT NULL GROUP BY 1)
 SELECT id, coalesce(video_width, w) AS video_width, coalesce(video_codec, c) AS video_codec, coalesce(duration_secs, 0.0) AS duration_secs FROM media_items LEFT JOIN r ON media_item_id = id WHERE mime_type ILIKE 'video/%'""")
 def video_backfill(spark, d):
-    """Missing video fields from the item's first complete metadata record."""
+    """Missing width and codec from the item's first metadata record that has both, as the SQL has them; video_fields takes each field by itself."""
     m = table(spark, d, "metadata_info").filter("media_item_id IS NOT NULL AND width IS NOT NULL AND video_codec IS NOT NULL")
     r = m.groupBy(F.col("media_item_id").alias("id")).agg(F.min_by("width", "record_id").alias("w"), F.min_by("video_codec", "record_id").alias("c"))
     v = _media(spark, d).filter(F.col("mime_type").ilike("video/%")).select("id", "video_width", "video_codec", "duration_secs").join(r, "id", "left")
     return v.select("id", F.coalesce("video_width", "w").alias("video_width"), F.coalesce("video_codec", "c").alias("video_codec"), F.coalesce("duration_secs", F.lit(0.0)).alias("duration_secs"))
 
 
+@query("""WITH r AS (SELECT media_item_id, arg_min(width, record_id) FILTER (WHERE width IS NOT NULL) AS w, arg_min(height, record_id) FILTER (WHERE height IS NOT NULL) AS h,
+ arg_min(video_codec, record_id) FILTER (WHERE video_codec IS NOT NULL) AS c, arg_min(duration_secs, record_id) FILTER (WHERE NOT isnan(duration_secs)) AS s FROM metadata_info WHERE media_item_id IS NOT NULL GROUP BY 1)
+SELECT id, coalesce(video_width, w) AS video_width, coalesce(video_height, h) AS video_height, coalesce(video_codec, c) AS video_codec, coalesce(CASE WHEN NOT isnan(duration_secs) THEN duration_secs END, s, 0.0) AS duration_secs
+ FROM media_items LEFT JOIN r ON media_item_id = id WHERE mime_type ILIKE 'video/%'""")
+def video_fields(spark, d):
+    """Missing fields of videos, each from the item's first metadata record that has it; a duration that none has is 0."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("record_id")))
+    number = F.when(~F.isnan("duration_secs"), F.col("duration_secs"))
+    m = table(spark, d, "metadata_info").filter("media_item_id IS NOT NULL").withColumn("duration_secs", number)
+    r = m.groupBy(F.col("media_item_id").alias("id")).agg(first("width").alias("w"), first("height").alias("h"), first("video_codec").alias("c"), first("duration_secs").alias("s"))
+    v = _media(spark, d).filter(F.col("mime_type").ilike("video/%")).select("id", "video_width", "video_height", "video_codec", number.alias("duration_secs")).join(r, "id", "left")
+    return v.select(
+        "id", F.coalesce("video_width", "w").alias("video_width"), F.coalesce("video_height", "h").alias("video_height"),
+        F.coalesce("video_codec", "c").alias("video_codec"), F.coalesce("duration_secs", "s", F.lit(0.0)).alias("duration_secs"),
+    )
+
+
 @query()
 def picture_measures(spark, d):
     """Measures of 8 x 8 grey pictures made from the embeddings."""

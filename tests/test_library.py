@@ -311,3 +311,18 @@ def test_group_items_image_sort_and_thumbnail_windows(spark, tmp_path):
     assert got == {"image": [7, 1, 100, *range(102, 119)], "video": [200, 201, *range(203, 213)]}
     for name in ("group_items", "image_sort", "thumbnail_windows"):
         assert spark_rows(library.QUERIES[name](spark, d)) == duck_rows(connect(d), library.SQL[name])
+
+
+def test_video_fields_come_each_from_its_first_record(spark, tmp_path):
+    nan = float("nan")
+    items = [(1, "video/mp4", None, None, None, None), (2, "video/mp4", 5, None, "own", 3.0), (3, "video/mp4", None, None, None, nan), (4, "image/png", None, None, None, None), (5, "VIDEO/mp4", None, None, None, None)]
+    # the item's records in falling order; of video 1 none has all fields
+    records = [(9, 1, 99, 99, "z", 99.0), (8, 1, None, None, "hvc1", None), (7, 1, None, 20, None, 2.5), (6, 1, 10, None, None, nan), (5, 2, 1, 2, "x", 4.0), (4, 3, None, None, None, nan), (3, None, 1, 1, "n", 1.0)]
+    tail = "width long, height long, video_codec string, duration_secs double"
+    d = _tables(
+        spark, tmp_path, media_items=(items, "id long, mime_type string, video_width long, video_height long, video_codec string, duration_secs double"),
+        metadata_info=(records, "record_id long, media_item_id long, " + tail),
+    )
+    got = {tuple(r) for r in library.QUERIES["video_fields"](spark, d).collect()}
+    assert got == {(1, 10, 20, "hvc1", 2.5), (2, 5, 2, "own", 3.0), (3, None, None, None, 0.0), (5, None, None, None, 0.0)}
+    assert spark_rows(library.QUERIES["video_fields"](spark, d)) == duck_rows(connect(d), library.SQL["video_fields"])
