@@ -560,16 +560,27 @@ _POS = f"""{_CLUSTERS}
 
 @query(f"""WITH {_POS} SELECT event_year, cluster_no, id FROM ranked r WHERE n <= 10 OR pos IN (SELECT floor(i * (n - 1) / 9.0 + 0.5)::BIGINT FROM range(10) t(i))""")
 def even_samples(spark, d):
-    """At most ten items of each cluster, evenly spread in time."""
+    """At most ten items of each cluster, evenly spread in time, near duplicates among them; cluster_samples is without those."""
     ranked = ordering.position_in_group(clusters.day_clusters(_items(spark, d), "at").select("event_year", "cluster_no", "at", "id"), ["event_year", "cluster_no"], ["at", "id"])
     return ranked.filter(ordering.is_even_sample(F.col("pos"), F.col("size"), F.least(F.col("size"), F.lit(10)))).select("event_year", "cluster_no", "id")
 
 
+def _thinned(spark, d):
+    c = clusters.day_clusters(_items(spark, d), "at")
+    return clusters.thin_near_duplicates(c, ["event_year", "cluster_no"], "at", "id", text.filename_prefix(F.col("filename")))
+
+
 @query()
 def near_dup_thinning(spark, d):
     """Items of each cluster without those within five seconds of a kept one with the same name prefix."""
-    c = clusters.day_clusters(_items(spark, d), "at")
-    return clusters.thin_near_duplicates(c, ["event_year", "cluster_no"], "at", "id", text.filename_prefix(F.col("filename"))).select("event_year", "cluster_no", "id")
+    return _thinned(spark, d).select("event_year", "cluster_no", "id")
+
+
+@query()
+def cluster_samples(spark, d):
+    """The sampler as a whole: near duplicates thinned, then at most ten items of each cluster, evenly spread over what is left."""
+    ranked = ordering.position_in_group(_thinned(spark, d).select("event_year", "cluster_no", "at", "id"), ["event_year", "cluster_no"], ["at", "id"])
+    return ranked.filter(ordering.is_even_sample(F.col("pos"), F.col("size"), F.least(F.col("size"), F.lit(10)))).select("event_year", "cluster_no", "id")
 
 
 _BY_DEVICE = f"""{_ITEMS}

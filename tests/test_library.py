@@ -326,3 +326,29 @@ def test_video_fields_come_each_from_its_first_record(spark, tmp_path):
     got = {tuple(r) for r in library.QUERIES["video_fields"](spark, d).collect()}
     assert got == {(1, 10, 20, "hvc1", 2.5), (2, 5, 2, "own", 3.0), (3, None, None, None, 0.0), (5, None, None, None, 0.0)}
     assert spark_rows(library.QUERIES["video_fields"](spark, d)) == duck_rows(connect(d), library.SQL["video_fields"])
+
+
+def sampled(cluster):
+    """Ids of the reference's sample of one cluster of (time, id, filename)."""
+    kept = []
+    for at, i, name in sorted(cluster):
+        stem = name.rpartition(".")[0].lower().rstrip("0123456789_- ")
+        if not any(stem == s and int((at - t).total_seconds()) <= 5 for t, _, s in kept):
+            kept.append((at, i, stem))
+    last = len(kept) - 1
+    return {kept[p][1] for p in (range(len(kept)) if last < 10 else {int(k * last / 9 + 0.5) for k in range(10)})}
+
+
+def test_samples_are_taken_from_the_thinned_cluster(spark, tmp_path):
+    rng = random.Random(6)
+    at, rows = datetime(2024, 5, 1), []
+    for i in range(160):
+        at += timedelta(seconds=rng.choice([1, 2, 3, 5, 6, 40, 20_000])) + timedelta(days=4 * (i in (40, 120)))
+        rows.append((at, i, rng.choice(["IMG_", "DSC "]) + f"{i}.jpg"))
+    rows += [(datetime(2025, 5, 1, 10, 0, k), 1000 + k, f"IMG_{k}.jpg") for k in range(12)]
+    table = [(i, name, "a", 1.0, "0", t.isoformat(sep=" ")) for t, i, name in rows]
+    d = _tables(spark, tmp_path, media_items=(table, "id long, filename string, source_device string, blur_score double, perceptual_hash string, date_taken string"))
+    cuts = [rows[:40], rows[40:120], rows[120:160], rows[160:]]
+    got = {r["id"] for r in library.QUERIES["cluster_samples"](spark, d).collect()}
+    assert got == set().union(*map(sampled, cuts)) and got & {r[1] for r in rows[160:]} == {1000, 1006}
+    assert got != {r["id"] for r in library.QUERIES["even_samples"](spark, d).collect()}
