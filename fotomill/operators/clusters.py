@@ -112,7 +112,8 @@ def thin_near_duplicates(items: DataFrame, group: list[str], at: str, record_id:
     """items without those within `seconds` of an item kept before, in the same group and with the same prefix.
 
     Whether an item is kept depends on the last kept one, so each run of items whose neighbours are within `seconds` is
-    folded in order; a run ends wherever the camera paused.
+    folded in order; a run ends wherever the camera paused. An item without a prefix is like no other and is kept; one without a
+    time is dropped.
     """
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at))
     runs = islands(items.withColumn("__prefix", prefix), [*group, "__prefix"], at, record_id, seconds).withColumn("__t", micros)
@@ -127,4 +128,5 @@ def thin_near_duplicates(items: DataFrame, group: list[str], at: str, record_id:
         )
 
     kept = folded.select(F.explode(F.aggregate("xs", start, step, lambda a: a["kept"])).alias(record_id))
-    return items.join(kept, record_id, "left_semi")
+    marked = items.withColumn("__alone", prefix.isNull() & F.col(at).isNotNull()).join(kept.withColumn("__kept", F.lit(True)), record_id, "left")
+    return marked.filter(F.col("__kept") | F.col("__alone")).select(items.columns)

@@ -352,3 +352,11 @@ def test_samples_are_taken_from_the_thinned_cluster(spark, tmp_path):
     got = {r["id"] for r in library.QUERIES["cluster_samples"](spark, d).collect()}
     assert got == set().union(*map(sampled, cuts)) and got & {r[1] for r in rows[160:]} == {1000, 1006}
     assert got != {r["id"] for r in library.QUERIES["even_samples"](spark, d).collect()}
+
+
+def test_thinning_keeps_items_without_a_name(spark):
+    rows = [(1, "IMG_1.jpg", 0), (2, None, 1), (3, None, 2), (4, "IMG_2.jpg", 3), (5, None, None), (6, "IMG_3.jpg", None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "id long, n string, s long, g int")
+    df = df.withColumn("at", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    got = clusters.thin_near_duplicates(df, ["g"], "at", "id", text.filename_prefix(F.col("n")))
+    assert got.columns == df.columns and sorted(r["id"] for r in got.collect()) == [1, 2, 3]
