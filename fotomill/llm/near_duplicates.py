@@ -5,10 +5,11 @@ differ in at most d bits differ in at most d blocks, so they share at least m -
 as prefix and asks for l shared ones: the longer the prefix, the more tokens must agree before a pair is
 verified, and the fewer candidates there are, at the price of more signatures (one per l-subset of the prefix).
 
-Each document takes the first level at which its expected number of candidates, from token frequencies counted
-over all documents, is below a limit; documents of crowded regions thus get longer prefixes. A pair meets at
-the lower level of its two documents: every document is a probe at its own level, and is only indexed at
-lower ones, there only under signatures which a probe of that level can have at all.
+What a prefix costs a document is what its signatures and its candidates cost together. The level at which the average
+document is cheapest, by token frequencies over all documents, is where all of them start; the documents of a signature that so
+many others have that a longer prefix is cheaper than the candidates go on to the next level, and so on. How many have a
+signature is counted exactly, where its holders meet. So no group that is compared is larger than the level's
+bound, whatever the data; only at the last level are larger ones left, and these are cut into blocks that many tasks compare.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fotomill.functions.hashes import read_hash
-from fotomill.session import cut_lineage
+from fotomill.session import cut_lineage, hot_split_join
+
+#: Candidates that cost as much as one signature, which is made, shuffled and sorted.
+CANDIDATES_A_SIGNATURE = 16.0
+#: Signatures that one task sorts and compares.
+TASK_ROWS = 400_000
+#: Fingerprints of one block of a group that is compared block by block.
+BLOCK_ROWS = 4_000
+
 
 @dataclass(frozen=True)
 class Level:
@@ -52,99 +62,201 @@ class Level:
     def signatures(self) -> list[tuple[int, ...]]:
         return list(combinations(range(len(self.blocks)), self.shared))
 
+    def bound(self, per_signature: float) -> int:
+        """Holders of one signature above which the next level's additional signatures cost less than the candidates."""
+        more = comb(self.bits + self.shared + 1, self.bits) - comb(self.bits + self.shared, self.bits)
+        return max(1, int(per_signature * more))
+
+
+#: A signature: the set of blocks above _HELD_AT, the values of its blocks below.
+_HELD_AT, _HELD_BITS = 48, 12
 
-def token_frequencies(hashes: DataFrame, levels: list[Level]) -> dict[int, list[list[float]]]:
-    """By level and block, how often each value occurs, as a share of all documents; counted over all of them.
 
-    The table has sum(2^width) entries, about 4 400 for 5 bits and levels 2 to 4, however large the input is.
+def token_frequencies(hashes: DataFrame, levels: list[Level]) -> tuple[int, dict[int, list[np.ndarray]]]:
+    """(documents, by level and block how often each value occurs), counted over all documents.
+
+    The table has sum(2^width) entries, less than 6 000 for 5 bits and levels 2 to 7, however large the input is.
     """
     tokens = F.array(
         *[F.struct(F.lit(lv.shared).alias("l"), F.lit(i).alias("b"), lv.token(F.col("hash"), i).cast("int").alias("v")) for lv in levels for i in range(len(lv.blocks))]
     )
     rows = hashes.select(F.explode(tokens).alias("t")).groupBy("t.l", "t.b", "t.v").agg(F.count("*").alias("n")).collect()
-    out = {lv.shared: [[0.0] * (1 << w) for _, w in lv.blocks] for lv in levels}
-    total: dict[tuple[int, int], int] = {}
-    for r in rows:
-        total[r["l"], r["b"]] = total.get((r["l"], r["b"]), 0) + r["n"]
+    out = {lv.shared: [np.zeros(1 << w) for _, w in lv.blocks] for lv in levels}
     for r in rows:
-        out[r["l"]][r["b"]][r["v"]] = r["n"] / total[r["l"], r["b"]]
-    return out
+        out[r["l"]][r["b"]][r["v"]] = r["n"]
+    return int(out[levels[0].shared][0].sum()), out
+
+
+def expected_candidates(n: int, counts: list[np.ndarray], shared: int) -> float:
+    """How many other documents share `shared` tokens with a document, over all sets of so many blocks, on average and if blocks were independent."""
+    meet = [float(((c / n) ** 2).sum()) for c in counts]
+    sums = [1.0, *[0.0] * shared]
+    for p in meet:
+        for k in range(shared, 0, -1):
+            sums[k] += sums[k - 1] * p
+    return n * sums[shared]
 
 
-def similar_hashes(hashes: DataFrame, bits: int = 5, limit: float = 400.0, levels: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+def first_level(n: int, counts: dict[int, list[np.ndarray]], levels: list[Level], per_signature: float) -> int:
+    """Index of the level whose signatures and expected candidates cost the average document least."""
+    cost = [len(lv.signatures) + expected_candidates(n, counts[lv.shared], lv.shared) / per_signature for lv in levels]
+    return int(np.argmin(cost))
+
+
+def similar_hashes(
+    hashes: DataFrame, bits: int = 5, per_signature: float = CANDIDATES_A_SIGNATURE, levels: tuple[int, ...] = (2, 3, 4, 5, 6, 7), block: int = BLOCK_ROWS
+) -> DataFrame:
     """(hash_a, hash_b), hash_a < hash_b: all pairs of distinct fingerprints that differ in at most `bits` bits, once each.
 
-    hashes: one BIGINT column `hash`, distinct and not null. limit: candidates that a document may be expected to meet
-    at a level before a longer prefix is taken; it moves work between signatures and verification and never
-    changes the result. The longest prefix takes whatever candidates it has.
+    hashes: one BIGINT column `hash`, distinct and not null. per_signature: candidates that weigh as much as a
+    signature; it moves work between signatures and verification and never changes the result, nor do `levels` (consecutive numbers)
+    and `block`. Crowded regions take longer prefixes; what is still crowded at the last level is compared block by block.
+
+    A job a level: the first has all documents, each further one those of crowded regions alone.
     """
     if bits + max(levels) > _HELD_BITS:
         raise ValueError(f"bits + the longest level must be at most {_HELD_BITS}")
     lvs = [Level(s, bits) for s in levels]
-    n = hashes.count()
+    n, counts = token_frequencies(hashes, lvs)
+    none = hashes.select(F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b")).limit(0)
     if n < 2:
-        return hashes.select(F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b")).limit(0)
-    sig = hashes.mapInArrow(_signer(lvs, token_frequencies(hashes, lvs), n, limit), "sig bigint, hash bigint, own tinyint")
-    a = sig.select("sig", F.col("hash").alias("a"), F.col("own").alias("own_a"))
-    b = sig.select("sig", F.col("hash").alias("b"), F.col("own").alias("own_b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    level = F.shiftrightunsigned("sig", _LEVEL_AT)
-    held = F.shiftrightunsigned("sig", _HELD_AT).bitwiseAND(F.lit((1 << _HELD_BITS) - 1)).cast("int")
-    same = F.lit(0)
-    for lv in lvs:
-        blocks = [F.when(lv.token(x, i) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(lv.blocks))]
-        same = F.when(level == lv.shared, reduce(lambda p, q: p.bitwiseOR(q), blocks)).otherwise(same)
-    # A pair is taken where it meets first: no block left of the signature's last one is shared beside the signature's own.
-    left_out = F.get(F.lit([((1 << max(s.bit_length() - 1, 0)) - 1) & ~s for s in range(1 << _HELD_BITS)]), held)
-    pairs = a.join(b, "sig").filter(
-        (F.col("a") < F.col("b"))
-        & (F.bit_count(x) <= bits)
-        & (F.least("own_a", "own_b") == level)
-        & (same.bitwiseAND(left_out) == 0)
-    )
-    return pairs.select(F.col("a").alias("hash_a"), F.col("b").alias("hash_b"))
+        return none
+    links, docs = [], hashes
+    for lv in lvs[first_level(n, counts, lvs, per_signature) :]:
+        met = cut_lineage(_meetings(docs, n, lv, lv.bound(per_signature)))
+        links.append(met.filter("b IS NOT NULL").select(F.col("a").alias("hash_a"), F.col("b").alias("hash_b")))
+        crowded = met.filter("b IS NULL")
+        if lv is lvs[-1]:
+            links.append(_by_blocks(crowded.select("sig", F.col("a").alias("hash")), lv, block))
+            break
+        docs = cut_lineage(crowded.select(F.col("a").alias("hash")).distinct())
+        n = docs.count()
+        if n < 2:
+            break
+    found = reduce(DataFrame.unionByName, links)
+    # A pair may meet at two levels, where both of its documents went on.
+    return found if len(links) == 1 else found.distinct()
+
 
+def _meetings(docs: DataFrame, n: int, level: Level, bound: int) -> DataFrame:
+    """(a, b, sig): the pairs a < b of docs within the level's bits that meet under a signature of at most `bound` holders;
+    and (a, null, sig) for each holder of any other signature.
 
-#: A signature: the level above 54 bits, the set of blocks above 44 bits, the blocks' values (at most 40 bits) below.
-_LEVEL_AT, _HELD_AT, _HELD_BITS = 54, 44, 10
+    The number of tasks follows the number of signatures, so that a task sorts as much at any size. A signature with many holders passes its task as a
+    stream that keeps no more than `bound` of them.
+    """
+    sig = docs.mapInArrow(_signer(level), "sig bigint, hash bigint")
+    tasks = max(1, -(-n * len(level.signatures) // TASK_ROWS))
+    return sig.repartition(tasks, "sig").sortWithinPartitions("sig").mapInArrow(_verifier(level, bound), "a bigint, b bigint, sig bigint")
 
 
-def _signer(levels: list[Level], freq: dict[int, list[list[float]]], n: int, limit: float):
-    """Gives each fingerprint its level and its signatures; plain numpy over Arrow batches."""
-    shares = {k: [np.array(f) for f in v] for k, v in freq.items()}
+def _signer(level: Level):
+    """The signatures of each fingerprint; plain numpy over Arrow batches."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
-            own = np.full(len(h), levels[-1].shared, np.int8)
-            tokens, share = {}, {}
-            for lv in reversed(levels):
-                t = [((h >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in lv.blocks]
-                tokens[lv.shared], share[lv.shared] = t, [f[v] for f, v in zip(shares[lv.shared], t, strict=True)]
-                # sums[k]: over all k-subsets of the blocks, the product of their shares
-                sums = [np.ones(len(h)), *(np.zeros(len(h)) for _ in range(lv.shared))]
-                for f in share[lv.shared]:
-                    for k in range(lv.shared, 0, -1):
-                        sums[k] = sums[k] + sums[k - 1] * f
-                own[n * sums[lv.shared] <= limit] = lv.shared
-            for lv in levels:
-                for c in lv.signatures:
-                    wanted = own == lv.shared
-                    if lv is not levels[-1]:
-                        wanted |= (own > lv.shared) & (n * reduce(np.multiply, [share[lv.shared][i] for i in c]) <= limit * (1 + 1e-9))
-                    if not wanted.any():
-                        continue
-                    sig, at = np.full(len(h), lv.shared << _LEVEL_AT | sum(1 << i for i in c) << _HELD_AT, np.int64), 0
-                    for i in c:
-                        sig |= tokens[lv.shared][i] << at
-                        at += lv.blocks[i][1]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig[wanted]), pa.array(h.view(np.int64)[wanted]), pa.array(own[wanted])], ["sig", "hash", "own"]
-                    )
+            column = batch.column("hash")
+            h = column.to_numpy(zero_copy_only=False).view(np.uint64)
+            tokens = [((h >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in level.blocks]
+            for c in level.signatures:
+                sig, at = np.full(len(h), sum(1 << i for i in c) << _HELD_AT, np.int64), 0
+                for i in c:
+                    sig |= tokens[i] << at
+                    at += level.blocks[i][1]
+                yield pa.RecordBatch.from_arrays([pa.array(sig), column], ["sig", "hash"])
 
     return sign
 
 
+def _verifier(level: Level, bound: int):
+    """Compares the holders of each signature, which come in its order."""
+
+    def within(sig: np.ndarray, h: np.ndarray, start: np.ndarray, size: np.ndarray):
+        """Pairs within groups of at most `bound`: first those of neighbours, then of second neighbours and so on."""
+        many = size > 1
+        left = np.repeat(size[many], size[many]) - 1
+        first = np.repeat(start[many], size[many])
+        at = first + (step := np.arange(len(first)) - np.repeat(np.cumsum(size[many]) - size[many], size[many]))
+        left = left - step
+        found = []
+        for d in range(1, int(size.max(initial=1))):
+            at = at[left >= d]
+            left = left[left >= d]
+            near = np.bitwise_count(h[at] ^ h[at + d]) <= level.bits
+            found.append(np.stack([at[near], at[near] + d]))
+        if not found:
+            return None
+        i, j = np.concatenate(found, axis=1)
+        x, held = h[i] ^ h[j], sig[i] >> _HELD_AT
+        # A pair is taken where it meets first: no block left of the signature's last one is shared beside the signature's own.
+        same, last = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        for k, (shift, width) in enumerate(level.blocks):
+            same |= ((x >> np.uint64(shift)) & np.uint64((1 << width) - 1) == 0).astype(np.int64) << k
+            last[(held >> k) & 1 == 1] = k
+        own = same & ((1 << last) - 1) & ~held == 0
+        a, b = h[i[own]].view(np.int64), h[j[own]].view(np.int64)
+        return np.minimum(a, b), np.maximum(a, b), sig[i[own]]
+
+    def rows(a, b, sig):
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), pa.array(sig)], ["a", "b", "sig"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_sig, kept, crowded = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+
+        def settled(sig, h):
+            """What whole groups give."""
+            start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+            size = np.diff(np.append(start, len(sig)))
+            big = np.repeat(size > bound, size)
+            if big.any():
+                yield rows(h[big].view(np.int64), None, sig[big])
+            pairs = within(sig, h, start[size <= bound], size[size <= bound])
+            if pairs is not None and len(pairs[0]):
+                yield rows(*pairs)
+
+        for batch in batches:
+            sig = np.concatenate([kept_sig, batch.column("sig").to_numpy(zero_copy_only=False)])
+            h = np.concatenate([kept, batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)])
+            if crowded is not None:
+                more = sig == crowded
+                if more.any():
+                    yield rows(h[more].view(np.int64), None, sig[more])
+                sig, h = sig[~more], h[~more]
+            if not len(sig):
+                kept_sig, kept = sig, h
+                continue
+            last = int(np.searchsorted(sig, sig[-1]))
+            yield from settled(sig[:last], h[:last])
+            crowded = None
+            if len(sig) - last > bound:
+                crowded = sig[-1]
+                yield rows(h[last:].view(np.int64), None, sig[last:])
+                last = len(sig)
+            kept_sig, kept = sig[last:], h[last:]
+        yield from settled(kept_sig, kept)
+
+    return run
+
+
+def _by_blocks(crowded: DataFrame, level: Level, block: int) -> DataFrame:
+    """(hash_a, hash_b) of the pairs that share a signature of `crowded` (sig, hash), which is held by too many for one task.
+
+    Each group is cut into blocks of about `block` rows by hash; a block meets the whole group in a task of its own.
+    """
+    crowded = cut_lineage(crowded)
+    total = crowded.count()
+    if not total:
+        return crowded.select(F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"))
+    sizes = crowded.groupBy("sig").agg(F.count("*").alias("holders"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    cut = hot_split_join(crowded, sizes, "sig", "holders", total, F.col("hash"))
+    a = cut.select("sig", F.pmod(F.xxhash64("hash"), "blocks").cast("int").alias("block"), F.col("hash").alias("a"))
+    b = cut.select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hash").alias("b"))
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    met = a.join(b.hint("merge"), ["sig", "block"]).filter((F.col("a") < F.col("b")) & (F.bit_count(x) <= level.bits))
+    return met.select(F.col("a").alias("hash_a"), F.col("b").alias("hash_b"))
+
+
 def near_duplicates(df: DataFrame, record_id: str, text_hash: str, bits: int = 5) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the near-duplicate records of df.
 
@@ -153,21 +265,37 @@ def near_duplicates(df: DataFrame, record_id: str, text_hash: str, bits: int = 5
     rows, cost nothing. Null, blank, failed and other unreadable hashes and those of sixteen equal digits take no
     part; null ids neither. Rows delivered twice count once; extra columns don't matter; empty tables give no rows.
     """
+    members, classes = _classes(df, record_id, text_hash)
+    return members, similar_hashes(classes.select("hash"), bits)
+
+
+def _classes(df: DataFrame, record_id: str, text_hash: str) -> tuple[DataFrame, DataFrame]:
+    """members (record_id, hash) and classes (hash, copies), both written once."""
     members = df.select(F.col(record_id).alias("record_id"), read_hash(F.col(text_hash)).alias("hash"))
-    members = members.filter("record_id IS NOT NULL AND hash IS NOT NULL").distinct()
-    hashes = cut_lineage(members.select("hash").distinct())
-    return members, similar_hashes(hashes, bits)
+    members = cut_lineage(members.filter("record_id IS NOT NULL AND hash IS NOT NULL").distinct())
+    return members, cut_lineage(members.groupBy("hash").agg(F.count("*").alias("copies")))
 
 
-def near_duplicate_pairs(df: DataFrame, record_id: str, text_hash: str, bits: int = 5) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, record_id: str, text_hash: str, bits: int = 5, parts: int = 500) -> DataFrame:
     """(id_a, id_b), id_a < id_b: near_duplicates() as pairs of record ids, copies included.
 
     The number of pairs within a class of copies is its square; that is the result asked for, so this form suits
-    data whose hot hashes are unreadable or blank.
+    data whose hot hashes are unreadable or blank. Classes of more than a `parts`-th of all records (at most `parts` of them, whose
+    hashes alone are broadcast) are cut into as many chunks as make each that small, and every pair of chunks meets in its own task.
     """
-    members, links = near_duplicates(df, record_id, text_hash, bits)
-    m = lambda s: members.select(F.col("record_id").alias(f"id_{s}"), F.col("hash").alias(f"hash_{s}"))
-    near = links.join(m("a"), "hash_a").join(m("b"), "hash_b").select("id_a", "id_b")
-    same = m("a").join(m("b").withColumnRenamed("hash_b", "hash_a"), "hash_a").filter("id_a < id_b").select("id_a", "id_b")
-    both = near.unionByName(same).filter("id_a <> id_b")
-    return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    members, classes = _classes(df, record_id, text_hash)
+    links = similar_hashes(classes.select("hash"), bits).unionByName(
+        classes.filter("copies > 1").select(F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"))
+    )
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    hot_at = max(1000, total // parts)
+    hot = classes.filter(F.col("copies") > hot_at).select("hash", F.ceil(F.col("copies") / hot_at).cast("int").alias("chunks"))
+    chunks = F.coalesce("chunks", F.lit(1))
+    member = members.join(F.broadcast(hot), "hash", "left").withColumn("chunk", F.pmod(F.xxhash64("record_id"), chunks).cast("int"))
+    for s in "ab":
+        h = hot.withColumnRenamed("hash", f"hash_{s}")
+        links = links.join(F.broadcast(h), f"hash_{s}", "left").withColumn(f"chunk_{s}", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("chunks")
+    m = lambda s: member.select(F.col("record_id").alias(f"id_{s}"), F.col("hash").alias(f"hash_{s}"), F.col("chunk").alias(f"chunk_{s}"))
+    found = links.join(m("a").hint("merge"), ["hash_a", "chunk_a"]).join(m("b").hint("merge"), ["hash_b", "chunk_b"])
+    found = found.filter((F.col("hash_a") < F.col("hash_b")) & (F.col("id_a") != F.col("id_b")) | (F.col("id_a") < F.col("id_b")) & (F.col("hash_a") == F.col("hash_b")))
+    return found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()

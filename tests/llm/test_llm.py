@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from fotomill.llm import near_duplicates as near_duplicates_module
 from fotomill.llm import queries
 from fotomill.llm.components import components, group_links
 from fotomill.llm.near_duplicates import Level, near_duplicate_pairs, near_duplicates, read_hash, similar_hashes
@@ -31,8 +32,8 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-@pytest.mark.parametrize("limit", [400.0, 0.05, 1e-6, 1e9])
-def test_similar_hashes_at_every_prefix_length(spark, limit):
+@pytest.mark.parametrize("weight, levels, block", [(16.0, (2, 3, 4, 5, 6, 7), 4000), (0.03, (2, 3, 4, 5, 6, 7), 4000), (1e-6, (2, 3), 7), (1e9, (4, 5), 50)])
+def test_similar_hashes_at_every_prefix_length(spark, weight, levels, block):
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(60)]
     crowd = rng.getrandbits(64)  # a crowded region: most blocks alike
@@ -46,18 +47,49 @@ def test_similar_hashes_at_every_prefix_length(spark, limit):
     hs = sorted(hashes)
     want = {tuple(sorted((signed(a), signed(b)))) for i, a in enumerate(hs) for b in hs[:i] if (a ^ b).bit_count() <= 5}
     df = spark.createDataFrame([(signed(h),) for h in hs], "hash long")
-    got = [tuple(r) for r in similar_hashes(df, 5, limit).collect()]
+    got = [tuple(r) for r in similar_hashes(df, 5, weight, levels, block).collect()]
     assert len(got) == len(set(got))
     assert set(got) == want
 
 
 def test_levels_cover_the_hash():
-    for shared in (2, 3, 4):
+    for shared in (2, 3, 4, 5, 6, 7):
         blocks = Level(shared, 5).blocks
         assert sum(w for _, w in blocks) == 64 and blocks[0][0] == 0
         assert all(a + w == b for (a, w), (b, _) in zip(blocks, blocks[1:], strict=False))
 
 
+def test_crowds_take_longer_prefixes_and_lose_nothing(spark):
+    """With the production weights: three crowds of growing density among scattered hashes, which use three levels and more."""
+    rng = random.Random(11)
+    far = {rng.getrandbits(64) for _ in range(4000)}
+    crowds = [{rng.getrandbits(64) >> k << k | rng.getrandbits(k) for _ in range(size)} for k, size in ((20, 3000), (26, 2500), (40, 2500))]
+    for c, k in zip(crowds, (20, 26, 40), strict=True):
+        top = rng.getrandbits(64) >> k << k
+        c_fixed = {top | (h & ((1 << k) - 1)) for h in c}
+        c.clear(), c.update(c_fixed)
+    hs = np.array(sorted(far.union(*crowds)), np.uint64)
+    want = set()
+    for i in range(len(hs) - 1):
+        for j in np.flatnonzero(np.bitwise_count(hs[i] ^ hs[i + 1 :]) <= 5):
+            want.add(tuple(sorted((signed(int(hs[i])), signed(int(hs[i + 1 + j]))))))
+    df = spark.createDataFrame([(signed(int(h)),) for h in hs], "hash long")
+    seen, was = [], near_duplicates_module._meetings
+    near_duplicates_module._meetings = lambda docs, n, level, bound: seen.append(level.shared) or was(docs, n, level, bound)
+    try:
+        got = [tuple(r) for r in similar_hashes(df, 5).collect()]
+    finally:
+        near_duplicates_module._meetings = was
+    assert len(seen) >= 3 and seen == sorted(seen)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+
+
+def test_copies_of_a_hot_hash_are_cut_into_chunks(spark):
+    df = spark.range(2600).select("id", F.when(F.col("id") < 1200, "abc0").when(F.col("id") < 1203, "abc1").otherwise(F.hex(F.xxhash64("id"))).alias("h"))
+    got = [tuple(r) for r in near_duplicate_pairs(df, "id", "h").collect()]
+    assert len(got) == len(set(got)) == 1203 * 1202 // 2 and all(a < b < 1203 for a, b in got)
+
+
 def test_read_hash(spark):
     cases = {
         "3a887cf5238d2f": 0x3A887CF5238D2F, "0X00B20A68C9F714FE": 0xB20A68C9F714FE, " 81e9-fa14-c06a-d2df ": signed(0x81E9FA14C06AD2DF),
