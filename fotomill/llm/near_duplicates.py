@@ -77,10 +77,20 @@ def token_frequencies(hashes: DataFrame, levels: list[Level]) -> tuple[int, dict
 
     The table has sum(2^width) entries, less than 6 000 for 5 bits and levels 2 to 7, however large the input is.
     """
-    tokens = F.array(
-        *[F.struct(F.lit(lv.shared).alias("l"), F.lit(i).alias("b"), lv.token(F.col("hash"), i).cast("int").alias("v")) for lv in levels for i in range(len(lv.blocks))]
-    )
-    rows = hashes.select(F.explode(tokens).alias("t")).groupBy("t.l", "t.b", "t.v").agg(F.count("*").alias("n")).collect()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The counts of one task."""
+        own = {(lv.shared, i): np.zeros(1 << w, np.int64) for lv in levels for i, (_, w) in enumerate(lv.blocks)}
+        for batch in batches:
+            h = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
+            for lv in levels:
+                for i, (shift, w) in enumerate(lv.blocks):
+                    own[lv.shared, i] += np.bincount(((h >> np.uint64(shift)) & np.uint64((1 << w) - 1)).astype(np.int64), minlength=1 << w)
+        for (level, i), c in own.items():
+            v = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), x, np.int32)) for x in (level, i)] + [pa.array(v.astype(np.int32)), pa.array(c[v])], ["l", "b", "v", "n"])
+
+    rows = hashes.mapInArrow(count, "l int, b int, v int, n bigint").groupBy("l", "b", "v").agg(F.sum("n").alias("n")).collect()
     out = {lv.shared: [np.zeros(1 << w) for _, w in lv.blocks] for lv in levels}
     for r in rows:
         out[r["l"]][r["b"]][r["v"]] = r["n"]
