@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fotomill.llm.components import group_links, linked_groups
 from fotomill.llm.near_duplicates import near_duplicate_pairs
-from fotomill.llm.survivorship import Field, best_records, field_winners, group_of, merged_records, trust_and_decay
+from fotomill.llm.survivorship import Ballot, Field, decayed, field_winners, group_of, merged_records, surviving_records
 from fotomill.llm.packing import fill_containers
 from fotomill.llm.splitting import split_texts
 from fotomill.llm.tokens import corpus_ids, with_token_counts
@@ -37,22 +37,25 @@ def _usable() -> dict:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving item of each group, and of each value the item it comes from.
+
+    The candidates are the items' values. A sharpness or size is trusted as far as it goes; a quality judgement by its recency, half as far every
+    year; and a record by whether it is the primary one and how many usable values it has (level 0), then by its sharpness (level 1).
+    """
     media, ok = table(spark, d, "media_items"), _usable()
-    grp = group_of("duplicate_group_id")
     primary = F.coalesce(F.col("is_burst_primary") == 1, F.lit(False))
-    n_usable = sum((c.cast("int") for c in ok.values()), F.lit(0))
-    blur = F.when(ok["blur_score"], F.col("blur_score"))
-    best = best_records(media, grp, "id", [primary, n_usable, F.coalesce(blur, F.lit(-1.0))])
+    age = F.unix_timestamp(F.lit("2100-01-01").cast("timestamp")) - F.unix_timestamp(_at("updated_at"))
+    one = F.lit(1.0)
     fields = [
-        Field("blur_score", ok["blur_score"], [F.col("blur_score")]),
-        Field("file_size", ok["file_size"], [F.col("file_size")]),
-        Field("ai_quality_score", ok["ai_quality_score"], [F.unix_timestamp(_at("updated_at"))]),
-    ]
-    won = field_winners(media, grp, "id", fields, F.lit(1.0), by_votes=False)
-    groups = best.select("grp")
-    rows = best.select("grp", F.lit("record").alias("field"), "record_id").unionByName(
-        won.join(groups, "grp", "left_semi").select("grp", "field", "record_id")
-    )
+        Field(
+            "record", F.lit(True), F.lit(0.0), True,
+            [Ballot(F.when(primary, 4.0).otherwise(0.0) + sum((c.cast("int") for c in ok.values()), F.lit(0))), Ballot(F.col("blur_score"), level=1, when=ok["blur_score"])],
+        ),
+        Field("blur_score", ok["blur_score"], by_record=True, ballots=[Ballot(F.col("blur_score"))]),
+        Field("file_size", ok["file_size"], by_record=True, ballots=[Ballot(F.col("file_size"))]),
+        Field("ai_quality_score", ok["ai_quality_score"], by_record=True, ballots=[Ballot(one, decayed(age, 365.0 * 86400))]),
+    ]
+    rows = surviving_records(field_winners(media, group_of("duplicate_group_id"), "id", fields), fields)
     return rows.select(F.col("grp").alias("duplicate_group"), F.col("field").alias("field_name"), F.col("record_id").alias("media_item_id"))
 
 
@@ -61,13 +64,14 @@ def p4_merged(spark: SparkSession, d: str) -> DataFrame:
     media, ok = table(spark, d, "media_items"), _usable()
     source = F.lower(F.trim("date_taken_source"))
     trust = F.when(source == "user_override", 3.0).when(source == "exif", 2.0).otherwise(1.0)
-    age = F.datediff(F.lit("2026-01-01").cast("date"), _at("updated_at")).cast("double")
+    age = F.coalesce(F.datediff(F.lit("2026-01-01").cast("date"), _at("updated_at")), F.lit(90))
+    votes = [Ballot(trust, decayed(F.greatest(age, F.lit(0)), 90.0))]
     fields = [
-        Field("blur_score", ok["blur_score"], normalised=F.round("blur_score", 1)),
-        Field("file_size", ok["file_size"]),
-        Field("ai_quality_score", ok["ai_quality_score"], normalised=F.round("ai_quality_score", 2)),
+        Field("blur_score", ok["blur_score"], F.round("blur_score", 1), ballots=votes),
+        Field("file_size", ok["file_size"], ballots=votes),
+        Field("ai_quality_score", ok["ai_quality_score"], F.round("ai_quality_score", 2), ballots=votes),
     ]
-    won = field_winners(media, group_of("duplicate_group_id"), "id", fields, trust_and_decay(trust, age, 90.0))
+    won = field_winners(media, group_of("duplicate_group_id"), "id", fields, digits=9)
     return merged_records(won, fields).withColumnRenamed("grp", "duplicate_group")
 
 
@@ -123,6 +127,23 @@ WITH items AS (
   UNION ALL
   SELECT g, 'ai_quality_score', id, row_number() OVER (PARTITION BY g ORDER BY updated_at DESC, id) FROM grouped WHERE n > 1 AND q IS NOT NULL)
 SELECT g AS duplicate_group, field_name, id AS media_item_id FROM ranked WHERE k = 1
+""",
+    "p4_merged": """
+WITH items AS (
+  SELECT DISTINCT lower(trim(duplicate_group_id)) AS g, id,
+    CASE lower(trim(date_taken_source)) WHEN 'user_override' THEN 3.0 WHEN 'exif' THEN 2.0 ELSE 1.0 END
+      * pow(0.5, greatest(0, coalesce(DATE '2026-01-01' - try_cast(updated_at AS TIMESTAMP)::DATE, 90)) / 90.0::DOUBLE) AS vote,
+    CASE WHEN NOT isnan(blur_score) AND blur_score >= 0 THEN round(blur_score, 1) END AS b,
+    CASE WHEN file_size > 0 THEN file_size::DOUBLE END AS f,
+    CASE WHEN NOT isnan(ai_quality_score) AND ai_quality_score BETWEEN 0 AND 1 THEN round(ai_quality_score, 2) END AS q
+  FROM media_items WHERE trim(duplicate_group_id) <> '')
+, long AS (
+  SELECT g, 'b' AS field, b AS v, vote, id FROM items WHERE b IS NOT NULL UNION ALL SELECT g, 'f', f, vote, id FROM items WHERE f IS NOT NULL
+  UNION ALL SELECT g, 'q', q, vote, id FROM items WHERE q IS NOT NULL)
+, votes AS (SELECT g, field, v, round(sum(vote), 9) AS n, min(id) AS first FROM long GROUP BY ALL)
+, won AS (SELECT g, field, arg_max(v, (n, -first)) AS v FROM votes GROUP BY ALL)
+SELECT g AS duplicate_group, max(v) FILTER (WHERE field = 'b') AS blur_score, max(v) FILTER (WHERE field = 'f') AS file_size,
+  max(v) FILTER (WHERE field = 'q') AS ai_quality_score FROM won GROUP BY g
 """,
     "p5_found": """
 WITH RECURSIVE links AS (

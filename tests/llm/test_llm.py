@@ -15,7 +15,7 @@ from fotomill.llm.components import components, group_links
 from fotomill.llm.near_duplicates import Level, near_duplicate_pairs, near_duplicates, read_hash, similar_hashes
 from fotomill.llm.packing import fill_containers, pack
 from fotomill.llm.splitting import PARAGRAPH, SENTENCE, boundary_strengths, split_ids, split_texts
-from fotomill.llm.survivorship import Field, best_records, field_winners, group_of, merged_records, trust_and_decay
+from fotomill.llm.survivorship import Ballot, Field, decayed, field_winners, group_of, merged_records, surviving_records
 from fotomill.llm.tokens import SAFE, TOKENIZER, corpus_ids, encoder, with_token_counts
 from tests.oracle import connect, duck_rows, spark_rows
 
@@ -119,14 +119,16 @@ def test_votes_choose_the_value(spark):
         ("h", 6, 1.0, 1.0, 400), ("h", 7, 2.0, 1.0, 0), (None, 8, 3.0, 1.0, 0), (" ", 9, 3.0, 1.0, 0), ("g", None, 99.0, 99.0, 0),
     ]
     df = spark.createDataFrame(rows, "grp string, id long, v double, trust double, age int").withColumn("value", F.lit("clash"))
-    f = [Field("v", ~F.isnan("v"))]
-    vote = trust_and_decay(F.col("trust"), F.col("age").cast("double"), 100.0)
-    won = {r["grp"]: (r["value"], round(r["votes"], 6), r["record_id"]) for r in field_winners(df, group_of("grp"), "id", f, vote).collect()}
-    assert won == {"g": (5.0, 2.0, 1), "h": (2.0, 1.0, 7)}  # g: 2 votes each, the least record
-    assert {r["grp"]: r["v"] for r in merged_records(field_winners(df, group_of("grp"), "id", f, vote), f).collect()} == {"g": 5.0, "h": 2.0}
-    best = best_records(df, group_of("grp"), "id", [F.coalesce(F.col("v"), F.lit(-1.0))])
-    assert {tuple(r) for r in best.collect()} == {("g", 4), ("h", 7)}
-    assert field_winners(df.limit(0), group_of("grp"), "id", f, vote).count() == 0
+    f = [Field("v", ~F.isnan("v"), ballots=[Ballot(F.col("trust"), decayed(F.col("age"), 100.0))])]
+    won = {r["grp"]: (r["v"]["value"], round(r["v"]["votes"][0], 6), r["v"]["record_id"], r["records"]) for r in field_winners(df, group_of("grp"), "id", f).collect()}
+    assert won == {"g": (5.0, 2.0, 1, 2), "h": (2.0, 1.0, 7, 2)}  # g: 2 votes each, the least record
+    assert {r["grp"]: r["v"] for r in merged_records(field_winners(df, group_of("grp"), "id", f), f).collect()} == {"g": 5.0, "h": 2.0}
+    own = [Field("v", ~F.isnan("v"), by_record=True, ballots=[Ballot(F.col("v"))]), Field("r", F.lit(True), F.lit(0.0), True, [Ballot(F.lit(1)), Ballot(F.col("v"), level=1, when=~F.isnan("v"))])]
+    rows = surviving_records(field_winners(df, group_of("grp"), "id", own), own)
+    assert {tuple(r) for r in rows.collect()} == {("g", "v", 2), ("g", "r", 2), ("h", "v", 7), ("h", "r", 7)}
+    assert field_winners(df.limit(0), group_of("grp"), "id", f).count() == 0
+    alone = df.filter("id = 6")
+    assert surviving_records(field_winners(alone, group_of("grp"), "id", own), own).count() == 0
 
 
 # -- components --------------------------------------------------------------------------------------------------------
