@@ -1,12 +1,16 @@
 """Problem 8: items put into containers of fixed capacity, by swap-based local search.
 
-Each shard of items is first packed largest first (best fit), then improved: items of the least filled
-container are moved to others, exchanged one for one, or two for one, whatever raises the sum of squared fills most,
-until containers empty and no exchange helps, or no container can be saved.
+Items lie in containers as they come. Then underfull containers take from emptier ones, fullest first: an item is moved,
+exchanged for a smaller one, two are exchanged for one or one for two, whatever fills the container exactly, or else fills it most.
+Every step moves fill to the fuller container, so the sum of squared fills grows until containers empty. Where no step is
+left, a part of the full containers is opened again together with what is still underfull, shuffled, and searched anew;
+a result that is no better is undone.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,111 +19,216 @@ from pyspark.sql import functions as F
 from fotomill.session import cut_lineage
 
 
-def pack(sizes: np.ndarray, capacity: int, max_passes: int = 50) -> np.ndarray:
+class _Open:
+    """Containers under search: items by size, as a bit set of the sizes present and where each lies."""
+
+    def __init__(self, sizes: list[int], capacity: int):
+        self.sizes, self.capacity = sizes, capacity
+        self.present = self.mirrored = 0  # bit s, and bit capacity - s, for each size s at hand
+        self.of_size: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.bin_of = [-1] * len(sizes)
+        self.items: dict[int, set[int]] = {}
+        self.fill: dict[int, int] = {}
+
+    def add(self, item: int) -> None:
+        s = self.sizes[item]
+        if not self.of_size[s]:
+            self.present |= 1 << s
+            self.mirrored |= 1 << (self.capacity - s)
+        self.of_size[s].append(item)
+
+    def take(self, s: int, but: list[int]) -> int | None:
+        """An item of size s that is at hand and none of `but`, no longer at hand; outdated entries are dropped."""
+        stack, found = self.of_size[s], None
+        while stack and found is None:
+            i = stack.pop()
+            if self.at_hand(i) and i not in but:
+                found = i
+        if not stack:
+            self.present &= ~(1 << s)
+            self.mirrored &= ~(1 << (self.capacity - s))
+        return found
+
+    def at_hand(self, item: int) -> bool:
+        return self.bin_of[item] in self.fill
+
+
+def _largest(bits: int, lo: int, hi: int) -> int:
+    """The largest set bit in lo..hi, or -1."""
+    if hi < lo:
+        return -1
+    part = (bits >> lo) & ((1 << (hi - lo + 1)) - 1)
+    return lo + part.bit_length() - 1 if part else -1
+
+
+def _search(bins: list[list[int]], sizes: list[int], capacity: int, steps: dict[str, int]) -> list[list[int]]:
+    """The containers after one descent: each in turn, fullest first, takes from the others until it is full or nothing fits better."""
+    o = _Open(sizes, capacity)
+    closed = []
+    for b, items in enumerate(bins):
+        f = sum(sizes[i] for i in items)
+        if f == capacity:
+            closed.append(items)
+            continue
+        o.fill[b], o.items[b] = f, set(items)
+        for i in items:
+            o.bin_of[i] = b
+            o.add(i)
+    heap = [(-f, b) for b, f in o.fill.items()]
+    heapify(heap)
+    while heap:
+        f, b = heappop(heap)
+        if o.fill.get(b) != -f:
+            continue
+        if not f:
+            del o.fill[b]
+            continue
+        # The container leaves the ones to take from; what it gives comes back to them.
+        del o.fill[b]
+        mine, room = o.items.pop(b), capacity + f
+        while room:
+            step = _step(o, mine, room)
+            if step is None:
+                break
+            give, get, kind = step
+            steps[kind] = steps.get(kind, 0) + 1
+            home = o.bin_of[get[0]]
+            for i in get:
+                at = o.bin_of[i]
+                o.items[at].discard(i)
+                o.fill[at] -= sizes[i]
+                o.bin_of[i] = b
+                mine.add(i)
+                if at != home:
+                    heappush(heap, (-o.fill[at], at))
+            for i in give:
+                mine.discard(i)
+                o.bin_of[i] = home
+                o.items[home].add(i)
+                o.fill[home] += sizes[i]
+                o.add(i)
+            heappush(heap, (-o.fill[home], home))
+            room -= sum(sizes[i] for i in get) - sum(sizes[i] for i in give)
+        closed.append(list(mine))
+    return closed
+
+
+def _step(o: _Open, mine: set[int], room: int) -> tuple[list[int], list[int], str] | None:
+    """(items given, items got, kind) of the step that fills `room` exactly, else of the one that fills it most.
+
+    What is given goes where the first item got comes from, and fits there, as it is less than that item.
+    """
+    sizes, capacity = o.sizes, o.capacity
+    own: dict[int, int] = {}
+    for i in mine:
+        own.setdefault(sizes[i], i)
+
+    def get(*wanted: int) -> list[int] | None:
+        """Items of the wanted sizes at hand, or none at all."""
+        found = []
+        for s in wanted:
+            i = o.take(s, found)
+            if i is None:
+                for j in found:
+                    o.add(j)
+                return None
+            found.append(i)
+        return found
+
+    # exact: a move, one for one, one for two, two for one
+    if o.present >> room & 1 and (i := get(room)):
+        return [], i, "move"
+    for s, i in own.items():
+        if s + room <= capacity and o.present >> (s + room) & 1 and (j := get(s + room)):
+            return [i], j, "one for one"
+    mask = 0
+    for s in own:
+        mask |= 1 << s
+    for s, i in own.items():
+        # sizes t of mine for which an item of size s + t + room is at hand
+        both = (o.present >> (s + room)) & mask
+        while both:
+            t = (both & -both).bit_length() - 1
+            both &= both - 1
+            k = own[t] if t != s else next((x for x in mine if sizes[x] == s and x != i), None)
+            if k is not None and (j := get(s + t + room)):
+                return [i, k], j, "one for two"
+    for s, i in [(0, None), *own.items()]:
+        total = s + room
+        # sizes a for which a and total - a are at hand
+        pairs = o.present & (o.mirrored >> (capacity - total)) if total <= capacity else o.present & (o.mirrored << (total - capacity))
+        # the smaller of the two; what is given must fit where the larger one was, so it is less than the room
+        pairs &= (1 << min(total // 2 + 1, room)) - 1
+        while pairs:
+            less = pairs.bit_length() - 1
+            pairs &= ~(1 << less)
+            if j := get(total - less, less):
+                return ([] if i is None else [i]), j, "two for none" if i is None else "two for one"
+    # most: a move or one for one
+    while True:
+        gain, give, size = 0, None, _largest(o.present, 1, room - 1)
+        if size > 0:
+            gain = size
+        for s, i in own.items():
+            t = _largest(o.present, s + 1, min(s + room, capacity))
+            if t - s > gain and t > 0:
+                gain, give, size = t - s, i, t
+        if not gain:
+            return None
+        if j := get(size):
+            return ([] if give is None else [give]), j, "move" if give is None else "one for one"
+
+
+def _as_they_come(items: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Each item into the current container, or into a new one."""
+    bins, fill = [], capacity + 1
+    for i in items:
+        if fill + sizes[i] > capacity:
+            bins.append([])
+            fill = 0
+        bins[-1].append(i)
+        fill += sizes[i]
+    return bins
+
+
+def pack(sizes: np.ndarray, capacity: int, shakes: int = 60, steps: dict[str, int] | None = None) -> np.ndarray:
     """Container number of each item (sizes 1 to capacity), numbered from 0 without gaps.
 
-    max_passes bounds the search, not the result's validity: every item is in one container at any time.
+    shakes: how often in a row full containers may be opened again in vain before the search ends; it bounds the search, not the result's validity:
+    every item is in one container at any time. The search ends at once where no container can be saved. steps: counts of
+    the steps taken, by kind. Equal input gives equal output.
     """
-    n = len(sizes)
-    sizes = sizes.astype(np.int64)
-    largest_first = np.argsort(-sizes, kind="stable")
-    bin_of = np.empty(n, np.int64)
-    bin_of[largest_first] = _best_fit(sizes[largest_first], capacity)
-    fill = np.bincount(bin_of, weights=sizes).astype(np.int64) if n else np.zeros(0, np.int64)
-    least = -(-int(sizes.sum()) // capacity)
-    for _ in range(max_passes):
-        changed = False
-        for src in np.argsort(fill, kind="stable"):
-            if (fill > 0).sum() <= least:
-                break
-            if 0 < fill[src] < capacity and _drain(int(src), sizes, bin_of, fill, capacity):
-                changed = True
-        if not changed or (fill > 0).sum() <= least:
-            break
-    _, dense = np.unique(bin_of, return_inverse=True)
-    return dense
-
-
-def _best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Each item in turn into the fullest container that has room for it; open containers are kept by their room."""
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    out, used = np.zeros(len(sizes), np.int64), 0
-    has = np.zeros(capacity + 1, bool)
-    for i, s in enumerate(sizes):
-        k = int(np.argmax(has[s:])) + int(s)
-        if k <= capacity and has[k]:
-            b = by_room[k].pop()
-            has[k] = bool(by_room[k])
-        else:
-            b, k, used = used, capacity, used + 1
-        out[i] = b
-        by_room[k - s].append(b)
-        has[k - s] = True
-    return out
-
-
-def _drain(src: int, sizes: np.ndarray, bin_of: np.ndarray, fill: np.ndarray, capacity: int) -> bool:
-    """Take out of `src` what fits better elsewhere; whether anything changed. Each step moves fill to a fuller container."""
-    changed = False
-    while fill[src]:
-        mine = np.flatnonzero(bin_of == src)
-        room = capacity - fill
-        room[src] = -1
-        room[fill < fill[src]] = -1  # only towards fuller ones: the sum of squares grows with every step
-        room[fill == 0] = -1
-        step = _move(mine, sizes, room)
-        if step is None:
-            step = _exchange(mine, sizes, bin_of, room)
-        if step is None:
-            return changed
-        give, take, to = step
-        bin_of[give] = to
-        if take is not None:
-            bin_of[take] = src
-        gain = int(sizes[give].sum()) - (int(sizes[take]) if take is not None else 0)
-        fill[to] += gain
-        fill[src] -= gain
-        changed = True
-    return changed
-
-
-def _move(mine: np.ndarray, sizes: np.ndarray, room: np.ndarray):
-    """The largest item that fits somewhere, to where it leaves the least room."""
-    most = room.max()
-    fitting = mine[sizes[mine] <= most]
-    if not len(fitting):
-        return None
-    item = fitting[np.argmax(sizes[fitting])]
-    fits = np.flatnonzero(room >= sizes[item])
-    return np.array([item]), None, int(fits[np.argmin(room[fits])])
-
-
-def _exchange(mine: np.ndarray, sizes: np.ndarray, bin_of: np.ndarray, room: np.ndarray):
-    """One of mine, or two, for one item elsewhere: the exchange that carries over the most fill."""
-    theirs = np.flatnonzero(room[bin_of] > 0)
-    if not len(theirs):
-        return None
-    # Items of equal size are alike, and so are equal items in containers of equal room: each kind is tried once.
-    space = room[bin_of[theirs]]
-    _, kinds = np.unique(sizes[theirs] * (room.max() + 1) + space, return_index=True)
-    theirs, space = theirs[kinds], space[kinds]
-    offers = {}
-    _, ones = np.unique(sizes[mine], return_index=True)
-    for a, i in enumerate(mine[ones]):
-        offers.setdefault(int(sizes[i]), [i])
-        for j in mine[ones[a + 1 :]]:
-            offers.setdefault(int(sizes[i] + sizes[j]), [i, j])
-        twin = mine[(sizes[mine] == sizes[i]) & (mine != i)]
-        if len(twin):
-            offers.setdefault(int(2 * sizes[i]), [i, twin[0]])
-    sums = np.array(list(offers))
-    gain = sums[:, None] - sizes[theirs][None, :]
-    gain[gain > space[None, :]] = 0
-    k = int(np.argmax(gain))
-    if gain.flat[k] <= 0:
-        return None
-    give, take = offers[int(sums[k // len(theirs)])], int(theirs[k % len(theirs)])
-    return np.array(give), take, int(bin_of[take])
+    steps = {} if steps is None else steps
+    sz = [int(s) for s in sizes]
+    if not sz:
+        return np.zeros(0, np.int64)
+    rng = np.random.default_rng(len(sz))
+    least = -(-sum(sz) // capacity)
+    bins = _search(_as_they_come(list(range(len(sz))), sz, capacity), sz, capacity, steps)
+    in_vain = 0
+    fills = lambda bs: [sum(sz[i] for i in b) for b in bs]
+    while len(bins) > least and in_vain < shakes:
+        steps["shakes"] = steps.get("shakes", 0) + 1
+        fill = np.array(fills(bins))
+        under = np.flatnonzero(fill < capacity)
+        full = np.flatnonzero(fill == capacity)
+        # All of the emptiest, some of the others, and a few times as many full ones as are underfull.
+        under = under[np.argsort(fill[under], kind="stable")][:200]
+        some = rng.choice(full, min(len(full), max(40, 3 * len(under))), replace=False) if len(full) else full
+        chosen = set(under.tolist()) | set(some.tolist())
+        items = [i for b in sorted(chosen) for i in bins[b]]
+        order = rng.permutation(len(items))
+        again = _search(_as_they_come([items[k] for k in order], sz, capacity), sz, capacity, steps)
+        square = lambda bs: sum(f * f for f in fills(bs))
+        old = [bins[b] for b in sorted(chosen)]
+        better = (-len(again), square(again)) > (-len(old), square(old))
+        if better:
+            bins = [b for k, b in enumerate(bins) if k not in chosen] + again
+        in_vain = 0 if better else in_vain + 1
+    at = np.zeros(len(sz), np.int64)
+    for k, b in enumerate(bins):
+        at[b] = k
+    return at
 
 
 def fill_containers(sizes: DataFrame, capacity: int, shard_items: int = 20_000) -> DataFrame:
