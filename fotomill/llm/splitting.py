@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fotomill.llm.tokens import TOKENIZER, encoder
+from fotomill.llm.tokens import TOKENIZER, encoder, outer_boundaries
 
 #: Strength of a boundary: the end of a paragraph, line, sentence or word before a space, the end of a word beside a mark,
 #: or none but between two whole characters.
@@ -29,7 +29,7 @@ def _features(path: str):
     n = enc.max_token_value + 1
     pure, starts, whole = np.zeros(n, bool), np.zeros(n, bool), np.ones(n, bool)
     newlines, ends, wide = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
-    size, first, last = np.zeros(n, np.int64), np.zeros(n, "U1"), np.zeros(n, "U1")
+    size, first, last = np.zeros(n, np.int64), np.zeros(n, np.int8), np.zeros(n, np.int8)
     for b in enc.token_byte_values():
         i = enc.encode_single_token(b)
         text = b.decode("utf-8", "replace")
@@ -39,8 +39,8 @@ def _features(path: str):
         newlines[i] = text.replace("\r\n", "\n").replace("\r", "\n").count("\n")
         ends[i] = text.rstrip("\"')]}*_»”’")[-1:] in tuple(".!?…;:") and not text[-1].isspace()
         wide[i] = text[-1] in "。！？"
-        # a letter or digit, a mark, or neither: a space or a part of a character
-        first[i], last[i] = (" " if c.isspace() or c == "\ufffd" else "a" if c.isalnum() else "!" for c in (text[0], text[-1]))
+        # 1: a letter or digit, 2: a mark, 0: a space or a part of a character
+        first[i], last[i] = (0 if c.isspace() or c == "\ufffd" else 1 if c.isalnum() else 2 for c in (text[0], text[-1]))
         size[i] = len(b)
     return pure, starts, whole, newlines, ends, wide, first, last, size
 
@@ -59,7 +59,7 @@ def boundary_strengths(ids: np.ndarray, path: str) -> np.ndarray:
     before = np.maximum.accumulate(np.where(pure[ids], -1, k))
     run = np.where(pure[ids], total - np.where(before >= 0, total[before], 0), 0)[:-1]
     inner = out[1:-1]
-    inner[((last[a] == "a") & (first[b] == "!")) | ((last[a] == "!") & (first[b] == "a"))] = MARK
+    inner[last[a] * first[b] == 2] = MARK
     word_end = ~pure[a] & starts[b]
     inner[word_end] = WORD
     inner[word_end & ends[a]] = SENTENCE
@@ -134,39 +134,85 @@ def _start(strength: np.ndarray, end: int, overlap: int, last_start: int) -> int
     return end  # no whole character begins there
 
 
-def split_ids(ids: np.ndarray, limit: int, overlap: int, path: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, strength of the end, text) of each piece of a text's tokens.
+class _Pieces:
+    """Ranges of a text's tokens as texts, and how many tokens such a text has if it is encoded by itself."""
 
-    Pieces are added until every limit holds, that of each piece's own text encoded by itself included.
+    def __init__(self, ids: np.ndarray, raw: bytes, path: str):
+        self.enc, self.raw = encoder(path), raw
+        self.offsets = np.concatenate([[0], np.cumsum(_features(path)[-1][ids])])
+        self.known: dict[tuple[int, int], int] = {}
+
+    def text(self, a: int, b: int) -> bytes:
+        return self.raw[self.offsets[a] : self.offsets[b]]
+
+    def own_tokens(self, a: int, b: int) -> int:
+        """Only what lies before the first and after the last safe boundary can be encoded differently than in the whole text."""
+        if (a, b) not in self.known:
+            t = self.text(a, b).decode("utf-8", "replace")
+            at = outer_boundaries(t)
+            if at is None:
+                n = len(self.enc.encode_ordinary(t))
+            else:
+                head, tail = t[: at[0]], t[at[1] :]
+                i = np.searchsorted(self.offsets, self.offsets[a] + len(head.encode()))
+                j = np.searchsorted(self.offsets, self.offsets[b] - len(tail.encode()))
+                n = len(self.enc.encode_ordinary(head)) + int(j - i) + len(self.enc.encode_ordinary(tail))
+            self.known[a, b] = n
+        return self.known[a, b]
+
+
+def split_ids(ids: np.ndarray, limit: int, overlap: int, path: str, raw: bytes | None = None) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, strength of the end, text) of each piece of a text's tokens (raw: the text's bytes, if at hand).
+
+    Pieces are added until every limit holds, that of each piece's own text encoded by itself included. Where even twice the least number of
+    balanced pieces keeps some piece above the limit, the text is cut from its start on, each piece as long as its own encoding allows.
     """
-    enc, strength = encoder(path), boundary_strengths(ids, path)
-    size = _features(path)[-1]
-    offsets = np.concatenate([[0], np.cumsum(size[ids])])
-    raw = enc.decode_bytes(ids.tolist())
-    n = len(ids)
-    least = max(1, 1 + -(-(n - limit) // (limit - overlap)))
-    tried = None
+    pieces, strength = _Pieces(ids, raw if raw is not None else encoder(path).decode_bytes(ids.tolist()), path), boundary_strengths(ids, path)
+    least = max(1, 1 + -(-(len(ids) - limit) // (limit - overlap)))
     for k in range(least, 2 * least + 3):
         points = split_points(strength, limit, overlap, k)
-        if points is None:
-            continue
-        tried = [(a, b, int(strength[b]), raw[offsets[a] : offsets[b]]) for a, b in points]
-        if all(len(enc.encode_ordinary(t.decode("utf-8", "replace"))) <= limit for *_, t in tried):
-            return tried
-    return tried if tried is not None else _plain(strength, limit, overlap, raw, offsets)
+        if points is not None and all(pieces.own_tokens(a, b) <= limit for a, b in points):
+            break
+    else:
+        points = _from_the_start(strength, limit, overlap, pieces)
+    return [(a, b, int(max(strength[b], NONE)), pieces.text(a, b)) for a, b in points]
+
 
+def _from_the_start(strength: np.ndarray, limit: int, overlap: int, pieces: _Pieces) -> list[tuple[int, int]]:
+    """Pieces one after the other, each ending at the strongest boundary in its second half, shortened until its own encoding is within the limit.
 
-def _plain(strength: np.ndarray, limit: int, overlap: int, raw: bytes, offsets: np.ndarray) -> list[tuple[int, int, int, bytes]]:
-    """Full pieces cut between whole characters: for texts without any other place to cut."""
-    n, start, out = len(strength) - 1, 0, []
-    while True:
-        end = min(start + limit, n)
-        while end < n and end > start + 1 and strength[end] == BROKEN:
-            end -= 1
-        out.append((start, end, int(max(strength[end], NONE)), raw[offsets[start] : offsets[end]]))
-        if end == n:
-            return out
-        start = _start(strength, end, overlap, start)
+    A whole character has four tokens at most, so each piece can end at least one character after the one before.
+    """
+    n, start, done, out = len(strength) - 1, 0, 0, []
+    while done < n:
+        end = _longest(strength, limit, pieces, start, done)
+        if end is None:  # what is repeated leaves no room for anything new
+            start = done
+            end = _longest(strength, limit, pieces, start, done)
+        out.append((start, end))
+        done = end
+        if done < n:
+            start = _start(strength, end, overlap, start)
+    return out
+
+
+def _longest(strength: np.ndarray, limit: int, pieces: _Pieces, start: int, done: int) -> int | None:
+    """The end of a piece from `start` on that reaches beyond `done` and is within the limit by its own encoding; None if there is none."""
+    n = len(strength) - 1
+    hi = min(start + limit, n)
+    while hi > done:
+        end = n if hi == n else _strongest(strength, max(done + 1, (start + hi) // 2), hi, hi)
+        if end is None:  # within a character; the next whole one before
+            hi -= 1
+            continue
+        over = pieces.own_tokens(start, end) - limit
+        if over <= 0:
+            return end
+        hi = end - max(1, over)
+    # Fewer tokens than that may still be too many only if what is beyond `done` is one character.
+    whole = np.flatnonzero(strength[done + 1 :] > BROKEN)
+    end = done + 1 + int(whole[0])
+    return end if start == done or pieces.own_tokens(start, end) <= limit else None
 
 
 def split_texts(docs: DataFrame, doc_id: str, text: str, limit: int = 512, overlap: int = 64, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -181,8 +227,8 @@ def split_texts(docs: DataFrame, doc_id: str, text: str, limit: int = 512, overl
     repeated pieces; null ids are kept; extra columns don't matter; an empty table gives no rows. One pass
     without a shuffle.
     """
-    if not 0 <= overlap < limit // 2:
-        raise ValueError("overlap must be less than half the limit")
+    if not 0 <= overlap < limit // 2 or limit < 8:
+        raise ValueError("limit must be 8 or more and overlap less than half of it")
 
     def run(batches):
         enc = encoder(tokenizer)
@@ -198,7 +244,7 @@ def split_texts(docs: DataFrame, doc_id: str, text: str, limit: int = 512, overl
                 if len(ids) <= limit:
                     continue
                 before = 0
-                for k, (a, b, kind, piece) in enumerate(split_ids(ids, limit, overlap, tokenizer)):
+                for k, (a, b, kind, piece) in enumerate(split_ids(ids, limit, overlap, tokenizer, t.encode())):
                     rows.append((doc, k, a, b, b - a, max(0, before - a), KINDS[kind], piece.decode("utf-8", "replace")))
                     before = b
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
