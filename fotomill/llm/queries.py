@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fotomill.llm.components import group_links, linked_groups
@@ -12,7 +11,7 @@ from fotomill.llm.survivorship import Ballot, Field, decayed, field_winners, gro
 from fotomill.llm.packing import fill_containers
 from fotomill.llm.splitting import split_texts
 from fotomill.llm.tokens import corpus_ids, with_token_counts
-from fotomill.session import table
+from fotomill.session import cut_lineage, table
 
 #: Tokens that a container of p8 holds, tokens of a piece of p9, and tokens it repeats of the one before.
 CONTAINER, PIECE, OVERLAP = 2048, 512, 64
@@ -94,11 +93,46 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return fill_containers(with_token_counts(table(spark, d, "documents"), "doc_id", "text"), CONTAINER)
 
 
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document, whether its parts follow one another and hold all of its tokens, in containers that are not overfull."""
+    sizes = cut_lineage(with_token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    parts = cut_lineage(fill_containers(sizes, CONTAINER))
+    fill = parts.groupBy("container_id").agg((F.sum("n_tokens") > CONTAINER).alias("over"))
+    end = F.col("token_start") + F.col("n_tokens")
+    rows = parts.join(fill, "container_id").groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("held"), F.max(end).alias("end"), F.count("*").alias("n"), F.max("part_no").alias("last"), F.bool_or("over").alias("over")
+    )
+    whole = (F.col("held") == F.col("n_tokens")) & (F.col("end") == F.col("n_tokens")) & (F.col("n") == F.col("last") + 1)
+    sizes = sizes.select("doc_id", "n_tokens").distinct()
+    return sizes.join(rows, "doc_id", "left").select("doc_id", F.coalesce(whole & ~F.col("over"), F.lit(False)).alias("whole"), (F.col("n_tokens") == 0).alias("is_empty"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """One row: whether the containers are at most one in a hundred, and one a shard, more than the tokens need."""
+    parts = fill_containers(with_token_counts(table(spark, d, "documents"), "doc_id", "text"), CONTAINER)
+    n = parts.agg(F.count_distinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"), F.count_distinct("doc_id").alias("documents"))
+    least = F.ceil(F.col("tokens") / CONTAINER)
+    return n.select("documents", (F.col("containers") <= least * 1.01 + F.ceil(F.col("documents") / 20_000)).alias("well_filled"))
+
+
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(table(spark, d, "documents"), "doc_id", "text", PIECE, OVERLAP)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_merged, p5_found, p7_ids, p8_containers, p9_pieces)}
+def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document, whether its pieces, if it needs any, are parts of its text in order, cover it and keep both limits."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    sizes = with_token_counts(docs, "doc_id", "text").select("doc_id", "n_tokens")
+    before = F.lag("token_end", 1, 0).over(Window.partitionBy("doc_id").orderBy("piece_no"))  # pieces of one text
+    pieces = p9_pieces(spark, d).withColumn("before", before).join(docs, "doc_id")
+    start, end = F.col("token_start"), F.col("token_end")
+    ok = (start <= F.col("before")) & (end > F.col("before")) & (F.col("before") - start <= OVERLAP) & (end - start <= PIECE) & (F.instr("text", F.col("piece")) > 0)
+    found = pieces.groupBy("doc_id").agg(F.bool_and(ok).alias("ok"), F.max(end).alias("end"), F.min(start).alias("start"))
+    cut = F.col("ok") & (F.col("end") == F.col("n_tokens")) & (F.col("start") == 0)
+    return sizes.join(found, "doc_id", "left").select("doc_id", F.when(F.col("n_tokens") > PIECE, F.coalesce(cut, F.lit(False))).otherwise(F.col("ok").isNull()).alias("whole"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_merged, p5_found, p7_ids, p8_containers, p8_coverage, p8_fill, p9_pieces, p9_coverage)}
 
 SQL = {
     "p1_found": r"""
@@ -155,4 +189,8 @@ WITH RECURSIVE links AS (
 , reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
 SELECT node AS media_item_id, min(other) AS group_id FROM reach GROUP BY node
 """,
+    # What must hold of results that depend on the tokenizer, which SQL has not.
+    "p8_coverage": "SELECT doc_id, true AS whole, coalesce(text, '') = '' AS is_empty FROM documents",
+    "p8_fill": "SELECT count(DISTINCT doc_id) AS documents, true AS well_filled FROM documents",
+    "p9_coverage": "SELECT doc_id, true AS whole FROM documents",
 }

@@ -231,13 +231,16 @@ def test_pack_holds_its_limits(sizes):
     assert sum(sorted(fill)[:2]) > 100 or len(fill) < 2  # no two containers could be one
 
 
-def test_search_beats_the_first_packing():
-    from fotomill.llm.packing import _best_fit
-
-    s = np.array(random.Random(1).choices([900, 700, 650, 500, 450, 400, 333, 120], k=3000))
-    bins = lambda at: int(at.max()) + 1
-    assert bins(pack(s, 1000)) < bins(_best_fit(s, 1000))
-    assert bins(pack(s, 1000)) <= bins(_best_fit(np.sort(s)[::-1], 1000))
+def test_search_fills_hard_sizes():
+    """Triplets with a perfect packing, and sizes of which no container holds more than six: by steps of every kind."""
+    rng, steps = np.random.default_rng(1), {}
+    x, y = rng.integers(400, 900, 1000), rng.integers(400, 900, 1000)
+    triplets = np.concatenate([x, y, 2048 - x - y])
+    rng.shuffle(triplets)
+    assert pack(triplets, 2048, steps=steps).max() + 1 <= 1000 * 1.018
+    assert all(steps.get(k, 0) > 0 for k in ("move", "one for one", "two for one", "one for two", "two for none"))
+    sizes = rng.integers(300, 900, 5000)
+    assert pack(sizes, 2048).max() + 1 <= 1.01 * -(-sizes.sum() // 2048)
 
 
 def test_containers_hold_every_token_once(spark):
@@ -318,6 +321,36 @@ def test_pieces_of_odd_texts(text):
         assert {g[2] for g in got[:-1]} == {SENTENCE}
 
 
+@settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(ODD, st.integers(1, 12)), min_size=1, max_size=4), st.sampled_from([(8, 3), (16, 0), (24, 11), (64, 8)]))
+def test_no_piece_is_above_the_limit_by_its_own_encoding(parts, bounds):
+    limit, overlap = bounds
+    enc, t = encoder(TOKENIZER), "".join(p * k for p, k in parts)
+    ids = np.array(enc.encode_ordinary(t), np.int64)
+    if len(ids) <= limit:
+        return
+    got = split_ids(ids, limit, overlap, TOKENIZER, t.encode())
+    assert got[0][0] == 0 and got[-1][1] == len(ids)
+    for (a, b, _, piece), nxt in zip(got, [*got[1:], None], strict=True):
+        assert piece == enc.decode_bytes(ids[a:b].tolist())
+        assert len(enc.encode_ordinary(piece.decode())) <= limit
+        if nxt:
+            assert a < nxt[0] <= b < nxt[1] and b - nxt[0] <= overlap
+
+
+def test_pieces_from_the_start_keep_every_limit():
+    from fotomill.llm.splitting import _from_the_start, _Pieces
+
+    enc = encoder(TOKENIZER)
+    for t in ("🙂" * 300, "aé日🙂" * 200, "\u0301" * 400, "word " * 300, "x" * 3000):
+        ids = np.array(enc.encode_ordinary(t), np.int64)
+        got = _from_the_start(boundary_strengths(ids, TOKENIZER), 16, 7, _Pieces(ids, t.encode(), TOKENIZER))
+        assert got[0][0] == 0 and got[-1][1] == len(ids)
+        assert all(c <= b < d for (_, b), (c, d) in zip(got, got[1:], strict=False))
+        for a, b in got:
+            assert len(enc.encode_ordinary(enc.decode_bytes(ids[a:b].tolist()).decode())) <= 16
+
+
 def test_split_edges(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "short", 0), (4, "word " * 600, 0), (4, "word " * 600, 0), (None, "word " * 600, 0)]
     df = spark.createDataFrame(rows, "id long, text string, doc_id int")
