@@ -38,8 +38,9 @@ def mime_of(name: Column, table: dict[str, str] = INDEX_MIME) -> Column:
 
 
 def sanitize_folder_name(name: Column) -> Column:
-    """Reserved characters become '-', outer blanks and trailing dots and spaces go."""
-    return F.regexp_replace(F.trim(F.regexp_replace(name, r'[<>:"/\\|?*]', "-")), r"[. ]+$", "")
+    """Reserved characters become '-', outer blanks go, then the dots at the end, then the spaces before those."""
+    clean = F.regexp_replace(name, r'[<>:"/\\|?*]', "-")
+    return F.rtrim(F.rtrim(F.trim(clean, F.lit(" \t\r\n")), F.lit(".")), F.lit(" "))
 
 
 def filename_prefix(name: Column) -> Column:
@@ -83,6 +84,16 @@ def format_duration(seconds: Column) -> Column:
     return F.when(seconds.isNotNull(), F.concat(F.floor(total / 60).cast("string"), F.lit(":"), F.lpad((total % 60).cast("string"), 2, "0")))
 
 
+def model_id(provider: Column, model: Column) -> Column:
+    """'provider:model'."""
+    return F.concat(provider, F.lit(":"), model)
+
+
+def long_path(path: Column, most: int = 240) -> Column:
+    """A Windows path of more than `most` bytes with the prefix that lifts the limit, once; others unchanged."""
+    return F.when((F.octet_length(path) > most) & ~F.startswith(path, F.lit("\\\\?\\")), F.concat(F.lit("\\\\?\\"), path)).otherwise(path)
+
+
 def location_hint(city: Column, country: Column) -> Column:
     return F.concat(F.lit("GPS data suggests these photos were taken in: "), city, F.lit(", "), country)
 

@@ -30,48 +30,50 @@ def day_clusters(items: DataFrame, at: str, gap_days: int = 2, by: list[str] | N
     return rows.join(d, on).drop(*[f"__{c}" for c in keys], "__day")
 
 
-def with_gap(items: DataFrame, group: list[str], at: str, record_id: str) -> DataFrame:
-    """items with gap_micros: time since the item before in the group's order (time, id); null for the first.
+def gaps_between_times(items: DataFrame, group: list[str], at: str) -> DataFrame:
+    """(group, at, gap_micros): the distinct times of each group and the time since the one before; null for the first.
 
-    The order is built in two levels, so that a group of any size is spread over its hours: within an hour by a window, across
-    hours by the last time of the hour before, from a table of one row an hour.
+    Rows of one instant are one row here, by partial aggregation. The order is built in two levels, so that a group of any size is
+    spread over its hours: within an hour by a window, across hours by the last time of the hour before, from a table of one row an hour.
     """
-    rows = items.withColumn("__at", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at)))
-    rows = rows.withColumn("__hour", F.floor(F.col("__at") / 3_600_000_000))
-    hours = rows.groupBy(*group, "__hour").agg(F.max("__at").alias("__last"))
+    times = items.filter(F.col(at).isNotNull()).select(*group, F.col(at).alias("at")).distinct()
+    times = times.withColumn("__at", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("at")))
+    times = times.withColumn("__hour", F.floor(F.col("__at") / 3_600_000_000))
+    hours = times.groupBy(*group, "__hour").agg(F.max("__at").alias("__last"))
     hours = hours.withColumn("__before", F.lag("__last").over(Window.partitionBy(*group).orderBy("__hour"))).drop("__last")
-    w = Window.partitionBy(*group, "__hour").orderBy("__at", record_id)
-    joined = rows.withColumn("__own", F.lag("__at").over(w)).join(hours, [*group, "__hour"])
-    return joined.withColumn("gap_micros", F.col("__at") - F.coalesce("__own", "__before")).drop("__hour", "__own", "__before", "__at")
+    own = F.lag("__at").over(Window.partitionBy(*group, "__hour").orderBy("__at"))
+    joined = times.withColumn("__own", own).join(hours, [*group, "__hour"])
+    return joined.select(*group, "at", (F.col("__at") - F.coalesce("__own", "__before")).alias("gap_micros"))
 
 
-def split_long_spans(clustered: DataFrame, at: str, record_id: str, max_days: int = 14, by: list[str] | None = None) -> DataFrame:
+def split_long_spans(clustered: DataFrame, at: str, max_days: int = 14, by: list[str] | None = None) -> DataFrame:
     """clustered with part_no: 1 for the items from the first largest gap (in seconds) on, of clusters spanning more than max_days; else 0.
 
     Each cluster is cut at most once.
     """
     group = [*(by or []), "event_year", "cluster_no"]
-    marked = _after_largest_gap(clustered, group, at, record_id)
+    marked = _after_largest_gap(clustered, group, at)
     part = F.when((F.col("__days") > max_days) & F.col("__after"), 1).otherwise(0)
     return marked.withColumn("part_no", part).drop("__after", "__days", "__top")
 
 
-def _after_largest_gap(items: DataFrame, group: list[str], at: str, record_id: str) -> DataFrame:
-    """items with __after: at or after the first largest gap (in whole seconds, __top) of the group, and __days: the days it spans."""
-    gaps = with_gap(items, group, at, record_id).withColumn("__gap", F.floor(F.col("gap_micros") / 1_000_000)).drop("gap_micros")
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at))
-    first = F.struct(F.coalesce("__gap", F.lit(-1)).alias("g"), (-micros).alias("t"), (-F.col(record_id)).alias("i"))
-    cuts = gaps.groupBy(*group).agg(
-        F.max_by(F.struct(F.col(at).alias("at"), F.col(record_id).alias("id")), first).alias("__cut"),
-        F.max("__gap").alias("__top"),
-        F.datediff(F.max(F.to_date(at)), F.min(F.to_date(at))).alias("__days"),
+def _after_largest_gap(items: DataFrame, group: list[str], at: str) -> DataFrame:
+    """items with __after: at or after the first largest gap (in whole seconds, __top) of the group, and __days: the days it spans.
+
+    A gap lies between two times, so the rows of one instant are all on the same side of it.
+    """
+    gap = F.coalesce(F.floor(F.col("gap_micros") / 1_000_000), F.lit(-1))
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("at"))
+    cuts = gaps_between_times(items, group, at).groupBy(*group).agg(
+        F.max_by("at", F.struct(gap.alias("g"), (-micros).alias("t"))).alias("__cut"),
+        F.coalesce(F.max(F.floor(F.col("gap_micros") / 1_000_000)), F.lit(0)).alias("__top"),
+        F.datediff(F.max(F.to_date("at")), F.min(F.to_date("at"))).alias("__days"),
     )
-    after = F.struct(F.col(at).alias("at"), F.col(record_id).alias("id")) >= F.col("__cut")
-    return gaps.join(cuts, group).withColumn("__after", after).drop("__cut", "__gap")
+    return items.join(cuts, group).withColumn("__after", F.coalesce(F.col(at) >= F.col("__cut"), F.lit(False))).drop("__cut")
 
 
 def resplit_generic(
-    items: DataFrame, cluster: str, at: str, record_id: str, generic: Callable[[DataFrame], DataFrame], more_than: int = 20, max_rounds: int = 100
+    items: DataFrame, cluster: str, at: str, generic: Callable[[DataFrame], DataFrame], more_than: int = 20, max_rounds: int = 100
 ) -> DataFrame:
     """items whose clusters (a STRING column) of more than `more_than` items were cut at their largest gap for as long as their name is generic.
 
@@ -83,7 +85,7 @@ def resplit_generic(
     for _ in range(max_rounds):
         stats = cluster_stats(open_, [cluster], at).filter(F.col("item_count") > more_than)
         vague = generic(stats).select(cluster).distinct()
-        marked = _after_largest_gap(open_.join(vague, cluster, "left_semi"), [cluster], at, record_id).filter("__top > 0")
+        marked = _after_largest_gap(open_.join(vague, cluster, "left_semi"), [cluster], at).filter("__top > 0")
         cut = marked.withColumn("__new", F.concat(cluster, F.when(F.col("__after"), ".1").otherwise(".0")))
         cut = cut_lineage(cut.withColumn(cluster, F.col("__new")).drop("__new", "__after", "__top", "__days").select(items.columns))
         parents = cut.select(F.regexp_replace(cluster, r"\.[01]$", "").alias(cluster)).distinct()

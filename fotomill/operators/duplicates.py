@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fotomill.functions.hashes import hamming, prefix_bucket
-from fotomill.session import cut_lineage
+from fotomill.session import cut_and_measure, cut_lineage, hot_split_join
 
 
 def hash_classes(items: DataFrame, record_id: str, hash_col: str, burst: str) -> DataFrame:
@@ -42,19 +42,23 @@ def least_labels(pairs: DataFrame, a: str, b: str, max_rounds: int = 200) -> Dat
     """(node, label): the least node reachable from each node of `pairs`.
 
     Labels spread along the edges and jump to the label of their label, so rounds grow slower than the longest
-    chain; each round is written to the checkpoint folder.
+    chain; each round is written to the checkpoint folder. The edges of a hub, and the nodes that share a label, are spread over many tasks.
     """
     e = pairs.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    edges = cut_lineage(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    edges, seen = cut_and_measure(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), n=F.count(F.lit(1)))
+    degree = cut_lineage(edges.groupBy("v").agg(F.count("*").alias("uses")))
     labels = cut_lineage(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")))
     for _ in range(max_rounds):
-        near = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        nxt = labels.join(near, "node").select("node", F.least("label", "near").alias("label"))
+        near = hot_split_join(edges, labels.withColumnRenamed("node", "v"), "v", "uses", seen["n"], F.col("u"), counts=degree)
+        nxt = labels.join(near.groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near")), "node")
+        nxt = nxt.select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        nxt = cut_lineage(nxt.join(jump, "label", "left").select("node", F.least("label", "far").alias("label")))
-        changed = nxt.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count()
-        labels = nxt
-        if not changed:
+        holders = nxt.groupBy("label").agg(F.count("*").alias("uses"))
+        moved = hot_split_join(nxt, jump, "label", "uses", seen["n"], F.col("node"), "left", holders)
+        moved = moved.select("node", F.least("label", "far").alias("label"), "old")
+        labels, now = cut_and_measure(moved, changed=F.coalesce(F.count_if(F.col("label") != F.col("old")), F.lit(0)))
+        labels = labels.drop("old")
+        if not now["changed"]:
             return labels
     raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fotomill.operators.ordering import numbered_in_group
+
 
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str, order: list[str]) -> DataFrame:
     """existing plus the rows of incoming with new keys, the first by `order` of each; null keys are never equal."""
@@ -45,9 +47,8 @@ def all_or_nothing(items: DataFrame, wanted: DataFrame, item_key: str, allowed:
 def target_paths(items: DataFrame, folder: Column, name: str, record_id: str, taken: DataFrame | None = None) -> DataFrame:
     """items with target_path `folder/name`; where that is taken, by another item of less id or in `taken`, `folder/<id>_name`."""
     rows = items.withColumn("__path", F.concat(folder, F.lit("/"), F.col(name)))
-    w = Window.partitionBy("__path").orderBy(record_id)
-    rows = rows.withColumn("__n", F.row_number().over(w))
-    busy = F.col("__n") > 1
+    rows = numbered_in_group(rows, ["__path"], [record_id], "__n")
+    busy = F.col("__n") > 0
     if taken is not None:
         rows = rows.join(taken.select(F.col(taken.columns[0]).alias("__path")).distinct().withColumn("__t", F.lit(True)), "__path", "left")
         busy = busy | F.coalesce("__t", F.lit(False))
@@ -57,10 +58,10 @@ def target_paths(items: DataFrame, folder: Column, name: str, record_id: str, ta
 
 def numbered_paths(items: DataFrame, name: str, record_id: str, most: int = 9999) -> DataFrame:
     """items with unique_name: the first of equal names keeps it, the others get _1, _2 … before the extension, `_overflow` past `most`."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(record_id)) - 1
+    rows, n = numbered_in_group(items, [name], [record_id], "__n"), F.col("__n")
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
     suffix = F.when(n <= most, n.cast("string")).otherwise("overflow")
-    return items.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), suffix, ext)))
+    return rows.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), suffix, ext))).select(*items.columns, "unique_name")
 
 
 def resolve_paths(items: DataFrame, candidates: list[Column], listing: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fotomill.functions.geo import haversine_miles
-from fotomill.operators.ordering import is_even_sample, position_in_group
+from fotomill.operators.ordering import is_even_sample, position_in_group, upper_median
 
 
 def home_config(settings: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def location_facts(items: DataFrame, group: list[str], order: list[str], at: str
     ranked = position_in_group(located.select(*group, *order, city), group, order)
     sampled = ranked.filter(is_even_sample(F.col("pos"), F.col("size"), F.least(F.col("size"), F.lit(votes))))
     places = dominant_places(sampled, group, city, "pos")
-    by_miles = position_in_group(located.select(*group, "miles"), group, ["miles"]).filter("pos = floor(size / 2)")
+    by_miles = upper_median(located, group, "miles", order)
     joined = facts.join(outside, group, "left").join(by_miles.select(*group, "miles"), group, "left").join(places, group, "left")
     far = (F.col("miles") > radius) & (F.col("outside") >= 0.6)
     elsewhere = F.coalesce((F.col("place_confidence") == "high") & (F.lower("dominant_location") != F.lower(F.lit(label))), F.lit(False))

@@ -9,29 +9,58 @@ from fotomill.functions.dates import month_name
 from fotomill.functions.text import BANNED_NAMES, CONFIDENCES, EVENT_TYPES, sanitize_folder_name, with_year, without_year
 
 
-def offline_names(clusters: DataFrame, away: Column | None = None, place: Column | None = None) -> DataFrame:
-    """clusters (event_year, item_count, start_date, is_holiday) with base_name, confidence, event_type and is_misc.
+#: A name suggested for a cluster: from outside, or by offline_suggestion().
+SUGGESTION = "struct<folder_name:string,confidence:string,event_type:string,reasoning:string>"
 
-    Fewer than three items are Misc; a cluster touching the December holidays is Family Christmas; else a trip
-    if away with a known place, else the month's memories.
+
+def offline_suggestion(year: Column, start_date: Column, away: Column, place: Column) -> Column:
+    """What a cluster is called without any outside help: a trip if away with a known place, else the month's activities; of low confidence."""
+    name = F.when(away & place.isNotNull(), F.concat(place, F.lit(" Trip"))).otherwise(F.concat(month_name(start_date), F.lit(" Activities")))
+    return F.struct(
+        F.concat(year.cast("string"), F.lit(" - "), name).alias("folder_name"), F.lit("low").alias("confidence"), F.lit("misc").alias("event_type"),
+        F.lit("Named from dates and places alone.").alias("reasoning"),
+    )
+
+
+def cluster_names(clusters: DataFrame, suggestion: Column | None = None, away: Column | None = None, place: Column | None = None) -> DataFrame:
+    """clusters (event_year, item_count, start_date, is_holiday) with suggested_name, base_name, confidence, event_type, reasoning and is_misc.
+
+    First the size: fewer than three items are Misc, whatever the date. Then the suggestion (SUGGESTION; offline_suggestion() where there is
+    none); a cluster touching the December holidays is Family Christmas unless the suggestion is of high confidence; a blank name is Misc.
+    A name of low confidence and type misc is rewritten: a trip if away with a known place, else the month's memories; one of
+    another type stays. is_misc goes by the type, by the name where there is no type.
     """
-    away = F.coalesce(away, F.lit(False)) if away is not None else F.lit(False)
-    place = place if place is not None else F.lit(None).cast("string")
-    small, holiday = F.col("item_count") < 3, F.col("is_holiday")
-    name = (
-        F.when(holiday, "Family Christmas")
-        .when(small, "Misc")
-        .when(away & place.isNotNull(), F.concat(place, F.lit(" Trip")))
-        .otherwise(F.concat(month_name(F.col("start_date")), F.lit(" Memories")))
+    no = F.lit(None).cast("string")
+    away, place = (F.coalesce(away, F.lit(False)) if away is not None else F.lit(False)), (place if place is not None else no)
+    year = F.col("event_year")
+    titled = lambda name: F.concat(year.cast("string"), F.lit(" - "), name)
+    given = lambda name, confidence, kind, why: F.struct(
+        titled(F.lit(name)).alias("folder_name"), F.lit(confidence).alias("confidence"), F.lit(kind).alias("event_type"), F.lit(why).alias("reasoning")
     )
-    return clusters.withColumns(
-        {
-            "base_name": with_year(name, F.col("event_year")),
-            "confidence": F.when(holiday, "high").when(small, "medium").otherwise("low"),
-            "event_type": F.when(holiday, "holiday").otherwise("misc"),
-            "is_misc": F.when(holiday, 0).otherwise(1),
-        }
+    offline = offline_suggestion(year, F.col("start_date"), away, place)
+    said = offline if suggestion is None else F.coalesce(suggestion.cast(SUGGESTION), offline)
+    sure = F.coalesce(F.lower(said["confidence"]) == "high", F.lit(False))
+    chosen = (
+        F.when(F.col("item_count") < 3, given("Misc", "medium", "misc", "Small cluster."))
+        .when(F.col("is_holiday") & ~sure, given("Family Christmas", "high", "holiday", "Taken in the December holidays."))
+        .otherwise(said)
     )
+    out = clusters.withColumn("__c", chosen).select(*clusters.columns, "__c.*")
+    name = F.when(F.coalesce(F.trim("folder_name"), F.lit("")) == "", titled(F.lit("Misc"))).otherwise(F.col("folder_name"))
+    out = out.withColumn("suggested_name", name).drop("folder_name")
+    low = F.coalesce(F.lower("confidence") == "low", F.lit(False))
+    misc = F.lower("event_type") == "misc"
+    rewritten = titled(F.when(away & place.isNotNull(), F.concat(place, F.lit(" Trip"))).otherwise(F.concat(month_name(F.col("start_date")), F.lit(" Memories"))))
+    out = out.withColumn("base_name", F.when(low & F.coalesce(misc, F.lit(False)), rewritten).otherwise(F.trim("suggested_name")))
+    return out.withColumn("is_misc", F.coalesce(misc, F.lower(without_year(F.col("base_name"), year)) == "misc").cast("int"))
+
+
+def low_confidence_audit(named: DataFrame) -> DataFrame:
+    """A row for the audit log of every name of low confidence: the suggested one, the one used instead (or kept), and why it was suggested."""
+    return named.filter(F.lower("confidence") == "low").select(
+        F.lit(None).cast("bigint").alias("media_item_id"), F.lit("event_name_low_confidence").alias("action_name"), F.col("suggested_name").alias("old_value"),
+        F.col("base_name").alias("new_value"), F.lit("ai_event_naming").alias("source"), F.col("reasoning").alias("details"),
+    )
 
 
 def resolve_collisions(named: DataFrame, scope: list[str], name: str, order: list[Column]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,30 @@ def global_ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> Da
 def position_in_group(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """df with pos, from 0, of each row in its group, and size of the group; a group may hold most rows."""
     ordered = cut_lineage(global_ordinal(df, [*group, *order], "__ord"))
-    sizes = ordered.groupBy(*group).agg(F.min("__ord").alias("__first"), F.count("*").alias("size"))
-    return ordered.join(sizes, group).withColumn("pos", F.col("__ord") - F.col("__first")).drop("__ord", "__first")
+    keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(group)]
+    sizes = ordered.groupBy(*group).agg(F.min("__ord").alias("__first"), F.count("*").alias("size")).select(*keys, "__first", "size")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(group)])
+    return ordered.join(sizes, same).drop(*[f"__k{i}" for i in range(len(group))]).withColumn("pos", F.col("__ord") - F.col("__first")).drop("__ord", "__first")
+
+
+def numbered_in_group(df: DataFrame, group: list[str], order: list[str], name: str = "pos", parts: int = 500) -> DataFrame:
+    """df with each row's position, from 0, in its group in the order of `order` (should be unique within a group).
+
+    Groups are numbered by a window each; those of more than a `parts`-th of all rows (at most `parts`, whose keys alone are
+    broadcast) by position_in_group(), which spreads them over many tasks.
+    """
+    sizes = df.groupBy(*group).agg(F.count("*").alias("__n"))
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    by_window = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
+    keys = [F.col(c).alias(f"__g{i}") for i, c in enumerate(group)]
+    hot = sizes.filter(F.col("__n") > max(100_000, total // parts)).select(*keys)
+    if not hot.limit(1).count():
+        return df.withColumn(name, by_window)
+    hot = cut_lineage(hot)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(group)])
+    cold = df.join(F.broadcast(hot), same, "left_anti").withColumn(name, by_window)
+    large = position_in_group(df.join(F.broadcast(hot), same, "left_semi"), group, order).drop("size")
+    return cold.unionByName(large.withColumn(name, F.col("pos").cast("int")).select(cold.columns))
 
 
 def even_positions(size: Column, target: Column) -> Column:
@@ -56,7 +80,10 @@ def work_window(items: DataFrame, done: DataFrame, record_id: str, order: list[C
     return first_by_order(items.join(done.select(record_id), record_id, "left_anti"), order, n)
 
 
-def upper_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """(group, value): of each group the element at floor(n/2) of its sorted non-null values, without interpolation."""
-    ranked = position_in_group(df.filter(F.col(value).isNotNull()).select(*group, value), group, [value])
+def upper_median(df: DataFrame, group: list[str], value: str, tie: list[str]) -> DataFrame:
+    """(group, value): of each group the element at floor(n/2) of its sorted non-null values, without interpolation.
+
+    tie: columns that tell rows of equal value apart, so that a group with one value alone can be spread over tasks.
+    """
+    ranked = position_in_group(df.filter(F.col(value).isNotNull()).select(*group, value, *tie), group, [value, *tie])
     return ranked.filter("pos = floor(size / 2)").select(*group, value)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fotomill.session import salted_lookup
+from fotomill.session import hot_split_join
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ def _children(refs: list[Reference]) -> DataFrame:
 
 
 def suspect_keys(refs: list[Reference]) -> DataFrame:
-    """(parent_table, missing_key, parent_at) of the keys that some row refers to too early or in vain.
+    """(parent_table, missing_key, parent_at, uses) of the keys that some row refers to too early or in vain, with the number of such rows.
 
     Parents and children are united in one tagged long form and grouped by parent table and key, with partial
     aggregation before the shuffle, so that a key held by a third of all rows is as cheap as any. Groups without
@@ -87,10 +87,11 @@ def suspect_keys(refs: list[Reference]) -> DataFrame:
             F.min("parent_at").alias("parent_at"),
             F.min("child_at").alias("first_at"),
             F.min("is_parent").alias("unreferred"),
+            F.sum(1 - F.col("is_parent")).alias("uses"),
         )
     )
     return grouped.filter("unreferred = 0 AND (has_parent = 0 OR first_at < parent_at)").select(
-        "parent_table", "missing_key", F.when(F.col("has_parent") == 1, F.col("parent_at")).alias("parent_at")
+        "parent_table", "missing_key", F.when(F.col("has_parent") == 1, F.col("parent_at")).alias("parent_at"), "uses"
     )
 
 
@@ -102,11 +103,11 @@ def orphan_references(refs: list[Reference]) -> DataFrame:
     can be missing but not late). Null keys refer to nothing. Rows delivered twice come out once. Extra columns
     don't matter; empty tables give no rows, and an empty parent makes every reference missing.
 
-    The rows meet the few suspect keys in a join salted by record, so that a hot missing key fills no task.
+    The rows meet the suspect keys in a join in which the rows of a hot key are spread over many tasks by record; how many rows a key has is known from
+    the grouping before.
     """
-    rows = salted_lookup(
-        _children(refs), suspect_keys(refs), ["parent_table", "missing_key"], F.col("record_id"), "inner", salts=8
-    )
+    total = sum(r.child.count() for r in refs)
+    rows = hot_split_join(_children(refs), suspect_keys(refs), ["parent_table", "missing_key"], "uses", total, F.col("record_id"))
     late = F.col("parent_at").isNotNull()
     return (
         rows.filter(~late | (F.col("parent_at") > F.col("at")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fotomill.functions.timestamps import with_instant
-from fotomill.session import salted_lookup
+from fotomill.session import hot_split_join, lookup
 
 
 def device_zones(devices: DataFrame) -> DataFrame:
@@ -16,50 +16,48 @@ def device_zones(devices: DataFrame) -> DataFrame:
     )
 
 
-def normalise(
-    df: DataFrame,
-    devices: DataFrame,
-    record_id: str,
-    value: str,
-    device: Column | str,
-    utc_when: Column | None = None,
-    keep: dict[str, Column] | None = None,
-) -> DataFrame:
-    """(record_id BIGINT, utc_micros BIGINT, has_time BOOLEAN, *keep) of each record whose value names a day or instant.
+def with_zones(rows: DataFrame, devices: DataFrame, device: str, spread: str) -> DataFrame:
+    """rows with zone and date_order of their device, null for null and unknown ones. A device may hold a third of all rows."""
+    zones = device_zones(devices).withColumnRenamed("device", device)
+    return lookup(rows, zones, device, F.col(spread), rows.count(), devices.count())
+
 
-    device: the column with the id of the device whose zone and date order hold for values without their own;
-    null or unknown devices mean UTC and day first. utc_when: rows for which UTC takes the device zone's place.
-    Values that are null, blank, partial or impossible give no row. Repeated records are kept as they come.
-    Other columns of df, of whatever name, are not looked at. Empty tables give no rows.
+def normalise(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """(record_id BIGINT, utc_micros BIGINT, has_time BOOLEAN, *keep) of each record whose value names a day or instant.
 
-    Skew: devices are uneven, so rows are salted by record before the lookup.
+    rows: (record_id, value, as_utc, zone, date_order, *keep). zone and date_order hold for values without their own; null zones mean UTC, and null
+    orders day first. as_utc: rows for which UTC takes the zone's place.
+    Values that are null, blank, partial or impossible give no row. Repeated records are kept as they come. Empty tables give no rows.
     """
-    device = F.col(device) if isinstance(device, str) else device
-    rows = df.select(
-        F.col(record_id).alias("record_id"),
-        F.col(value).alias("value"),
-        device.alias("device"),
-        (F.coalesce(utc_when, F.lit(False)) if utc_when is not None else F.lit(False)).alias("as_utc"),
-        *[c.alias(k) for k, c in (keep or {}).items()],
-    ).filter(F.length(F.trim("value")) >= 8)
-    found = salted_lookup(rows, device_zones(devices), ["device"], F.col("record_id"), salts=8)
-    zone = F.when(~F.col("as_utc"), F.col("zone"))
-    return with_instant(found, "value", zone, F.col("date_order")).select("record_id", "utc_micros", "has_time", *(keep or {}))
-
-
-def item_devices(media: DataFrame) -> DataFrame:
-    """(media_item_id, device), one row per item; of repeated ids the least device counts."""
-    return (
-        media.filter("id IS NOT NULL AND source_device IS NOT NULL")
-        .groupBy(F.col("id").alias("media_item_id"))
-        .agg(F.min("source_device").alias("device"))
-    )
+    zone = F.when(~F.coalesce("as_utc", F.lit(False)), F.col("zone"))
+    return with_instant(rows, "value", zone, F.col("date_order")).select("record_id", "utc_micros", "has_time", *keep)
+
+
+def _readable(df: DataFrame) -> DataFrame:
+    """Rows whose value is long enough to name a day."""
+    return df.filter(F.length(F.trim("value")) >= 8)
+
+
+def item_zones(media: DataFrame, devices: DataFrame) -> DataFrame:
+    """(media_item_id, zone, date_order), one row per item with a device; of repeated ids the least device counts."""
+    items = media.filter("id IS NOT NULL AND source_device IS NOT NULL").groupBy(F.col("id").alias("media_item_id")).agg(F.min("source_device").alias("device"))
+    return with_zones(items, devices, "device", "media_item_id").drop("device")
+
+
+def _by_item(rows: DataFrame, media: DataFrame, devices: DataFrame) -> DataFrame:
+    """rows (record_id, media_item_id, …) with the zone of their item; an item may hold a third of all rows."""
+    uses = rows.groupBy("media_item_id").agg(F.count("*").alias("uses"))
+    zones = item_zones(media, devices)
+    return hot_split_join(rows, zones.join(uses, "media_item_id"), "media_item_id", "uses", rows.count(), F.col("record_id"), "left", uses)
 
 
 def capture_times(media: DataFrame, devices: DataFrame, keep: dict[str, Column] | None = None) -> DataFrame:
     """normalise() of media_items.date_taken: the source `fixture` (in any case, outer blanks ignored) means UTC."""
-    fixture = F.lower(F.trim("date_taken_source")) == "fixture"
-    return normalise(media, devices, "id", "date_taken", "source_device", fixture, keep)
+    rows = media.select(
+        F.col("id").alias("record_id"), F.col("date_taken").alias("value"), (F.lower(F.trim("date_taken_source")) == "fixture").alias("as_utc"),
+        F.col("source_device").alias("__device"), *[c.alias(k) for k, c in (keep or {}).items()],
+    )
+    return normalise(with_zones(_readable(rows), devices, "__device", "record_id"), list(keep or {}))
 
 
 def created_times(metadata: DataFrame, media: DataFrame, devices: DataFrame) -> DataFrame:
@@ -67,15 +65,12 @@ def created_times(metadata: DataFrame, media: DataFrame, devices: DataFrame) ->
 
     Records delivered twice count once.
     """
-    rows = metadata.select("record_id", "media_item_id", "create_date", "mime_type").dropDuplicates()
-    rows = rows.join(item_devices(media), "media_item_id", "left")
-    return normalise(
-        rows, devices, "record_id", "create_date", "device", F.lower(F.trim("mime_type")).startswith("video/")
-    )
+    video = F.lower(F.trim("mime_type")).startswith("video/").alias("as_utc")
+    rows = metadata.select(F.col("record_id"), "media_item_id", F.col("create_date").alias("value"), video).dropDuplicates()
+    return normalise(_by_item(_readable(rows), media, devices), [])
 
 
 def estimated_times(estimates: DataFrame, media: DataFrame, devices: DataFrame) -> DataFrame:
     """normalise() of date_estimate.ai_date by the device of the estimate's item. Equal rows count once."""
-    rows = estimates.select("estimate_id", "media_item_id", "ai_date").dropDuplicates()
-    rows = rows.join(item_devices(media), "media_item_id", "left")
-    return normalise(rows, devices, "estimate_id", "ai_date", "device")
+    rows = estimates.select(F.col("estimate_id").alias("record_id"), "media_item_id", F.col("ai_date").alias("value"), F.lit(False).alias("as_utc")).dropDuplicates()
+    return normalise(_by_item(_readable(rows), media, devices), [])

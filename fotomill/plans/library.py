@@ -48,20 +48,39 @@ _STATS = f"""{_SPLIT}
 , stats AS (SELECT event_year, cluster_no, part_no, count(*) AS item_count, min(ts::DATE) AS start_date, max(ts::DATE) AS end_date,
   (max(ts::DATE) - min(ts::DATE) + 1)::BIGINT AS duration_days, count(DISTINCT ts::DATE) AS distinct_days,
   bool_or(month(ts) = 12 AND day(ts) >= 20) AS is_holiday FROM parts GROUP BY event_year, cluster_no, part_no)"""
-_NAMES = f"""{_STATS}
-, named AS (SELECT *, event_year::VARCHAR || ' - ' || CASE WHEN is_holiday THEN 'Family Christmas' WHEN item_count < 3 THEN 'Misc' ELSE monthname(start_date) || ' Memories' END AS base_name,
-  CASE WHEN is_holiday THEN 'high' WHEN item_count < 3 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN is_holiday THEN 0 ELSE 1 END AS is_misc FROM stats)
+# The items that are ready to be grouped.
+_READY = "status = 'date_verified' AND coalesce(date_needs_review, 0) = 0"
+_READY_STATS = _STATS.replace("FROM media_items)", f"FROM media_items WHERE {_READY})")
+_OFFLINE = "CASE WHEN away AND place IS NOT NULL THEN place || ' Trip' ELSE monthname(start_date) || ' Activities' END"
+# Over `described`: the clusters' facts with what was suggested for them (s_*), away and place.
+_NAMING = f"""suggested AS (SELECT *, event_year::VARCHAR || ' - ' AS y,
+  CASE WHEN item_count < 3 THEN 'small' WHEN is_holiday AND NOT coalesce(CASE WHEN has_s THEN lower(s_confidence) = 'high' ELSE false END, false) THEN 'holiday' WHEN has_s THEN 'given' ELSE 'offline' END AS way FROM described)
+, chosen AS (SELECT *, CASE way WHEN 'small' THEN y || 'Misc' WHEN 'holiday' THEN y || 'Family Christmas' WHEN 'given' THEN CASE WHEN coalesce(trim(s_name), '') = '' THEN y || 'Misc' ELSE s_name END ELSE y || {_OFFLINE} END AS suggested_name,
+  CASE way WHEN 'small' THEN 'medium' WHEN 'holiday' THEN 'high' WHEN 'given' THEN s_confidence ELSE 'low' END AS confidence,
+  CASE way WHEN 'small' THEN 'misc' WHEN 'holiday' THEN 'holiday' WHEN 'given' THEN s_type ELSE 'misc' END AS event_type FROM suggested)
+, rewritten AS (SELECT *, CASE WHEN lower(confidence) = 'low' AND lower(event_type) = 'misc' THEN y || CASE WHEN away AND place IS NOT NULL THEN place || ' Trip' ELSE monthname(start_date) || ' Memories' END
+  ELSE trim(suggested_name) END AS base_name FROM chosen)
+, named AS (SELECT *, CASE WHEN event_type IS NOT NULL THEN lower(event_type) = 'misc' ELSE lower(CASE WHEN starts_with(base_name, y) THEN substr(base_name, length(y) + 1) ELSE base_name END) = 'misc' END::INT AS is_misc FROM rewritten)"""
+_NAMES = f"""{_READY_STATS}
+, described AS (SELECT *, false AS has_s, NULL::VARCHAR AS s_name, NULL::VARCHAR AS s_confidence, NULL::VARCHAR AS s_type, false AS away, NULL::VARCHAR AS place FROM stats)
+, {_NAMING}
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY event_year, lower(base_name) ORDER BY cluster_no DESC, part_no DESC) AS n FROM named)
 , folders AS (SELECT *, CASE n WHEN 1 THEN base_name WHEN 2 THEN base_name || ' (Early)' WHEN 3 THEN base_name || ' (Late)' ELSE base_name || ' ' || (n - 2)::VARCHAR END AS folder_name FROM ranked)"""
 
 
-def _items(spark: SparkSession, d: str) -> DataFrame:
-    m = _media(spark, d)
+def _items(spark: SparkSession, d: str, ready: bool = False) -> DataFrame:
+    m = _ready(_media(spark, d)) if ready else _media(spark, d)
     return m.select("id", "filename", "source_device", "blur_score", "perceptual_hash", dates.capture_time(F.col("date_taken")).alias("at"))
 
 
-def _parts(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.split_long_spans(clusters.day_clusters(_items(spark, d), "at"), "at", "id")
+def _ready(media: DataFrame) -> DataFrame:
+    """Items whose date is verified and not up for review."""
+    return media.filter((F.col("status") == "date_verified") & (F.coalesce("date_needs_review", F.lit(0)) == 0))
+
+
+def _parts(spark: SparkSession, d: str, ready: bool = False) -> DataFrame:
+    items = _items(spark, d, ready)
+    return clusters.split_long_spans(clusters.day_clusters(items, "at"), "at")
 
 
 _GROUP = ["event_year", "cluster_no", "part_no"]
@@ -186,8 +205,13 @@ def video_review_queue(spark, d):
 def video_threshold_views(spark, d):
     """Short or small videos, by either mode, smallest first."""
     v = _media(spark, d).filter(F.col("mime_type").ilike("video/%") & (F.col("status") != "excluded"))
-    size = v.filter(F.col("file_size") <= 20 * 1024 * 1024).orderBy("file_size").select(F.lit("size").alias("mode"), "id")
-    return size.unionByName(v.filter(F.col("duration_secs") <= 15).orderBy("duration_secs").select(F.lit("duration").alias("mode"), "id"))
+    size, seconds = F.col("file_size"), F.col("duration_secs")
+    modes = F.array(
+        F.when(size <= 20 * 1024 * 1024, F.struct(F.lit("size").alias("mode"), size.cast("double").alias("key"))),
+        F.when(seconds <= 15, F.struct(F.lit("duration").alias("mode"), seconds.alias("key"))),
+    )
+    rows = v.select("id", F.explode(F.filter(modes, lambda x: x.isNotNull())).alias("m"))
+    return rows.select("m.mode", "id", "m.key").orderBy("mode", "key", "id").select("mode", "id")
 
 
 @query(f"""WITH v AS (SELECT id, {_FLAGS_SQL} AS f, duplicate_group_id AS dup, burst_group_id AS b FROM media_items WHERE status <> 'excluded' AND mime_type ILIKE 'image/%')
@@ -202,10 +226,10 @@ def image_view_modes(spark, d):
 
 
 @query("""SELECT id, blur_score BETWEEN 40 AND 60 AS borderline, coalesce(screenshot_heuristic >= 0.6 AND NOT isnan(screenshot_heuristic), false) AS screenshot_candidate, coalesce(file_size, 0) AS file_size
- FROM media_items WHERE mime_type ILIKE 'image/%' AND blur_score IS NOT NULL AND NOT isnan(blur_score)""")
+ FROM media_items WHERE mime_type ILIKE 'image/%' AND status = 'indexed'""")
 def scan_candidates(spark, d):
-    """Images with a blur score alone, as the SQL has them: whether it is borderline, and whether they may be screenshots; review_candidates has every image."""
-    m = _media(spark, d).filter(F.col("mime_type").ilike("image/%") & F.col("blur_score").isNotNull() & ~F.isnan("blur_score"))
+    """Images still to be scanned: whether the blur score, if any, is borderline, and whether they may be screenshots."""
+    m = _media(spark, d).filter(F.col("mime_type").ilike("image/%") & (F.col("status") == "indexed"))
     shot = F.coalesce((F.col("screenshot_heuristic") >= 0.6) & ~F.isnan("screenshot_heuristic"), F.lit(False))
     return m.select("id", F.col("blur_score").between(50 * 0.8, 50 * 1.2).alias("borderline"), shot.alias("screenshot_candidate"), F.coalesce("file_size", F.lit(0)).alias("file_size"))
 
@@ -399,7 +423,7 @@ def exif_days(spark, d):
     return table(spark, d, "metadata_info").select("record_id", dates.exif_day(c).alias("day"), dates.normalised_day(c, 2026).alias("legacy_day"))
 
 
-@query(r"""SELECT id, trim(regexp_replace(ai_suggested_name, '[<>:"/\\|?*]', '-', 'g')) AS cleaned, event_year::VARCHAR || ' - ' || group_name AS with_year, lower(trim(group_name)) AS normal,
+@query(r"""SELECT id, rtrim(rtrim(trim(regexp_replace(ai_suggested_name, '[<>:"/\\|?*]', '-', 'g')), '.'), ' ') AS cleaned, event_year::VARCHAR || ' - ' || group_name AS with_year, lower(trim(group_name)) AS normal,
  CASE WHEN starts_with(folder_name, event_year::VARCHAR || ' - ') THEN substr(folder_name, length(event_year::VARCHAR) + 4) ELSE folder_name END AS without_year FROM event_groups""")
 def group_names(spark, d):
     g = table(spark, d, "event_groups")
@@ -537,21 +561,49 @@ def cluster_stats(spark, d):
 
 
 def _named(spark, d):
-    named = naming.offline_names(clusters.cluster_stats(_parts(spark, d), _GROUP, "at"))
+    named = naming.cluster_names(clusters.cluster_stats(_parts(spark, d, True), _GROUP, "at"))
     return naming.resolve_collisions(named, ["event_year"], "base_name", [F.desc("cluster_no"), F.desc("part_no")])
 
 
 @query(f"WITH {_NAMES} SELECT event_year, folder_name, item_count, start_date, end_date, duration_days, distinct_days, confidence, is_misc FROM folders")
 def offline_event_names(spark, d):
-    """The flagship: items to clusters, cut, described, named, and told apart."""
+    """The flagship: items ready to be grouped to clusters, cut, described, named, and told apart."""
     return _named(spark, d).select("event_year", "folder_name", "item_count", "start_date", "end_date", "duration_days", "distinct_days", "confidence", "is_misc")
 
 
 @query(f"WITH {_NAMES} SELECT p.id, f.folder_name FROM parts p JOIN folders f USING (event_year, cluster_no, part_no)")
 def regrouped_items(spark, d):
-    """Every dated item with its event's folder."""
+    """Every item ready to be grouped with its event's folder."""
     names = _named(spark, d).select(*_GROUP, "folder_name")
-    return _parts(spark, d).join(names, _GROUP).select("id", "folder_name")
+    return _parts(spark, d, True).join(names, _GROUP).select("id", "folder_name")
+
+
+_DESCRIBED = f"""{_STATS}
+, described AS (SELECT s.*, g.id IS NOT NULL AS has_s, g.ai_suggested_name AS s_name, g.ai_confidence AS s_confidence, CASE WHEN g.id % 7 = 0 THEN 'misc' ELSE g.ai_event_type END AS s_type,
+  s.cluster_no % 3 = 0 AS away, n.n_name AS place FROM stats s LEFT JOIN event_groups g ON g.id = s.cluster_no AND s.part_no = 0 LEFT JOIN nation n ON n.n_nationkey = s.item_count % 40)
+, {_NAMING}"""
+
+
+def _suggested(spark, d):
+    """Clusters named with suggestions: those of the event group with the cluster's number stand in for outside ones, nations for places."""
+    g = table(spark, d, "event_groups")
+    kind = F.when(F.col("id") % 7 == 0, "misc").otherwise(F.col("ai_event_type"))
+    said = F.struct(F.col("ai_suggested_name").alias("folder_name"), F.col("ai_confidence").alias("confidence"), kind.alias("event_type"), F.lit(None).cast("string").alias("reasoning"))
+    g = g.select(F.col("id").cast("int").alias("cluster_no"), F.lit(0).alias("part_no"), said.alias("said"))
+    c = clusters.cluster_stats(_parts(spark, d), _GROUP, "at").withColumn("k", F.col("item_count") % 40)
+    places = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("place"))
+    c = c.join(g, ["cluster_no", "part_no"], "left").join(places, "k", "left")
+    return naming.cluster_names(c, F.col("said"), F.col("cluster_no") % 3 == 0, F.col("place"))
+
+
+@query(f"WITH {_DESCRIBED} SELECT event_year, cluster_no, part_no, suggested_name, base_name, confidence, event_type, is_misc FROM named")
+def suggested_event_names(spark, d):
+    return _suggested(spark, d).select(*_GROUP, "suggested_name", "base_name", "confidence", "event_type", "is_misc")
+
+
+@query(f"WITH {_DESCRIBED} SELECT NULL::BIGINT AS media_item_id, 'event_name_low_confidence' AS action_name, suggested_name AS old_value, base_name AS new_value, 'ai_event_naming' AS source FROM named WHERE lower(confidence) = 'low'")
+def low_confidence_audit(spark, d):
+    return naming.low_confidence_audit(_suggested(spark, d)).drop("details")
 
 
 _POS = f"""{_CLUSTERS}
@@ -660,7 +712,7 @@ def location_facts(spark, d):
 @query(f"WITH {_CLUSTERS}, {_GPS} SELECT event_year, cluster_no, list_sort(list({_MILES}))[count(*) // 2 + 1].round(4) AS miles FROM gps WHERE lat IS NOT NULL GROUP BY ALL")
 def upper_median_distance(spark, d):
     g = _gps(spark, d).withColumn("miles", geo.haversine_miles(F.lit(36.5), F.lit(-86.0), F.col("lat"), F.col("lon")))
-    return ordering.upper_median(g, ["event_year", "cluster_no"], "miles").withColumn("miles", F.round("miles", 4))
+    return ordering.upper_median(g, ["event_year", "cluster_no"], "miles", ["at", "id"]).withColumn("miles", F.round("miles", 4))
 
 
 @query(f"""WITH {_CLUSTERS}, {_GPS} SELECT event_year, cluster_no, arg_min(city, (ts, id)) AS first_city FROM gps WHERE city IS NOT NULL GROUP BY ALL""")

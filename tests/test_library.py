@@ -35,7 +35,7 @@ def test_clusters_and_long_spans(spark):
     got = clusters.day_clusters(df, "at")
     assert sorted((r["id"], r["cluster_no"]) for r in got.collect()) == [(1, 1), (2, 1), (3, 2)]
     long = clusters.day_clusters(_items(spark, [(i + 1, f"2026-01-{d:02d}") for i, d in enumerate((1, 2, 3, 20, 21))]), "at", gap_days=30)
-    parts = clusters.split_long_spans(long, "at", "id", 14)
+    parts = clusters.split_long_spans(long, "at", 14)
     assert sorted((r["id"], r["part_no"]) for r in parts.collect()) == [(1, 0), (2, 0), (3, 0), (4, 1), (5, 1)]
     days = _items(spark, [(1, "2025-07-01 10:00:00"), (2, "2025-07-01 14:00:00"), (3, "2025-07-03"), (4, "2025-12-24")]).withColumn("g", F.lit(1))
     s = {r["duration_days"]: r for r in clusters.cluster_stats(days.filter("id < 4"), ["g"], "at").collect()}
@@ -52,7 +52,7 @@ def test_long_span_is_cut_once_at_the_first_largest_gap_even_within_an_hour(spar
         rows.append((i, at.isoformat(sep=" ")))
     assert (at - t0).days > 14
     c = clusters.day_clusters(_items(spark, rows), "at")
-    got = {r["id"]: r["part_no"] for r in clusters.split_long_spans(c, "at", "id").collect()}
+    got = {r["id"]: r["part_no"] for r in clusters.split_long_spans(c, "at").collect()}
     gaps = [(datetime.fromisoformat(b[1]) - datetime.fromisoformat(a[1])).total_seconds() for a, b in zip(rows, rows[1:], strict=False)]
     cut = gaps.index(max(gaps)) + 1
     assert got == {i: int(i >= cut) for i in range(2500)}
@@ -75,7 +75,7 @@ def test_generic_clusters_are_cut_until_named(spark):
 
     df = spark.createDataFrame([(i, t, "a") for i, t in rows] + [(i, t, "b") for i, t in flat], "id long, t timestamp, c string")
     df = df.select("id", F.col("t").cast("timestamp_ntz").alias("at"), "c")
-    got = clusters.resplit_generic(df, "c", "at", "id", lambda s: s.filter("day(start_date) % 2 = 1")).collect()
+    got = clusters.resplit_generic(df, "c", "at", lambda s: s.filter("day(start_date) % 2 = 1")).collect()
     parts = {}
     for r in got:
         parts.setdefault(r["c"], set()).add(r["id"])
@@ -127,7 +127,7 @@ def test_ordinals_and_upper_median(spark):
     got = {r["k"]: r["ordinal"] for r in ordering.global_ordinal(df, ["k"]).collect()}
     assert got == {k: k + 1 for k in range(1000)}
     m = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 10.0), ("b", 5.0), ("b", None)], "g string, v double")
-    assert {tuple(r) for r in ordering.upper_median(m, ["g"], "v").collect()} == {("a", 3.0), ("b", 5.0)}
+    assert {tuple(r) for r in ordering.upper_median(m.withColumn("i", F.monotonically_increasing_id()), ["g"], "v", ["i"]).collect()} == {("a", 3.0), ("b", 5.0)}
 
 
 def test_collisions_and_names(spark):
@@ -140,10 +140,25 @@ def test_collisions_and_names(spark):
     s = "struct<confidence:string,needs_fallback:boolean,n:int>"
     r = spark.createDataFrame([(("low", False, 1), ("high", False, 2)), (("high", False, 1), ("high", False, 2)), (None, ("low", True, 2)), (("low", True, 1), None)], f"a {s}, b {s}")
     assert [x[0] for x in r.select(naming.routed(F.col("a"), F.col("b"))["n"]).collect()] == [2, 1, 2, 1]
-    c = spark.createDataFrame([(2026, 5, datetime(2026, 2, 14).date(), False), (2026, 2, datetime(2026, 2, 14).date(), False), (2025, 2, datetime(2025, 12, 24).date(), True)], "event_year int, item_count long, start_date date, is_holiday boolean")
-    assert [x["base_name"] for x in naming.offline_names(c).collect()] == ["2026 - February Memories", "2026 - Misc", "2025 - Family Christmas"]
-    away = naming.offline_names(c, F.lit(True), F.lit("Lisbon")).first()
-    assert away["base_name"] == "2026 - Lisbon Trip" and away["is_misc"] == 1
+
+
+def test_cluster_names_go_by_size_then_season_then_confidence(spark):
+    day = lambda m, d: datetime(2025, m, d).date()
+    rows = [(2026, 5, datetime(2026, 2, 14).date(), False), (2026, 2, datetime(2026, 2, 14).date(), False), (2025, 2, day(12, 24), True), (2025, 3, day(12, 24), True)]
+    c = spark.createDataFrame(rows, "event_year int, item_count long, start_date date, is_holiday boolean")
+    got = [tuple(r) for r in naming.cluster_names(c).select("suggested_name", "base_name", "confidence", "event_type", "is_misc").collect()]
+    assert got == [
+        ("2026 - February Activities", "2026 - February Memories", "low", "misc", 1), ("2026 - Misc", "2026 - Misc", "medium", "misc", 1),
+        ("2025 - Misc", "2025 - Misc", "medium", "misc", 1), ("2025 - Family Christmas", "2025 - Family Christmas", "high", "holiday", 0),
+    ]
+    away = naming.cluster_names(c, away=F.lit(True), place=F.lit("Lisbon")).first()
+    assert (away["suggested_name"], away["base_name"], away["is_misc"]) == ("2026 - Lisbon Trip", "2026 - Lisbon Trip", 1)
+    said = [("2025 - Snow", "High", "sports"), ("2025 - Walks ", "LOW", "family"), ("2025 - Bits", "low", "Misc"), (" ", "medium", None), ("2025 - Misc", "medium", None), (None, None, None)]
+    s = spark.createDataFrame([(2025, 9, day(12, 24 if i == 0 else 1), i == 0, (*x, "why")) for i, x in enumerate(said)], "event_year int, item_count long, start_date date, is_holiday boolean, said " + naming.SUGGESTION)
+    named = naming.cluster_names(s, F.col("said"))
+    assert [(r["base_name"], r["is_misc"]) for r in named.collect()] == [("2025 - Snow", 0), ("2025 - Walks", 0), ("2025 - December Memories", 1), ("2025 - Misc", 1), ("2025 - Misc", 1), ("2025 - Misc", 1)]
+    audit = [(r["media_item_id"], r["old_value"], r["new_value"], r["details"]) for r in naming.low_confidence_audit(named).collect()]
+    assert audit == [(None, "2025 - Walks ", "2025 - Walks", "why"), (None, "2025 - Bits", "2025 - December Memories", "why")]
 
 
 def test_scalars(spark):
@@ -153,7 +168,10 @@ def test_scalars(spark):
     assert val(geo.geocode_key(F.lit(36.169), F.lit(-86.785))) == "36.17:-86.78"
     assert val(hashes.hamming(F.lit(0), F.lit(-1).cast("bigint"))) == 64
     assert val(text.sanitize_folder_name(F.lit(' a<b>:"c|?* .. '))) == "a-b---c---"
+    assert val(text.sanitize_folder_name(F.lit("name. ."))) == "name." and val(text.sanitize_folder_name(F.lit("name .."))) == "name"
     assert val(text.filename_prefix(F.lit("IMG_001.jpg"))) == "img"
+    assert val(text.long_path(F.lit("x" * 241))).startswith("\\\\?\\x") and val(text.long_path(F.lit("x" * 240))) == "x" * 240
+    assert val(text.model_id(F.lit("a"), F.lit("b"))) == "a:b"
     assert val(dates.exif_day(F.lit("2026:03:12 10:11:12"))) == "2026-03-12" and val(dates.exif_day(F.lit("2026-03-12T10:11:12Z"))) == "2026-03-12T10:11:12Z"
     assert val(dates.capture_time(F.lit("2026-03-12"))) == datetime(2026, 3, 12, 12) and val(dates.capture_time(F.lit("2026-03-12T10:11:12Z"))) is None
     assert val(dates.capture_time(F.lit("2026-03-12T10:11:12.5"), fraction=False)) is None

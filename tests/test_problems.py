@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fotomill.functions.timestamps import utc_text, with_instant
 from fotomill.operators.references import Reference, orphan_counts, orphan_references
 from fotomill.operators.sessions import sessions
-from fotomill.operators.timestamps import normalise
+from fotomill.operators.timestamps import normalise, with_zones
 from fotomill.plans import problems
 from tests.oracle import connect, duck_rows, spark_rows
 
@@ -178,12 +178,13 @@ def test_normalise_edges(spark):
         [(1, "2020-01-01 09:00:00", "a", 5), (2, "2020-01-01 09:00:00", None, 6), (3, "2020-01-01 09:00:00", "zz", 7), (None, "2020-01-02", "b", 8), (4, None, "a", 9)],
         "id long, v string, zone string, utc_micros int",
     )
-    got = normalise(df, dev, "id", "v", "zone")
+    rows = lambda f: with_zones(f.select(F.col("id").alias("record_id"), F.col("v").alias("value"), F.lit(None).cast("boolean").alias("as_utc"), F.col("zone").alias("dev"), "utc_micros"), dev, "dev", "record_id")
+    got = normalise(rows(df), [])
     assert got.columns == ["record_id", "utc_micros", "has_time"]
     by = {r[0]: (r[1], r[2]) for r in got.collect()}
     nine = 1577869200 * 1_000_000
     assert by == {1: (nine - 9 * 3600 * 1_000_000, True), 2: (nine, True), 3: (nine, True), None: (1577966400 * 1_000_000, False)}
-    assert normalise(df.limit(0), dev.limit(0), "id", "v", "zone").count() == 0
+    assert normalise(rows(df.limit(0)), []).count() == 0
 
 
 @pytest.mark.parametrize("name", ["p2_found", "p2_counts"])
