@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fotomill.session import cut_lineage, hot_split_join
+from fotomill.session import cut_and_measure, cut_lineage, hot_split_join
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -37,10 +37,10 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return below.unionByName(least.select("big", F.col("least").alias("small"))).distinct()
 
 
-def _print(edges: DataFrame) -> tuple[int, int]:
-    """(rows, sum of row hashes) of an edge set."""
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], int(r["h"] or 0)
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """An edge set, written, and its (rows, sum of row hashes), taken on the way."""
+    out, seen = cut_and_measure(edges, n=F.count(F.lit(1)), h=F.sum(F.xxhash64("big", "small").cast("decimal(38,0)")))
+    return out, (seen["n"] or 0, int(seen["h"] or 0))
 
 
 def components(pairs: DataFrame, left: str, right: str, max_rounds: int = 100) -> DataFrame:
@@ -48,18 +48,16 @@ def components(pairs: DataFrame, left: str, right: str, max_rounds: int = 100) -
 
     Large-star and small-star alternate until the edge set no longer changes; then each node hangs on its component's
     least node. Rounds grow with the logarithm of the longest chain. Each round is written to the shared checkpoint
-    folder, and only counts and one hash sum come to the driver. Nodes that many edges point to
+    folder; one count and one hash sum, taken while it is written, come to the driver. Nodes that many edges point to
     (the centres of the stars) are few; their rows are spread over many tasks, all other keys have few rows.
 
     Null ends and pairs of a node with itself link nothing; repeated and reversed pairs count once; extra columns
     don't matter; an empty table gives no rows.
     """
-    edges = cut_lineage(_oriented(pairs.select(F.col(left).alias("big"), F.col(right).alias("small")).filter("big IS NOT NULL AND small IS NOT NULL")))
-    seen = _print(edges)
+    edges, seen = _written(_oriented(pairs.select(F.col(left).alias("big"), F.col(right).alias("small")).filter("big IS NOT NULL AND small IS NOT NULL")))
     for _ in range(max_rounds):
         large = cut_lineage(_large_star(edges, seen[0]))
-        edges = cut_lineage(_small_star(large, seen[0]))
-        now = _print(edges)
+        edges, now = _written(_small_star(large, seen[0]))
         if now == seen:
             break
         seen = now
