@@ -38,3 +38,8 @@ def screenshot_score(width: Column, height: Column, has_camera: Column, flat_sha
         + flag(~is_camera_ratio(width, height) & (width > 100) & (height > 100), 0.1)
     )
     return F.least(score, F.lit(1.0))
+
+
+def is_not_a_photo(kind: Column, confidence: Column) -> Column:
+    """Whether an outside answer says so with high or medium confidence."""
+    return F.lower(kind).isin("screenshot", "meme", "graphic", "document") & F.lower(confidence).isin("high", "medium")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,50 +35,99 @@ def islands(items: DataFrame, by: list[str], at: str, record_id: str, seconds: i
     return rows.join(slots, [*by, "__slot"]).drop("__slot", "__t")
 
 
-def chain(times: list, hashes: list, blur: list, ids: list, seconds: int, distance: int) -> list[tuple[int, int, int]]:
-    """(id, first id, best id) of the burst members of one island, in time order.
+def fold_runs(rows: DataFrame, keys: list[str], columns: list[str], kernel: Callable, schema: str) -> DataFrame:
+    """What `kernel` makes of runs of rows, each run whole and in the order of `columns`, many runs at a time.
 
-    From an anchor, each later item within `seconds` of the last member joins if its hash is within `distance` of that member's; items
-    between that don't look alike are passed over, and used up if a burst forms. The best is the last of the sharpest.
+    keys: the run of a row. columns: BIGINT or DOUBLE columns, of which the first two give the order within a run. kernel: (start of each run, arrays) to
+    arrays as in `schema`. Runs are spread over tasks by key and pass as Arrow batches; a task keeps the rows of the run that is not over yet.
+    """
+    run = F.xxhash64(*keys).alias("__run")
+    sorted_ = rows.select(run, *columns).repartition("__run").sortWithinPartitions("__run", *columns[:2])
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            now = now if kept is None else [np.concatenate(x) for x in zip(kept, now, strict=True)]
+            whole = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            kept = [c[whole:] for c in now]
+            if whole:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _kernel([c[:whole] for c in now])], names)
+        if kept is not None and len(kept[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _kernel(kept)], names)
+
+    def _kernel(arrays):
+        ids = arrays[0]
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        return kernel(starts, *arrays[1:])
+
+    return sorted_.mapInArrow(fold, schema)
+
+
+def chains(starts: np.ndarray, t: np.ndarray, ids: np.ndarray, h: np.ndarray, blur: np.ndarray, seconds: int, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, first ids, whether best) of the burst members of runs given by their starts, in time order.
+
+    Which item follows a member depends on that member alone: the first later one within `seconds` of it that looks like it. So all
+    followers are found at once, by distance in the order. A burst starts at the first item that has a follower, and after it the next
+    one is looked for beyond all items within `seconds` of its last member; those passed over are used up.
     """
-    out, i, n = [], 0, len(ids)
-    while i < n:
-        group, j = [i], i + 1
-        while j < n and int((times[j] - times[group[-1]]) // 1_000_000) <= seconds:
-            if ((hashes[group[-1]] ^ hashes[j]) & 0xFFFFFFFFFFFFFFFF).bit_count() <= distance:
-                group.append(j)
-            j += 1
-        if len(group) < 2:
-            i += 1
-            continue
-        best = group[0]
-        for g in group:
-            if blur[g] >= blur[best]:
-                best = g
-        out += [(ids[g], ids[group[0]], ids[best]) for g in group]
-        i = j
-    return out
+    n = len(t)
+    end_of_run = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    follower, beyond = np.full(n, -1), np.arange(1, n + 1)
+    open_, d = np.arange(n), 0
+    while len(open_):
+        d += 1
+        open_ = open_[open_ + d < end_of_run[open_]]
+        open_ = open_[(t[open_ + d] - t[open_]) // 1_000_000 <= seconds]
+        beyond[open_] = open_ + d + 1
+        like = (follower[open_] < 0) & (np.bitwise_count(h[open_].view(np.uint64) ^ h[open_ + d].view(np.uint64)) <= distance)
+        follower[open_[like]] = open_[like] + d
+    last = np.arange(n)
+    for i in np.flatnonzero(follower >= 0)[::-1]:
+        last[i] = last[follower[i]]
+    has = np.append(np.flatnonzero(follower >= 0), n)
+    anchors, at = [], 0
+    while (i := int(has[np.searchsorted(has, at)])) < n:
+        anchors.append(i)
+        at = int(beyond[last[i]])
+    first = np.full(n, -1)
+    front = np.array(anchors, np.int64)
+    first[front] = front
+    while len(front):
+        front = front[follower[front] >= 0]
+        first[follower[front]] = first[front]
+        front = follower[front]
+    members = np.flatnonzero(first >= 0)
+    order = members[np.lexsort((members, blur[members], first[members]))]  # within a burst the last of the sharpest comes last
+    best = np.zeros(n, bool)
+    if len(order):
+        best[order[np.append(first[order][1:] != first[order][:-1], True)]] = True
+    return ids[members], ids[first[members]], best[members]
 
 
 def bursts(items: DataFrame, by: list[str], at: str, record_id: str, hash_col: str, blur: str, seconds: int = WINDOW_SECONDS, distance: int = HASH_DISTANCE) -> DataFrame:
     """(record_id, burst_id, is_primary) of the items in bursts of two or more. Items without time or hash take no part.
 
-    burst_id is the burst's first record. Islands of one item are dropped before Python sees any; the greedy rule needs each
-    island's items in one place, and an island is as long as one camera keeps shooting.
+    by: columns within which bursts are looked for; none means the whole library. burst_id is the burst's first record. Islands of one item
+    are dropped before Python sees any; the greedy rule needs each island in one task, which passes it as a stream of numbers, and
+    an island is as long as pictures follow one another without a pause.
     """
     blur_or_0 = F.when(F.isnan(blur), 0.0).otherwise(F.coalesce(F.col(blur), F.lit(0.0)))
     rows = islands(items.filter(F.col(hash_col).isNotNull()), by, at, record_id, seconds)
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at))
     slim = rows.select(*by, "island", micros.alias("t"), F.col(record_id).alias("i"), F.col(hash_col).alias("h"), blur_or_0.alias("s"))
     sizes = slim.groupBy(*by, "island").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    slim = slim.join(sizes, [*by, "island"])
+    slim = slim.join(sizes, [*by, "island"], "left_semi")
+    kernel = lambda starts, t, i, h, s: chains(starts, t, i, h, s, seconds, distance)
+    return fold_runs(slim, [*by, "island"], ["t", "i", "h", "s"], kernel, "record_id bigint, burst_id bigint, is_primary boolean")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "i"])
-        found = chain(*(pdf[c].tolist() for c in "thsi"), seconds, distance)
-        return pd.DataFrame(found, columns=["record_id", "burst_id", "best"]).assign(is_primary=lambda d: d.record_id == d.best).drop(columns="best")
 
-    return slim.groupBy(*by, "island").applyInPandas(run, "record_id bigint, burst_id bigint, is_primary boolean")
+def best_shots(primaries: DataFrame, members: DataFrame, answers: DataFrame, group: str, record_id: str) -> DataFrame:
+    """primaries (group, record_id) with the chosen shot in place of the sharpest where answers (group, record_id) has one that is a member;
+    of several answers the least id counts."""
+    known = answers.join(members.select(group, record_id), [group, record_id], "left_semi").groupBy(group).agg(F.min(record_id).alias("__a"))
+    return primaries.join(known, group, "left").withColumn(record_id, F.coalesce("__a", record_id)).drop("__a")
 
 
 def burst_runs(items: DataFrame, by: list[str], at: str, record_id: str, seconds: int = WINDOW_SECONDS) -> DataFrame:
@@ -87,5 +139,3 @@ def burst_runs(items: DataFrame, by: list[str], at: str, record_id: str, seconds
 def best_of_groups(items: DataFrame, group: str, record_id: str, order: list[str]) -> DataFrame:
     """(group, record_id): the record with the greatest order columns, of equals the greatest id."""
     return items.filter(F.col(group).isNotNull()).groupBy(group).agg(F.max_by(record_id, F.struct(*order, record_id)).alias(record_id))
-
-

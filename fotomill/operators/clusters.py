@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fotomill.operators.bursts import islands
+from fotomill.operators.bursts import fold_runs, islands
 from fotomill.session import cut_lineage
 
 
@@ -114,21 +115,30 @@ def thin_near_duplicates(items: DataFrame, group: list[str], at: str, record_id:
     """items without those within `seconds` of an item kept before, in the same group and with the same prefix.
 
     Whether an item is kept depends on the last kept one, so each run of items whose neighbours are within `seconds` is
-    folded in order; a run ends wherever the camera paused. An item without a prefix is like no other and is kept; one without a
-    time is dropped.
+    folded in order, many runs at a time; a run ends wherever the camera paused. An item without a prefix is like no other and is kept; one
+    without a time is dropped.
     """
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at))
-    runs = islands(items.withColumn("__prefix", prefix), [*group, "__prefix"], at, record_id, seconds).withColumn("__t", micros)
-    folded = runs.groupBy(*group, "__prefix", "island").agg(F.sort_array(F.collect_list(F.struct("__t", F.col(record_id).alias("i")))).alias("xs"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc, x):
-        keep = acc["last"].isNull() | (F.floor((x["__t"] - acc["last"]) / 1_000_000) > seconds)
-        return F.struct(
-            F.when(keep, x["__t"]).otherwise(acc["last"]).alias("last"),
-            F.when(keep, F.concat(acc["kept"], F.array(x["i"].cast("bigint")))).otherwise(acc["kept"]).alias("kept"),
-        )
-
-    kept = folded.select(F.explode(F.aggregate("xs", start, step, lambda a: a["kept"])).alias(record_id))
-    marked = items.withColumn("__alone", prefix.isNull() & F.col(at).isNotNull()).join(kept.withColumn("__kept", F.lit(True)), record_id, "left")
-    return marked.filter(F.col("__kept") | F.col("__alone")).select(items.columns)
+    runs = islands(items.withColumn("__prefix", prefix).filter("__prefix IS NOT NULL"), [*group, "__prefix"], at, record_id, seconds)
+    runs = runs.select(*group, "__prefix", "island", micros.alias("t"), F.col(record_id).alias("i"))
+    kernel = lambda starts, t, i: (i[kept_times(starts, t, seconds)],)
+    kept = fold_runs(runs, [*group, "__prefix", "island"], ["t", "i"], kernel, f"{record_id} bigint")
+    alone = items.filter(prefix.isNull() & F.col(at).isNotNull()).select(F.col(record_id).cast("bigint").alias(record_id))
+    return items.filter(F.col(at).isNotNull()).join(kept.unionByName(alone), record_id, "left_semi").select(items.columns)
+
+
+def kept_times(starts: np.ndarray, t: np.ndarray, seconds: int) -> np.ndarray:
+    """Positions of the items kept in runs given by their starts: the first of each, then always the next more than `seconds` whole seconds later."""
+    n = len(t)
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    ends = np.append(starts[1:], n)
+    # times moved apart by run, so that one search serves all
+    span = int(t.max() - t.min()) + (seconds + 2) * 1_000_000 if n else 0
+    moved = t - t.min() + run * span if n else t
+    following = np.searchsorted(moved, moved + (seconds + 1) * 1_000_000)
+    front, found = starts, []
+    while len(front):
+        found.append(front)
+        nxt = following[front]
+        front = nxt[nxt < ends[run[front]]]
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)

@@ -81,6 +81,34 @@ def audit_rows(items: DataFrame, record_id: str, action: str, old: Column, new:
     )
 
 
+def created_groups(groups: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(event_year, group_name, folder_name) of the wanted groups (event_year, group_name) whose name, case and outer blanks ignored, no group has yet; of
+    equal wanted names the one of the earliest year. Blank names are none."""
+    key = F.lower(F.trim("group_name"))
+    new = wanted.select("event_year", F.trim("group_name").alias("group_name"), key.alias("__k")).filter("__k <> ''")
+    new = new.groupBy("__k").agg(F.min(F.struct("event_year", "group_name")).alias("g")).join(groups.select(key.alias("__k")), "__k", "left_anti")
+    return new.select("g.*").withColumn("folder_name", F.concat(F.col("event_year").cast("string"), F.lit(" - "), "group_name"))
+
+
+def renamed_groups(groups: DataFrame, names: DataFrame) -> DataFrame:
+    """groups (id, event_year, group_name, folder_name, …) with the new names (id, new_name) that no other group has and no other is given."""
+    key = lambda c: F.lower(F.trim(c))
+    wanted = names.select("id", F.trim("new_name").alias("__n"), key("new_name").alias("__k")).filter("__k <> ''").dropDuplicates(["id"])
+    once = wanted.groupBy("__k").agg(F.count("*").alias("__c")).filter("__c = 1").select("__k")
+    holders = groups.select(key("group_name").alias("__k"), F.col("id").alias("__h"))
+    held = wanted.join(holders, "__k").filter("id <> __h").select("id").distinct()
+    good = wanted.join(once, "__k", "left_semi").join(held, "id", "left_anti").select("id", "__n")
+    out = groups.join(good, "id", "left")
+    folder = F.concat(F.col("event_year").cast("string"), F.lit(" - "), "__n")
+    return out.withColumns({"group_name": F.coalesce("__n", "group_name"), "folder_name": F.coalesce(folder, "folder_name")}).select(groups.columns)
+
+
+def deleted_groups(groups: DataFrame, items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """groups without the wanted ones (id) that have no item that is not excluded."""
+    used = items.filter("event_group_id IS NOT NULL AND status <> 'excluded'").select(F.col("event_group_id").alias("id")).distinct()
+    return groups.join(wanted.select("id").join(used, "id", "left_anti"), "id", "left_anti")
+
+
 def typed_settings(settings: DataFrame, defaults: dict[str, float | int | str]) -> DataFrame:
     """One row with a column a setting: its value read as the default's type, else the default."""
     kinds = {float: "double", int: "bigint", str: "string"}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fotomill.functions.geo import haversine_miles
+from fotomill.functions.geo import geocode_key, haversine_miles
 from fotomill.operators.ordering import is_even_sample, position_in_group, upper_median
 
 
@@ -39,6 +39,23 @@ def dominant_places(places: DataFrame, group: list[str], city: str, pos: str) ->
     )
 
 
+def with_cached_places(items: DataFrame, lat: Column, lon: Column, cache: DataFrame) -> DataFrame:
+    """items with coord_key, city, country and cached: whether the cache (coord_key, city, country) knows the rounded coordinates.
+
+    An answer without a place is cached too: city is null then and cached true, so that nobody asks again. A key with several entries has the
+    one that sorts first. Items without coordinates have no key and are not cached.
+    """
+    known = cache.filter("coord_key IS NOT NULL").groupBy("coord_key").agg(F.min(F.struct("city", "country")).alias("__p"), F.lit(True).alias("cached"))
+    out = items.withColumn("coord_key", geocode_key(lat, lon)).join(known, "coord_key", "left")
+    return out.select(*items.columns, "coord_key", "__p.city", "__p.country", F.coalesce("cached", F.lit(False)).alias("cached"))
+
+
+def cache_with_answers(cache: DataFrame, answers: DataFrame) -> DataFrame:
+    """The cache with the answers (coord_key, city, country) to keys it did not have, those without a place included."""
+    fresh = answers.filter("coord_key IS NOT NULL").groupBy("coord_key").agg(F.min(F.struct("city", "country")).alias("p")).select("coord_key", "p.city", "p.country")
+    return cache.unionByName(fresh.join(cache, "coord_key", "left_anti"))
+
+
 def location_facts(items: DataFrame, group: list[str], order: list[str], at: str, lat: str, lon: str, city: str, home: tuple[float, float, float, str | None], votes: int = 5) -> DataFrame:
     """Facts of each cluster: GPS coverage, dominant place among an even sample of `votes` located items, median distance from
     home (upper median), away and travel marks, duration. `city` is the item's looked-up place.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fotomill.functions import dates, geo, hashes, media, payloads, text
-from fotomill.operators import bursts, clusters, duplicates, lifecycle, locations, naming, ordering
+from fotomill.operators import bursts, clusters, duplicates, kernels, lifecycle, locations, naming, ordering
 from fotomill.session import table
 
 QUERIES: dict = {}
@@ -622,13 +622,23 @@ def _thinned(spark, d):
     return clusters.thin_near_duplicates(c, ["event_year", "cluster_no"], "at", "id", text.filename_prefix(F.col("filename")))
 
 
-@query()
+_THINNED = rf"""{_CLUSTERS}
+, prefixed AS (SELECT event_year, cluster_no, id, epoch_us(ts) AS t, regexp_replace(regexp_replace(lower(filename), '\.[^.]*$', ''), '[0-9_\- ]+$', '') AS p FROM clustered)
+, r AS (SELECT *, row_number() OVER (PARTITION BY event_year, cluster_no, p ORDER BY t, id) - 1 AS pos FROM prefixed WHERE p IS NOT NULL)
+, walk AS (SELECT event_year, cluster_no, p, pos, t FROM r WHERE pos = 0
+  UNION ALL SELECT w.event_year, w.cluster_no, w.p, min(r.pos), arg_min(r.t, r.pos) FROM walk w JOIN r ON r.event_year = w.event_year AND r.cluster_no = w.cluster_no AND r.p = w.p AND (r.t - w.t) // 1000000 > 5 AND r.pos > w.pos GROUP BY w.event_year, w.cluster_no, w.p)
+, thinned AS (SELECT event_year, cluster_no, id, r.t FROM r JOIN walk USING (event_year, cluster_no, p, pos) UNION ALL SELECT event_year, cluster_no, id, t FROM prefixed WHERE p IS NULL)"""
+
+
+@query(f"WITH RECURSIVE {_THINNED} SELECT event_year, cluster_no, id FROM thinned")
 def near_dup_thinning(spark, d):
     """Items of each cluster without those within five seconds of a kept one with the same name prefix."""
     return _thinned(spark, d).select("event_year", "cluster_no", "id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_THINNED}
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY event_year, cluster_no ORDER BY t, id) - 1 AS pos, count(*) OVER (PARTITION BY event_year, cluster_no) AS n FROM thinned)
+SELECT event_year, cluster_no, id FROM ranked WHERE n <= 10 OR pos IN (SELECT floor(i * (n - 1) / 9.0 + 0.5)::BIGINT FROM range(10) t(i))""")
 def cluster_samples(spark, d):
     """The sampler as a whole: near duplicates thinned, then at most ten items of each cluster, evenly spread over what is left."""
     ranked = ordering.position_in_group(_thinned(spark, d).select("event_year", "cluster_no", "at", "id"), ["event_year", "cluster_no"], ["at", "id"])
@@ -647,11 +657,60 @@ def burst_runs(spark, d):
     return bursts.burst_runs(_items(spark, d).filter("source_device IS NOT NULL"), ["source_device"], "at", "id", 600)
 
 
-@query()
+_PICTURES = f"""{_HASH_SQL}, {_ITEMS}
+, shots AS (SELECT id, source_device, epoch_us(ts) AS t, h, coalesce(CASE WHEN NOT isnan(blur_score) THEN blur_score END, 0.0) AS s FROM items JOIN hashed USING (id) WHERE ts IS NOT NULL)"""
+
+
+def _bursts_sql(by: str, distance: int) -> str:
+    """The greedy rule step by step: from an anchor, each row is compared with the last member."""
+    return f"""WITH RECURSIVE {_PICTURES}
+, marked AS (SELECT *, {by} AS dev, CASE WHEN (t - lag(t) OVER w) // 1000000 <= 3 THEN 0 ELSE 1 END AS f FROM shots WHERE {by} IS NOT NULL WINDOW w AS (PARTITION BY {by} ORDER BY t, id))
+, runs AS (SELECT *, sum(f) OVER (PARTITION BY dev ORDER BY t, id) AS run FROM marked)
+, r AS (SELECT *, row_number() OVER (PARTITION BY dev, run ORDER BY t, id) - 1 AS pos, count(*) OVER (PARTITION BY dev, run) AS n FROM runs)
+, walk AS (SELECT dev, run, 0::BIGINT AS i, 0::BIGINT AS last, 1::BIGINT AS j, 1::BIGINT AS size, n FROM r WHERE pos = 0 AND n > 1
+  UNION ALL SELECT * FROM (
+    SELECT dev, run, CASE WHEN near THEN i WHEN size > 1 THEN j ELSE i + 1 END AS i, CASE WHEN near THEN CASE WHEN alike THEN j ELSE last END WHEN size > 1 THEN j ELSE i + 1 END AS last,
+      CASE WHEN near THEN j + 1 WHEN size > 1 THEN j + 1 ELSE i + 2 END AS j, CASE WHEN near THEN size + alike::INT ELSE 1 END AS size, n
+    FROM (SELECT w.*, coalesce((x.t - c.t) // 1000000 <= 3, false) AS near, coalesce(bit_count(xor(x.h, c.h)) <= {distance}, false) AS alike
+      FROM walk w JOIN r c ON c.dev = w.dev AND c.run = w.run AND c.pos = w.last LEFT JOIN r x ON x.dev = w.dev AND x.run = w.run AND x.pos = w.j)) WHERE i < n)
+, members AS (SELECT DISTINCT dev, run, i, last AS pos FROM walk)
+, sized AS (SELECT m.*, r.id, r.s, count(*) OVER (PARTITION BY m.dev, m.run, m.i) AS k FROM members m JOIN r USING (dev, run, pos))
+SELECT s.id AS record_id, a.id AS burst_id, row_number() OVER (PARTITION BY s.dev, s.run, s.i ORDER BY s.s DESC, s.pos DESC) = 1 AS is_primary FROM sized s JOIN r a ON a.dev = s.dev AND a.run = s.run AND a.pos = s.i WHERE k > 1"""
+
+
+def _shots(spark, d):
+    return _items(spark, d).withColumn("h", hashes.read_hash(F.col("perceptual_hash")))
+
+
+@query(_bursts_sql("0", 10))
 def burst_groups(spark, d):
-    """Bursts of like pictures within three seconds, per device."""
-    rows = _items(spark, d).filter("source_device IS NOT NULL").withColumn("h", hashes.read_hash(F.col("perceptual_hash")))
-    return bursts.bursts(rows, ["source_device"], "at", "id", "h", "blur_score")
+    """Bursts of like pictures, each within three seconds of the one before, over the whole library."""
+    return bursts.bursts(_shots(spark, d), [], "at", "id", "h", "blur_score")
+
+
+@query(_bursts_sql("0", 64))
+def burst_chains(spark, d):
+    """Bursts by time alone: no two hashes differ in more than 64 bits."""
+    return bursts.bursts(_shots(spark, d), [], "at", "id", "h", "blur_score", distance=64)
+
+
+@query(_bursts_sql("source_device", 10))
+def device_bursts(spark, d):
+    """Bursts of each device by itself."""
+    return bursts.bursts(_shots(spark, d).filter("source_device IS NOT NULL"), ["source_device"], "at", "id", "h", "blur_score")
+
+
+_B = "lower(trim(burst_group_id))"
+
+
+@query(f"""WITH m AS (SELECT {_B} AS burst, id, coalesce(CASE WHEN NOT isnan(blur_score) THEN blur_score END, 0.0) AS s FROM media_items WHERE trim(burst_group_id) <> '')
+, chosen AS (SELECT burst, min(id) AS c FROM m WHERE id IN (SELECT media_item_id FROM date_estimate) GROUP BY 1)
+SELECT burst, coalesce(any_value(c), arg_max(id, (s, id))) AS primary_id FROM m LEFT JOIN chosen USING (burst) GROUP BY 1""")
+def burst_best_shots(spark, d):
+    """The best shot of each burst: a chosen one (items with a date estimate stand in for outside answers), else the sharpest."""
+    members = _media(spark, d).filter("trim(burst_group_id) <> ''").select(F.lower(F.trim("burst_group_id")).alias("burst"), F.col("id").alias("primary_id"))
+    chosen = members.join(table(spark, d, "date_estimate").select(F.col("media_item_id").alias("primary_id")), "primary_id", "left_semi")
+    return bursts.best_shots(burst_primaries(spark, d), members, chosen, "burst", "primary_id")
 
 
 _CLASS_SQL = f"{_HASH_SQL}, classes AS (SELECT h, burst, min(id) AS rep, count(*) AS size FROM hashed GROUP BY ALL)"
@@ -865,10 +924,171 @@ def video_fields(spark, d):
     )
 
 
-@query()
+_P = "list_transform(embedding, lambda x: greatest(0, least(255, floor((x::DOUBLE + 0.5) * 255)))::DOUBLE)"
+_AT_9 = [[max(0.0, 1 - abs(i + 0.5 - (x + 0.5) * 8 / 9)) for i in range(8)] for x in range(9)]
+_SCALED = "[" + ", ".join("[" + ", ".join(repr(w / sum(ws)) for w in ws) + "]" for ws in _AT_9) + "]"
+
+
+@query(f"""WITH px AS (SELECT vec_id, {_P} AS p FROM embeddings)
+, small AS (SELECT *, [[floor(round(list_sum([p[8 * y + i + 1] * w[i + 1] FOR i IN range(8)]), 6) + 0.5) FOR w IN {_SCALED}] FOR y IN range(8)] AS q FROM px)
+, bits AS (SELECT vec_id, p, list_sum([CASE WHEN q[k // 8 + 1][k % 8 + 1] > q[k // 8 + 1][k % 8 + 2] THEN (1::HUGEINT << k::INT) ELSE 0 END FOR k IN range(64)])::HUGEINT AS b,
+  [p[k - 7] + p[k + 9] + p[k] + p[k + 2] - 4 * p[k + 1] FOR k IN range(64) IF k // 8 BETWEEN 1 AND 6 AND k % 8 BETWEEN 1 AND 6] AS lap FROM small)
+SELECT vec_id AS record_id, round(list_var_pop(lap), 4) AS blur_score, (CASE WHEN b >= 9223372036854775808 THEN b - 18446744073709551616 ELSE b END)::BIGINT AS dhash,
+ round(list_avg(p), 6) AS brightness, round(list_stddev_pop(p), 6) AS contrast, len([x FOR x IN p IF x <= 30]) / 64.0::DOUBLE AS dark_share, len([x FOR x IN p IF x >= 225]) / 64.0::DOUBLE AS bright_share FROM bits""")
 def picture_measures(spark, d):
     """Measures of 8 x 8 grey pictures made from the embeddings."""
-    from fotomill.operators.kernels import picture_measures as measures
+    pixel = lambda x: F.floor(F.least(F.greatest((x.cast("double") + 0.5) * 255, F.lit(0.0)), F.lit(255.0)))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", pixel).alias("p"))
+    out = kernels.picture_measures(e.withColumns({"w": F.lit(8), "h": F.lit(8)}), "vec_id", "p", "w", "h")
+    return out.withColumns({"blur_score": F.round("blur_score", 4), "brightness": F.round("brightness", 6), "contrast": F.round("contrast", 6)})
+
+
+@query("""WITH c AS (SELECT vec_id, label % 2 = 0 AS even, [greatest(0, least(255, floor((x::DOUBLE + 0.5) * 255))) FOR x IN embedding[1:6]] AS c FROM embeddings)
+, s AS (SELECT vec_id, CASE WHEN even OR greatest(abs(c[1] - c[4]), abs(c[2] - c[5]), abs(c[3] - c[6])) < 10 THEN 1.0 ELSE 0.5 END::DOUBLE AS flat_share FROM c)
+SELECT vec_id AS record_id, flat_share, true AS has_bars, CASE WHEN flat_share > 0.6 THEN 0.75 ELSE 0.6 END::DOUBLE AS screenshot_score FROM s""")
+def picture_signals(spark, d):
+    """Signals of 64 x 64 RGB pictures in two colours made from the embeddings: one above the other, the middle in stripes of both where the label is odd."""
+    pixel = lambda x: F.floor(F.least(F.greatest((x.cast("double") + 0.5) * 255, F.lit(0.0)), F.lit(255.0)))
+    e = table(spark, d, "embeddings").withColumn("c", F.transform("embedding", pixel))
+    first = lambda y: F.when(F.col("label") % 2 == 0, y < 32).otherwise((y < 16) | ((y < 48) & (y % 16 < 8)))
+    line = lambda y: F.flatten(F.array_repeat(F.when(first(y), F.slice("c", 1, 3)).otherwise(F.slice("c", 4, 3)), 64))
+    e = e.withColumn("p", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), line)))
+    out = kernels.picture_signals(e.withColumns({"w": F.lit(64), "h": F.lit(64)}), "vec_id", "p", "w", "h")
+    score = media.screenshot_score(F.lit(64), F.lit(64), F.lit(False), F.col("flat_share"), F.col("has_bars"))
+    return out.withColumn("screenshot_score", F.round(score, 6))
+
+
+# -- candidates, places and groups -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_ITEMS.replace('FROM media_items)', f'FROM media_items WHERE {_READY})')} SELECT id, ts::DATE AS day FROM items WHERE ts IS NOT NULL")
+def grouping_candidates(spark, d):
+    """Items ready to be grouped: date verified, not up for review, and readable."""
+    return _items(spark, d, True).filter("at IS NOT NULL").select("id", F.to_date("at").alias("day"))
+
+
+@query("SELECT id, current_path FROM media_items WHERE status = 'video_reviewed' AND coalesce(trim(current_path), '') <> ''")
+def date_check_candidates(spark, d):
+    return _media(spark, d).filter("status = 'video_reviewed' AND coalesce(trim(current_path), '') <> ''").select("id", "current_path")
+
+
+@query("""WITH m AS (SELECT id, lower(trim(burst_group_id)) AS b FROM media_items WHERE trim(burst_group_id) <> '') SELECT m.id, m.b AS burst FROM m WHERE b = (SELECT b FROM m ORDER BY id LIMIT 1)""")
+def burst_filmstrip(spark, d):
+    """The items of the burst of the first item that has one."""
+    m = _media(spark, d).filter("trim(burst_group_id) <> ''").select("id", F.lower(F.trim("burst_group_id")).alias("burst"))
+    return m.join(F.broadcast(m.agg(F.min_by("burst", "id").alias("burst"))), "burst", "left_semi").select("id", "burst")
+
+
+@query("SELECT id, group_name FROM event_groups WHERE id <> 1")
+def move_targets(spark, d):
+    """Groups that items of group 1 can be moved to."""
+    return table(spark, d, "event_groups").filter("id <> 1").select("id", "group_name")
 
-    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.least(F.greatest((x + 0.5) * 255, F.lit(0.0)), F.lit(255.0))).alias("p"))
-    return measures(e.withColumns({"w": F.lit(8), "h": F.lit(8)}), "vec_id", "p", "w", "h")
+
+@query("SELECT DISTINCT lower(trim(group_name)) AS name FROM event_groups WHERE group_name IS NOT NULL")
+def distinct_names(spark, d):
+    return table(spark, d, "event_groups").filter("group_name IS NOT NULL").select(text.normalise_name(F.col("group_name")).alias("name")).distinct()
+
+
+_COORDS = "SELECT s_suppkey, printf('%.2f', s_acctbal / 100.0) || ':' || printf('%.2f', -s_acctbal / 50.0) AS k, s_nationkey FROM supplier"
+
+
+@query(f"""WITH c AS ({_COORDS}), cache AS (SELECT k, min(CASE WHEN s_nationkey < 8 THEN n_name END) AS city FROM c JOIN nation ON n_nationkey = s_nationkey WHERE s_nationkey < 12 GROUP BY k)
+SELECT s_suppkey, c.k AS coord_key, city, cache.k IS NOT NULL AS cached FROM c LEFT JOIN cache USING (k)""")
+def cached_places(spark, d):
+    """Places of coordinates from a cache that also holds coordinates without a place (suppliers of the first nations stand in for it)."""
+    lat, lon = F.col("s_acctbal") / 100.0, -F.col("s_acctbal") / 50.0
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    cache = s.filter("s_nationkey < 12").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    # per key the place that sorts first, as the cache is written once a key
+    city = F.when(F.col("s_nationkey") < 8, F.col("n_name"))
+    cache = cache.groupBy(geo.geocode_key(lat, lon).alias("coord_key")).agg(F.min(city).alias("city"), F.lit(None).cast("string").alias("country"))
+    return locations.with_cached_places(s, lat, lon, cache).select("s_suppkey", "coord_key", "city", "cached")
+
+
+@query("""WITH w AS (SELECT event_year, trim(ai_suggested_name) AS n FROM event_groups WHERE trim(ai_suggested_name) <> '' UNION ALL SELECT 2030, n_name FROM nation)
+SELECT min(event_year)::INT AS event_year, arg_min(n, (event_year, n)) AS group_name, min(event_year)::VARCHAR || ' - ' || arg_min(n, (event_year, n)) AS folder_name FROM w
+WHERE lower(n) NOT IN (SELECT lower(trim(group_name)) FROM event_groups WHERE group_name IS NOT NULL) GROUP BY lower(n)""")
+def created_groups(spark, d):
+    """Groups created of suggested names and nations, as far as their names are new."""
+    g = table(spark, d, "event_groups")
+    wanted = g.select("event_year", F.col("ai_suggested_name").alias("group_name"))
+    wanted = wanted.unionByName(table(spark, d, "nation").select(F.lit(2030).alias("event_year"), F.col("n_name").alias("group_name")))
+    return lifecycle.created_groups(g, wanted)
+
+
+@query("""WITH w AS (SELECT id, trim(ai_suggested_name) AS n FROM event_groups WHERE trim(ai_suggested_name) <> '')
+, ok AS (SELECT w.id, w.n FROM w WHERE lower(n) IN (SELECT lower(n) FROM w GROUP BY 1 HAVING count(*) = 1) AND NOT EXISTS (SELECT 1 FROM event_groups g WHERE lower(trim(g.group_name)) = lower(w.n) AND g.id <> w.id))
+SELECT g.id, coalesce(n, group_name) AS group_name, CASE WHEN n IS NOT NULL THEN event_year::VARCHAR || ' - ' || n ELSE folder_name END AS folder_name FROM event_groups g LEFT JOIN ok USING (id)""")
+def renamed_groups(spark, d):
+    """Groups renamed to their suggested names where nobody else has or gets them."""
+    g = table(spark, d, "event_groups").select("id", "event_year", "group_name", "folder_name", "ai_suggested_name")
+    return lifecycle.renamed_groups(g, g.select("id", F.col("ai_suggested_name").alias("new_name"))).select("id", "group_name", "folder_name")
+
+
+@query("SELECT id FROM event_groups WHERE NOT (id % 2 = 0 AND id NOT IN (SELECT event_group_id FROM media_items WHERE event_group_id IS NOT NULL AND status <> 'excluded'))")
+def deleted_groups(spark, d):
+    """Groups left when those of even id are deleted if they are empty."""
+    g = table(spark, d, "event_groups").select("id")
+    return lifecycle.deleted_groups(g, _media(spark, d), g.filter("id % 2 = 0"))
+
+
+@query("""SELECT id, CASE status WHEN 'indexed' THEN 'image_reviewed' WHEN 'image_reviewed' THEN 'video_reviewed' ELSE status END AS status FROM media_items""")
+def completed_reviews(spark, d):
+    """Statuses after the image review, and after the video review of what had been through the other before, are completed."""
+    s = F.col("status")
+    return _media(spark, d).select("id", F.when(s == "indexed", "image_reviewed").when(s == "image_reviewed", "video_reviewed").otherwise(s).alias("status"))
+
+
+@query("SELECT id, CASE WHEN status = 'indexed' AND coalesce(image_flags, '') IN ('', '[]') THEN 'image_reviewed' ELSE status END AS status FROM media_items")
+def promoted_items(spark, d):
+    """Indexed items without flags need no review."""
+    plain = (F.col("status") == "indexed") & F.coalesce("image_flags", F.lit("")).isin("", "[]")
+    return _media(spark, d).select("id", F.when(plain, "image_reviewed").otherwise(F.col("status")).alias("status"))
+
+
+@query("""SELECT id, CASE WHEN k THEN 'image_reviewed' ELSE status END AS status, CASE WHEN k THEN '[]' ELSE image_flags END AS image_flags
+ FROM (SELECT *, coalesce(trim(burst_group_id) <> '', false) AND status = 'indexed' AS k FROM media_items)""")
+def keep_all_bursts(spark, d):
+    """All indexed members of bursts are kept: reviewed, their flags cleared."""
+    kept = F.coalesce((F.trim("burst_group_id") != "") & (F.col("status") == "indexed"), F.lit(False))
+    return _media(spark, d).select("id", F.when(kept, "image_reviewed").otherwise(F.col("status")).alias("status"), F.when(kept, "[]").otherwise(F.col("image_flags")).alias("image_flags"))
+
+
+_TARGETS = """targets AS (SELECT m.id, 'organized/' || g.event_year::VARCHAR || '/' || g.folder_name || '/' || CASE WHEN row_number() OVER (PARTITION BY g.event_year, g.folder_name, m.filename ORDER BY m.id) > 1
+ THEN m.id::VARCHAR || '_' ELSE '' END || m.filename AS p FROM media_items m JOIN event_groups g ON g.id = m.event_group_id WHERE m.status = 'grouped')"""
+
+
+@query(f"WITH {_TARGETS} SELECT m.id, coalesce(p, final_path) AS final_path, coalesce(p, current_path) AS current_path, CASE WHEN p IS NOT NULL THEN 'filed' ELSE status END AS status FROM media_items m LEFT JOIN targets t ON t.id = m.id")
+def finalised_items(spark, d):
+    """Items after grouped ones are filed at their target paths."""
+    m = _media(spark, d).select("id", "final_path", "current_path", "status").join(target_paths(spark, d), "id", "left")
+    p = F.col("target_path")
+    return m.select("id", F.coalesce(p, "final_path").alias("final_path"), F.coalesce(p, "current_path").alias("current_path"), F.when(p.isNotNull(), "filed").otherwise(F.col("status")).alias("status"))
+
+
+@query(f"WITH {_TARGETS} SELECT id AS media_item_id, 'filed' AS action_name, NULL::VARCHAR AS old_value, p AS new_value, 'system' AS source, NULL::VARCHAR AS details FROM targets")
+def filing_audit(spark, d):
+    return lifecycle.audit_rows(target_paths(spark, d), "id", "filed", F.lit(None), F.col("target_path"), "system")
+
+
+_ANSWERS = """answers AS (SELECT media_item_id AS id, arg_min(CASE WHEN confidence < 0.3 THEN 'low' WHEN confidence < 0.7 THEN 'Medium' ELSE 'high' END, estimate_id) AS sure, arg_min(CASE WHEN estimate_id % 3 = 0 THEN 'meme' WHEN estimate_id % 3 = 1 THEN 'photo' ELSE 'Screenshot' END, estimate_id) AS cls,
+ arg_min(estimate_id % 2 = 0, estimate_id) AS blurry FROM date_estimate GROUP BY 1)"""
+
+
+@query(f"""WITH {_ANSWERS} SELECT m.id, CASE WHEN m.blur_score BETWEEN 40 AND 60 AND a.blurry IS NOT NULL THEN a.blurry ELSE coalesce(m.blur_score < 50 AND NOT isnan(m.blur_score), false) END AS blurry,
+ CASE WHEN m.screenshot_heuristic >= 0.6 AND NOT isnan(m.screenshot_heuristic) AND a.cls IS NOT NULL THEN lower(cls) IN ('screenshot', 'meme', 'graphic', 'document') AND lower(sure) IN ('high', 'medium')
+ ELSE coalesce(m.screenshot_heuristic >= 0.8 AND NOT isnan(m.screenshot_heuristic), false) END AS not_a_photo FROM media_items m LEFT JOIN answers a USING (id) WHERE m.mime_type ILIKE 'image/%'""")
+def picture_overrides(spark, d):
+    """Blurry and not a photo, by outside answers for the images that are asked about (date estimates stand in), else by the scores."""
+    e, n = table(spark, d, "date_estimate"), F.col("estimate_id") % 3
+    sure = F.when(F.col("confidence") < 0.3, "low").when(F.col("confidence") < 0.7, "Medium").otherwise("high")
+    said = F.struct(sure.alias("sure"), F.when(n == 0, "meme").when(n == 1, "photo").otherwise("Screenshot").alias("cls"), (F.col("estimate_id") % 2 == 0).alias("blurry"))
+    answers = e.groupBy(F.col("media_item_id").alias("id")).agg(F.min_by(said, "estimate_id").alias("a")).select("id", "a.*")
+    m = _media(spark, d).filter(F.col("mime_type").ilike("image/%")).select("id", "blur_score", "screenshot_heuristic").join(answers, "id", "left")
+    blur, shot = F.col("blur_score"), F.when(~F.isnan("screenshot_heuristic"), F.col("screenshot_heuristic"))
+    asked_blur, asked_shot = blur.between(40, 60) & F.col("blurry").isNotNull(), (shot >= 0.6) & F.col("cls").isNotNull()
+    return m.select(
+        "id", F.when(asked_blur, F.col("blurry")).otherwise(F.coalesce((blur < 50) & ~F.isnan(blur), F.lit(False))).alias("blurry"),
+        F.when(asked_shot, media.is_not_a_photo(F.col("cls"), F.col("sure"))).otherwise(F.coalesce(shot >= 0.8, F.lit(False))).alias("not_a_photo"),
+    )

@@ -83,9 +83,21 @@ def test_generic_clusters_are_cut_until_named(spark):
 
 
 def greedy_bursts(rows, seconds, distance):
-    """(id -> burst, primaries) by scanning all rows of one device, without islands."""
-    rows = sorted(rows, key=lambda r: (r[1], r[0]))
-    return bursts.chain([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[0] for r in rows], seconds, distance)
+    """{(id, first id, best id)} by looking, for each burst, through all later rows."""
+    rows, out = sorted(rows, key=lambda r: (r[1], r[0])), set()
+    while rows:
+        burst, rest = rows[:1], rows[1:]
+        while rest and (rest[0][1] - burst[-1][1]) // 1_000_000 <= seconds:
+            row = rest.pop(0)
+            if ((row[2] ^ burst[-1][2]) & (2**64 - 1)).bit_count() <= distance:
+                burst.append(row)
+        if len(burst) > 1:
+            best = max(enumerate(burst), key=lambda x: (x[1][3], x[0]))[1]
+            out |= {(r[0], burst[0][0], best[0]) for r in burst}
+            rows = rest
+        else:
+            rows = rows[1:]
+    return out
 
 
 def test_bursts_by_islands_equal_one_scan(spark):
@@ -96,11 +108,12 @@ def test_bursts_by_islands_equal_one_scan(spark):
         rows.append((i, t, rng.choice([0, 1, 3, 0xFFFF, -1]), float(rng.randint(0, 3))))
     df = spark.createDataFrame([(*r, "a") for r in rows], "id long, us long, h long, blur double, dev string")
     df = df.withColumn("at", F.timestamp_micros("us").cast("timestamp_ntz"))
-    got = {tuple(r) for r in bursts.bursts(df, ["dev"], "at", "id", "h", "blur").collect()}
-    assert got == {(i, first, i == best) for i, first, best in greedy_bursts(rows, 3, 10)}
+    want = {(i, first, i == best) for i, first, best in greedy_bursts(rows, 3, 10)}
+    for by in (["dev"], []):
+        assert {tuple(r) for r in bursts.bursts(df, by, "at", "id", "h", "blur").collect()} == want
     pair = [(1, 0, 0, 100.0), (2, 2_000_000, 1, 120.0)]
-    assert greedy_bursts(pair, 3, 10) == [(1, 1, 2), (2, 1, 2)]
-    assert greedy_bursts([(1, 0, 0, 1.0), (2, 2_000_000, -1, 1.0)], 3, 10) == []
+    assert greedy_bursts(pair, 3, 10) == {(1, 1, 2), (2, 1, 2)}
+    assert greedy_bursts([(1, 0, 0, 1.0), (2, 2_000_000, -1, 1.0)], 3, 10) == set()
 
 
 def test_thinning(spark):
@@ -112,6 +125,31 @@ def test_thinning(spark):
     assert sorted(r["id"] for r in got.collect()) == [1, 3, 4, 5]
 
 
+def test_places_from_the_cache_and_answers_into_it(spark):
+    cache = spark.createDataFrame([("1.00:2.00", "Rome", "Italy"), ("3.00:4.00", None, None), ("3.00:4.00", None, None), (None, "x", "y")], "coord_key string, city string, country string")
+    items = spark.createDataFrame([(1, 1.001, 2.0), (2, 3.0, 4.0), (3, 5.0, 6.0), (4, None, 6.0)], "id long, la double, lo double").withColumn("cached", F.lit("clash"))
+    got = {r["id"]: tuple(r)[3:] for r in locations.with_cached_places(items.drop("cached"), F.col("la"), F.col("lo"), cache).collect()}
+    assert got == {1: ("1.00:2.00", "Rome", "Italy", True), 2: ("3.00:4.00", None, None, True), 3: ("5.00:6.00", None, None, False), 4: (None, None, None, False)}
+    answers = spark.createDataFrame([("5.00:6.00", None, None), ("1.00:2.00", "Paris", "France")], cache.schema)
+    assert sorted((r["coord_key"] or "", r["city"] or "") for r in locations.cache_with_answers(cache, answers).collect()) == [("", "x"), ("1.00:2.00", "Rome"), ("3.00:4.00", ""), ("3.00:4.00", ""), ("5.00:6.00", "")]
+
+
+def test_a_hot_group_is_numbered_over_many_tasks(spark):
+    df = spark.range(120_500).select("id", F.when(F.col("id") < 120_000, "hot").when(F.col("id") < 120_400, F.lit(None)).otherwise("cold").alias("name"))
+    got = ordering.numbered_in_group(df, ["name"], ["id"])
+    assert got.filter("name = 'hot' AND pos = id").count() == 120_000
+    assert got.filter("name IS NULL AND pos = id - 120000").count() == 400 and got.filter("name = 'cold' AND pos = id - 120400").count() == 100
+
+
+def test_views_and_queues_are_in_order(spark, sf):
+    rows = [r for r in library.video_threshold_views(spark, sf).collect()]
+    size = {r["id"]: (r["file_size"], r["duration_secs"]) for r in spark.read.parquet(f"{sf}/media_items.parquet").collect()}
+    keys = [(r["mode"], size[r["id"]][r["mode"] == "duration"], r["id"]) for r in rows]
+    assert keys == sorted(keys) and len(keys) > 2
+    groups = [(-r["event_year"], r["group_name"]) for r in library.group_listing(spark, sf).collect()]
+    assert groups == sorted(groups)
+
+
 def test_even_positions(spark):
     cases = {(10, 5): [0, 2, 5, 7, 9], (3, 5): [0, 1, 2], (0, 5): [], (1, 5): [0], (5, 5): [0, 1, 2, 3, 4], (7, 1): [0], (100, 10): [0, 11, 22, 33, 44, 55, 66, 77, 88, 99]}
     df = spark.createDataFrame([(n, t) for n, t in cases], "n long, t int")
@@ -238,15 +276,21 @@ def test_changes(spark):
 
 
 def test_kernels(spark):
-    flat = np.full((64, 64), 128.0)
-    assert kernels.laplacian_variance(flat) == 0 and kernels.laplacian_variance(np.eye(2)) == 0
-    assert kernels.laplacian_variance(np.indices((64, 64)).sum(0) % 2 * 255.0) > 1e5
-    assert kernels.exposure(np.full((4, 4), 10.0))[2] == 1 and kernels.exposure(np.full((4, 4), 240.0))[3] == 1
+    flat = np.full((1, 64, 64), 128.0)
+    assert kernels.laplacian_variance(flat) == [0] and kernels.laplacian_variance(np.eye(2)[None]) == [0]
+    assert kernels.laplacian_variance((np.indices((64, 64)).sum(0) % 2 * 255.0)[None]) > 1e5
+    assert kernels.exposure(np.full((1, 4, 4), 10.0))[2] == 1 and kernels.exposure(np.full((1, 4, 4), 240.0))[3] == 1
     falling = np.tile(np.arange(9, 0, -1.0), (8, 1))
-    assert kernels.difference_hash(falling) == -1 and kernels.difference_hash(falling[:, ::-1]) == 0
-    rgb = np.dstack([flat] * 3)
-    assert kernels.flat_share(rgb) == 1 and kernels.has_bars(rgb) and kernels.flat_share(np.random.default_rng(1).integers(0, 255, (64, 64, 3))) == 0
-    assert kernels.shrink(np.zeros((3000, 10))).shape == (1000, 3)
+    assert kernels.difference_hash(np.stack([falling, falling[:, ::-1]])).tolist() == [-1, 0]
+    wide = np.repeat(np.repeat(falling * 20, 5, 0), 7, 1)[None]  # shrinking keeps the slope
+    assert kernels.difference_hash(wide) == [-1] and kernels.resize(wide, 8, 9).shape == (1, 8, 9)
+    assert kernels.resize(np.array([[[0.0, 100.0]]]), 1, 4).tolist() == [[[0.0, 25.0, 75.0, 100.0]]]
+    rgb = np.stack([flat] * 3, -1)
+    assert kernels.flat_share(rgb) == [1] and kernels.has_bars(rgb) == [True] and kernels.flat_share(np.random.default_rng(1).integers(0, 255, (1, 64, 64, 3))) == [0]
+    assert kernels.shrink(np.zeros((1, 3000, 10))).shape == (1, 1024, 3)
+    two = spark.createDataFrame([(1, [7.0] * (64 * 64 * 3), 64, 64), (2, [1.0] * 5, 64, 64), (3, None, 64, 64), (4, [None] * 3, 1, 1), (5, [1.0] * 3, 1, 1)], "id long, p array<double>, w int, h int")
+    got = {r["record_id"]: (r["flat_share"], r["has_bars"]) for r in kernels.picture_signals(two, "id", "p", "w", "h").collect()}
+    assert got == {1: (1.0, True), 2: (None, None), 3: (None, None), 4: (None, None), 5: (0.0, False)}
     df = spark.createDataFrame([(1, [0.0] * 100, 10, 10), (2, None, 1, 1), (3, [1.0], 2, 2)], "id long, p array<double>, w int, h int")
     got = {r["record_id"]: (r["blur_score"], r["dhash"], r["dark_share"]) for r in kernels.picture_measures(df, "id", "p", "w", "h").collect()}
     assert got == {1: (0.0, 0, 1.0), 2: (None, None, None), 3: (None, None, None)}
@@ -378,3 +422,22 @@ def test_thinning_keeps_items_without_a_name(spark):
     df = df.withColumn("at", F.timestamp_seconds("s").cast("timestamp_ntz"))
     got = clusters.thin_near_duplicates(df, ["g"], "at", "id", text.filename_prefix(F.col("n")))
     assert got.columns == df.columns and sorted(r["id"] for r in got.collect()) == [1, 2, 3]
+
+
+def test_groups_are_created_renamed_and_deleted(spark):
+    g = spark.createDataFrame([(1, 2020, " Trip", "2020 -  Trip"), (2, 2021, "Misc", "2021 - Misc"), (3, 2022, None, None)], "id long, event_year int, group_name string, folder_name string")
+    wanted = spark.createDataFrame([(2025, " new "), (2024, "NEW"), (2020, "trip"), (2020, " "), (2020, None)], "event_year int, group_name string")
+    assert [tuple(r) for r in lifecycle.created_groups(g, wanted).collect()] == [(2024, "NEW", "2024 - NEW")]
+    names = spark.createDataFrame([(1, "TRIP"), (2, "trip "), (3, "Snow"), (9, "x")], "id long, new_name string")
+    got = {r["id"]: (r["group_name"], r["folder_name"]) for r in lifecycle.renamed_groups(g, names).collect()}
+    assert got == {1: (" Trip", "2020 -  Trip"), 2: ("Misc", "2021 - Misc"), 3: ("Snow", "2022 - Snow")}
+    items = spark.createDataFrame([(1, "grouped"), (2, "excluded"), (None, "grouped")], "event_group_id long, status string")
+    left = lifecycle.deleted_groups(g, items, spark.createDataFrame([(1,), (2,)], "id long"))
+    assert sorted(r["id"] for r in left.collect()) == [1, 3]
+
+
+def test_best_shots_follow_answers_of_members(spark):
+    members = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "g string, i long")
+    sharpest = spark.createDataFrame([("a", 1), ("b", 3)], "g string, i long")
+    answers = spark.createDataFrame([("a", 2), ("b", 1), ("c", 4)], "g string, i long")
+    assert {tuple(r) for r in bursts.best_shots(sharpest, members, answers, "g", "i").collect()} == {("a", 2), ("b", 3)}

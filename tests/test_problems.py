@@ -187,8 +187,8 @@ def test_normalise_edges(spark):
     assert normalise(rows(df.limit(0)), []).count() == 0
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p2_counts"])
-def test_p2_against_sql(spark, sf, name):
+@pytest.mark.parametrize("name", sorted(problems.SQL))
+def test_against_sql(spark, sf, name):
     assert spark_rows(problems.QUERIES[name](spark, sf)) == duck_rows(connect(sf), problems.SQL[name])
 
 
