@@ -15,6 +15,11 @@ def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     return F.lit(2 * EARTH_MILES) * F.asin(F.sqrt(a))
 
 
+def gps_point(lat: Column, lon: Column) -> Column:
+    """struct(lat, lon), null unless both are known."""
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
 @F.pandas_udf(T.StringType())
 def geocode_key(lat: pd.Series, lon: pd.Series) -> pd.Series:
     """'lat:lon' with two decimals, rounded from the exact binary value (built-in formatting rounds the decimal text half up)."""

@@ -15,6 +15,9 @@ CLUES = [
     "scene_signals", "event_candidates", "location_candidates", "holiday_candidates", "activity_candidates", "travel_indicators", "destination_candidates",
 ]
 
+#: Clusters of fewer items are named without clues.
+CLUES_FROM = 5
+
 
 def filled(c: Column) -> Column:
     """Trimmed text, null if blank."""
@@ -34,6 +37,11 @@ def exif_record(json: Column) -> Column:
     )
 
 
+def camera(make: Column, model: Column) -> Column:
+    """struct(camera_make, camera_model), trimmed; null if both are blank."""
+    return F.when(filled(make).isNotNull() | filled(model).isNotNull(), F.struct(filled(make).alias("camera_make"), filled(model).alias("camera_model")))
+
+
 def date_estimate(json: Column) -> Column:
     """(ai_date, confidence, reasoning) of a date estimate; no JSON gives no date, confidence 0 and a waiting note."""
     e = F.from_json(json, "ai_date string, confidence double, reasoning string")

@@ -26,18 +26,35 @@ def hash_pairs(classes: DataFrame, distance: int = 5, prefix_bits: int = 16) ->
     block = lambda h, i: F.shiftrightunsigned(h, bounds[i]).bitwiseAND(F.lit((1 << (bounds[i + 1] - bounds[i])) - 1))
     keys = F.array(*[F.struct(F.lit(i).alias("i"), block(F.col("hash"), i).alias("v")) for i in range(n)])
     keyed = classes.withColumn("p", prefix_bucket(F.col("hash"), prefix_bits)).withColumn("k", F.explode(keys))
-    side = lambda s: keyed.select("p", F.col("k.i").alias("i"), F.col("k.v").alias("v"), *[F.col(c).alias(f"{c}_{s}") for c in ("hash", "burst", "rep")])
     x = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
     earlier = F.lit(False)
     for i in range(n - 1):
         earlier = earlier | ((F.col("i") > i) & (block(x, i) == 0))
-    found = side("a").join(side("b"), ["p", "i", "v"]).filter(
+    keyed = keyed.select("p", F.col("k.i").alias("i"), F.col("k.v").alias("v"), "hash", "burst", "rep")
+    found = _meetings(keyed, ["p", "i", "v"], ["hash", "burst", "rep"], "rep").filter(
         (F.col("rep_a") < F.col("rep_b")) & (hamming(F.col("hash_a"), F.col("hash_b")) <= distance) & ~earlier
         & ~F.coalesce(F.col("burst_a") == F.col("burst_b"), F.lit(False))
     )
     return found.select("rep_a", "rep_b", hamming(F.col("hash_a"), F.col("hash_b")).alias("bits"))
 
 
+def _meetings(rows: DataFrame, keys: list[str], values: list[str], spread: str, block: int = 4000) -> DataFrame:
+    """Self-join of rows by keys, the values named _a and _b. Where a key has more than `block` rows, these are cut into blocks, and
+    each block meets all rows of the key in a task of its own."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > block)
+    sizes = cut_lineage(sizes.withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int")))
+    a = b = rows
+    on = keys
+    if sizes.limit(1).count():
+        cut = hot_split_join(rows, sizes, keys, "__n", rows.count(), F.col(spread), "left")
+        blocks = F.coalesce("__blocks", F.lit(1))
+        a = cut.withColumn("__block", F.pmod(F.xxhash64(spread), blocks).cast("int"))
+        b = cut.withColumn("__block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        on = [*keys, "__block"]
+    side = lambda df, s: df.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in values])
+    return side(a, "a").join(side(b, "b").hint("merge"), on)
+
+
 def least_labels(pairs: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataFrame:
     """(node, label): the least node reachable from each node of `pairs`.
 

@@ -114,3 +114,10 @@ def typed_settings(settings: DataFrame, defaults: dict[str, float | int | str])
     kinds = {float: "double", int: "bigint", str: "string"}
     read = [F.coalesce(F.max(F.when(F.col("key") == k, F.col("value").try_cast(kinds[type(v)]))), F.lit(v).cast(kinds[type(v)])).alias(k) for k, v in defaults.items()]
     return settings.agg(*read)
+
+
+def changed_settings(settings: DataFrame, written: dict[str, str], cleared: list[str]) -> DataFrame:
+    """settings (key, value) with some written and some cleared; clearing what is not there changes nothing."""
+    spark = settings.sparkSession
+    kept = settings.filter(~F.col("key").isin([*written, *cleared]))
+    return kept.unionByName(spark.createDataFrame(list(written.items()), "key string, value string")) if written else kept

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -501,30 +503,68 @@ def geocode_keys(spark, d):
     return s.select("s_suppkey", geo.geocode_key(F.col("s_acctbal") / 100.0, -F.col("s_acctbal") / 50.0).alias("coord_key"))
 
 
-@query("SELECT record_id, create_date, width, height, mime_type, CASE WHEN NOT isnan(duration_secs) THEN duration_secs END AS duration_secs, video_codec, camera_make FROM metadata_info")
+@query("""SELECT record_id, CASE WHEN ok THEN create_date END AS create_date, CASE WHEN ok THEN width END AS width, CASE WHEN ok THEN height END AS height, CASE WHEN ok THEN mime_type END AS mime_type,
+ CASE WHEN ok AND NOT isnan(duration_secs) AND record_id % 5 <> 0 THEN duration_secs END AS duration_secs, CASE WHEN ok THEN video_codec END AS video_codec, CASE WHEN ok THEN content_identifier END AS content_identifier,
+ CASE WHEN ok THEN camera_make END AS camera_make FROM (SELECT *, record_id % 11 <> 0 AS ok FROM metadata_info)""")
 def exif_records(spark, d):
-    """Records written as exif JSON and read back: durations as text, the codec under its second name."""
-    m = table(spark, d, "metadata_info")
-    duration = F.when(~F.isnan("duration_secs"), F.col("duration_secs")).cast("string")
-    json = F.to_json(F.struct(F.col("create_date").alias("CreateDate"), F.col("width").alias("ImageWidth"), F.col("height").alias("ImageHeight"), F.col("mime_type").alias("MIMEType"), duration.alias("Duration"), F.col("video_codec").alias("CompressorName"), F.col("camera_make").alias("Make")))
+    """Records written as exif JSON and read back: durations as numbers, as texts or not readable, the codec under any of its three names, the content
+    identifier under either of its two; some texts are cut short and give nothing."""
+    m, i = table(spark, d, "metadata_info"), F.col("record_id")
+    duration = F.when(~F.isnan("duration_secs"), F.col("duration_secs"))
+    only = lambda c, k, n: F.when(i % n == k, F.col(c))
+    json = F.to_json(F.struct(
+        F.col("create_date").alias("CreateDate"), F.col("width").alias("ImageWidth"), F.col("height").alias("ImageHeight"), F.col("mime_type").alias("MIMEType"),
+        F.when(i % 5 == 0, "12 s (approx)").otherwise(duration.cast("string")).alias("Duration"), only("video_codec", 0, 3).alias("VideoCodec"), only("video_codec", 1, 3).alias("CompressorName"),
+        only("video_codec", 2, 3).alias("CodecID"), only("content_identifier", 0, 2).alias("ContentIdentifier"), only("content_identifier", 1, 2).alias("ComAppleQuickTimeContentIdentifier"),
+        F.col("camera_make").alias("Make"),
+    ))
+    json = F.when(i % 5 == 1, F.regexp_replace(json, '"Duration":"([0-9.eE+-]+)"', '"Duration":$1')).otherwise(json)
+    json = F.when(i % 11 == 0, F.substring(json, 1, 7)).otherwise(json)
     e = m.select("record_id", payloads.exif_record(json).alias("e"))
-    return e.select("record_id", *[f"e.{c}" for c in ("create_date", "width", "height", "mime_type", "duration_secs", "video_codec", "camera_make")])
+    return e.select("record_id", *[f"e.{c}" for c in ("create_date", "width", "height", "mime_type", "duration_secs", "video_codec", "content_identifier", "camera_make")])
+
 
+@query("SELECT record_id, nullif(trim(camera_make), '') AS camera_make, nullif(trim(camera_model), '') AS camera_model FROM metadata_info WHERE trim(camera_make) <> '' OR trim(camera_model) <> ''")
+def camera_records(spark, d):
+    """Make and model of the records that name either."""
+    c = payloads.camera(F.col("camera_make"), F.col("camera_model"))
+    return table(spark, d, "metadata_info").select("record_id", c.alias("c")).filter("c IS NOT NULL").select("record_id", "c.*")
 
-@query("SELECT n_nationkey, n_name AS city, r_name AS country, 'GPS data suggests these photos were taken in: ' || n_name || ', ' || r_name AS hint FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+@query("""SELECT s_suppkey, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lat END AS lat, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lon END AS lon
+ FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal / 100.0 END AS lat, CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal / 50.0 END AS lon FROM supplier)""")
+def gps_points(spark, d):
+    """Coordinates, where both are known."""
+    s, i = table(spark, d, "supplier"), F.col("s_suppkey")
+    p = geo.gps_point(F.when(i % 3 != 0, F.col("s_acctbal") / 100.0), F.when(i % 4 != 0, F.col("s_acctbal") / 50.0))
+    return s.select("s_suppkey", p["lat"].alias("lat"), p["lon"].alias("lon"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN k NOT IN (3, 4) THEN n_name END AS city, CASE WHEN k NOT IN (3, 4) THEN r_name END AS country,
+ CASE WHEN k NOT IN (3, 4) THEN 'GPS data suggests these photos were taken in: ' || n_name || ', ' || r_name END AS hint FROM (SELECT *, n_nationkey % 6 AS k FROM nation) JOIN region ON n_regionkey = r_regionkey""")
 def geocode_answers(spark, d):
+    """Answers of either form: a list of results, an address with a city, town or village; without a country, or broken, they name no place."""
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    json = F.to_json(F.struct(F.struct(F.concat(F.lit(" "), "n_name").alias("town"), F.col("r_name").alias("country")).alias("address")))
+    k, name, country = F.col("n_nationkey") % 6, F.concat(F.lit(" "), "n_name"), F.col("r_name")
+    address = lambda c: F.to_json(F.struct(F.struct(name.alias(c), country.alias("country")).alias("address")))
+    results = F.struct(F.array(F.struct(name.alias("name"), country.alias("country"))).alias("results"), F.struct(F.lit("elsewhere").alias("city"), F.lit("X").alias("country")).alias("address"))
+    json = (
+        F.when(k == 0, F.to_json(results)).when(k == 1, address("city")).when(k == 2, address("village"))
+        .when(k == 3, F.to_json(F.struct(F.struct(name.alias("city"), F.lit(" ").alias("country")).alias("address")))).when(k == 4, F.lit('{"address": {')).otherwise(address("town"))
+    )
     at = payloads.city_country(json)
     return n.select("n_nationkey", at["city"].alias("city"), at["country"].alias("country"), text.location_hint(at["city"], at["country"]).alias("hint"))
 
 
-@query("SELECT s_suppkey, s_acctbal AS lat, -s_acctbal AS lon FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 > 2 THEN s_acctbal END AS lat, CASE WHEN s_suppkey % 5 > 2 THEN -s_acctbal END AS lon, CASE WHEN s_suppkey % 5 > 2 THEN s_name END AS display_name FROM supplier")
 def forward_geocode(spark, d):
-    s = table(spark, d, "supplier")
-    json = F.to_json(F.array(F.struct(F.col("s_acctbal").cast("string").alias("lat"), (-F.col("s_acctbal")).cast("string").alias("lon"))))
+    """The first hit; an empty list, a coordinate that is no number, or a broken text give no place."""
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey") % 5
+    hit = lambda lat: F.struct(lat.alias("lat"), (-F.col("s_acctbal")).cast("string").alias("lon"), F.col("s_name").alias("display_name"))
+    good, odd = hit(F.col("s_acctbal").cast("string")), hit(F.lit("north"))
+    json = F.when(k == 0, F.lit("[]")).when(k == 1, F.to_json(F.array(odd))).when(k == 2, F.lit('[{"lat": "1"')).when(k == 3, F.to_json(F.array(good, odd))).otherwise(F.to_json(F.array(good)))
     p = payloads.first_place(json)
-    return s.select("s_suppkey", p["lat"].alias("lat"), p["lon"].alias("lon"))
+    return s.select("s_suppkey", p["lat"].alias("lat"), p["lon"].alias("lon"), p["display_name"].alias("display_name"))
 
 
 @query("""SELECT id, CASE WHEN coalesce(file_size, 0) <= 26214400 THEN 'data:' || mime_type || ';base64,' || to_base64(filename::BLOB) END AS url FROM media_items WHERE mime_type IS NOT NULL""")
@@ -780,18 +820,43 @@ def first_places(spark, d):
     return _gps(spark, d).filter("city IS NOT NULL").groupBy("event_year", "cluster_no").agg(F.min_by("city", F.struct("at", "id")).alias("first_city"))
 
 
-_SETTINGS = [("home_latitude", "36.5"), ("home_longitude", "-86.0"), ("home_radius_miles", "far"), ("home_label", "  "), ("home_address_raw", "1 Main St"), ("blur_threshold", "55.5"), ("burst_window", "x")]
+_SUPPLIERS = [1, 2, 3, 4, 5, 6, 8, 9]
+
+
+def _settings(spark, d, supplier: int):
+    """Settings made from a supplier: some unreadable, blank or missing."""
+    i, x = F.col("s_suppkey"), F.col("s_acctbal")
+    values = {
+        "home_latitude": (x / 200).cast("string"), "home_longitude": F.when(i % 5 == 0, "west").otherwise((x / 100).cast("string")),
+        "home_radius_miles": F.when(i % 2 == 0, i.cast("string")).otherwise("far"), "home_label": F.when(i % 3 == 0, "  ").otherwise(F.col("s_name")),
+        "home_address_raw": F.concat("s_name", F.lit(" Street")), "blur_threshold": F.when(i % 4 != 0, x.cast("string")), "burst_window": F.when(i % 3 == 0, i.cast("string")).otherwise("x"),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()])
+    return table(spark, d, "supplier").filter(i == supplier).select(F.inline(rows))
 
 
-@query("SELECT 36.5::DOUBLE AS lat, -86.0::DOUBLE AS lon, 25.0::DOUBLE AS radius, '1 Main St' AS label")
+@query(f"""SELECT s_suppkey AS supplier, round(s_acctbal / 200, 6) AS lat, round(s_acctbal / 100, 6) AS lon, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE 25 END::DOUBLE AS radius,
+ CASE WHEN s_suppkey % 3 = 0 THEN s_name || ' Street' ELSE s_name END AS label FROM supplier WHERE s_suppkey IN ({str(_SUPPLIERS)[1:-1]}) AND s_suppkey % 5 <> 0""")
 def home_settings(spark, d):
-    return locations.home_config(spark.createDataFrame(_SETTINGS, "key string, value string"))
+    """Home by the settings of a few suppliers: none without both coordinates, the default radius, the address for a blank label."""
+    found = [locations.home_config(_settings(spark, d, k)).withColumn("supplier", F.lit(k).cast("bigint")) for k in _SUPPLIERS]
+    return reduce(DataFrame.unionByName, found).select("supplier", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "radius", "label")
 
 
-@query("SELECT 55.5::DOUBLE AS blur_threshold, 3::BIGINT AS burst_window, 0.6::DOUBLE AS screenshot_threshold")
+@query(f"""SELECT s_suppkey AS supplier, CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal ELSE 50 END::DOUBLE AS blur_threshold, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey ELSE 3 END::BIGINT AS burst_window, 0.6::DOUBLE AS screenshot_threshold
+ FROM supplier WHERE s_suppkey IN ({str(_SUPPLIERS)[1:-1]})""")
 def typed_settings(spark, d):
-    s = spark.createDataFrame(_SETTINGS, "key string, value string")
-    return lifecycle.typed_settings(s, {"blur_threshold": 50.0, "burst_window": 3, "screenshot_threshold": 0.6})
+    """Settings as numbers, the default for what is missing or unreadable."""
+    defaults = {"blur_threshold": 50.0, "burst_window": 3, "screenshot_threshold": 0.6}
+    found = [lifecycle.typed_settings(_settings(spark, d, k), defaults).withColumn("supplier", F.lit(k).cast("bigint")) for k in _SUPPLIERS]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("""SELECT CASE key WHEN 'burst_window' THEN 'burst_window' ELSE key END AS key, CASE key WHEN 'burst_window' THEN '9' WHEN 'home_label' THEN NULL ELSE value END AS value
+ FROM (SELECT unnest(['blur_threshold', 'burst_window', 'home_address_raw', 'home_latitude', 'home_longitude', 'home_radius_miles']) AS key, unnest([s_acctbal::VARCHAR, '', s_name || ' Street', (s_acctbal / 200)::VARCHAR, (s_acctbal / 100)::VARCHAR, 'far']) AS value FROM supplier WHERE s_suppkey = 1)""")
+def changed_settings(spark, d):
+    """The settings after one is written and one is cleared."""
+    return lifecycle.changed_settings(_settings(spark, d, 1), {"burst_window": "9"}, ["home_label", "unknown"])
 
 
 # -- rules -------------------------------------------------------------------------------------------------------------
@@ -1092,3 +1157,55 @@ def picture_overrides(spark, d):
         "id", F.when(asked_blur, F.col("blurry")).otherwise(F.coalesce((blur < 50) & ~F.isnan(blur), F.lit(False))).alias("blurry"),
         F.when(asked_shot, media.is_not_a_photo(F.col("cls"), F.col("sure"))).otherwise(F.coalesce(shot >= 0.8, F.lit(False))).alias("not_a_photo"),
     )
+
+
+# -- outside answers ---------------------------------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT n_nationkey, CASE n_nationkey % 8 WHEN 0 THEN 'Password MISSING for ' WHEN 1 THEN 'no password entered ' WHEN 2 THEN 'Invalid email/password ' WHEN 3 THEN 'Advanced Data Protection ' WHEN 4 THEN 'ADP on ' WHEN 5 THEN 'missing apple_id field '
+ WHEN 6 THEN 'SRP error ' ELSE 'timeout ' END || n_name AS t FROM nation) SELECT n_nationkey, CASE WHEN n_nationkey % 8 IN (0, 1) THEN 'session_required' WHEN n_nationkey % 8 = 2 THEN 'invalid_credentials' WHEN n_nationkey % 8 IN (3, 4) THEN 'adp_unsupported' ELSE 'error' END AS status FROM m""")
+def auth_statuses(spark, d):
+    """Statuses named by the texts of sign-in errors."""
+    said = ["Password MISSING for ", "no password entered ", "Invalid email/password ", "Advanced Data Protection ", "ADP on ", "missing apple_id field ", "SRP error ", "timeout "]
+    at = F.element_at(F.array(*[F.lit(x) for x in said]), (F.col("n_nationkey") % 8 + 1).cast("int"))
+    return table(spark, d, "nation").select("n_nationkey", text.auth_status(F.concat(at, "n_name")).alias("status"))
+
+
+@query(r"""SELECT id, CASE WHEN regexp_full_match(date_taken, '\d{4}-\d{2}-\d{2}( |T)\d{2}:\d{2}:\d{2}') THEN try_cast(date_taken AS TIMESTAMP) WHEN regexp_full_match(date_taken, '\d{4}-\d{2}-\d{2}') THEN try_cast(date_taken AS TIMESTAMP) + INTERVAL 12 HOUR END AS at FROM media_items""")
+def whole_second_times(spark, d):
+    """Capture times of the forms without a fraction."""
+    return _media(spark, d).select("id", dates.capture_time(F.col("date_taken"), fraction=False).alias("at"))
+
+
+@query("""WITH f AS (SELECT id, 'provider-' || (id % 3)::VARCHAR AS p, coalesce(folder_name, '') || repeat('x', (id % 300)::INT) AS path FROM event_groups)
+SELECT id, p || ':' || 'm' || id::VARCHAR AS model, CASE WHEN strlen(path) > 240 THEN '\\\\?\\' || path ELSE path END AS path FROM f""")
+def model_ids_and_long_paths(spark, d):
+    g, i = table(spark, d, "event_groups"), F.col("id")
+    path = F.concat(F.coalesce("folder_name", F.lit("")), F.repeat(F.lit("x"), (i % 300).cast("int")))
+    provider = F.concat(F.lit("provider-"), (i % 3).cast("string"))
+    return g.select("id", text.model_id(provider, F.concat(F.lit("m"), i.cast("string"))).alias("model"), text.long_path(path).alias("path"))
+
+
+@query("""WITH s AS (SELECT id, ai_suggested_name AS n, lower(ai_confidence) AS c, ai_needs_fallback AS f FROM event_groups)
+SELECT a.id, CASE WHEN (a.n IS NULL OR coalesce(a.f = 1, false) OR coalesce(a.c = 'low', false)) AND b.n IS NOT NULL THEN b.n ELSE a.n END AS name FROM s a LEFT JOIN s b ON b.id = a.id + 1""")
+def routed_names(spark, d):
+    """The suggestion, or a second one (the next group's stands in) where it is missing, of low confidence or needs a fallback."""
+    g = table(spark, d, "event_groups")
+    said = F.struct(F.col("ai_suggested_name").alias("name"), F.col("ai_confidence").alias("confidence"), (F.col("ai_needs_fallback") == 1).alias("needs_fallback"))
+    s = g.select("id", F.when(F.col("ai_suggested_name").isNotNull(), said).alias("s"))
+    pairs = s.join(s.select((F.col("id") - 1).alias("id"), F.col("s").alias("t")), "id", "left")
+    return pairs.select("id", naming.routed(F.col("s"), F.col("t"))["name"].alias("name"))
+
+
+@query("""WITH g AS (SELECT id, item_count, trim(group_name) AS n, lower(ai_event_type) AS t, lower(ai_confidence) AS c, id % 9 = 0 AS broken FROM event_groups WHERE item_count >= 5)
+SELECT id, CASE WHEN broken OR n IS NULL OR n = '' THEN [] ELSE [n] END AS scene_signals, CASE WHEN NOT broken AND t IN ('holiday','birthday','vacation','sports','school','family','anniversary','graduation','travel','day_trip','misc','other') THEN t END AS dominant_context,
+ CASE WHEN NOT broken AND c IN ('high','medium','low') THEN c END AS naming_confidence, CASE WHEN broken OR id % 2 = 0 THEN 'No reasoning provided.' ELSE 'seen' END AS reasoning, NOT broken AND id % 3 = 0 AS needs_fallback FROM g""")
+def cluster_clues(spark, d):
+    """Clues about clusters of five items or more (the groups' own columns stand in for outside answers, some of them broken)."""
+    g, i = table(spark, d, "event_groups").filter(F.col("item_count") >= payloads.CLUES_FROM), F.col("id")
+    json = F.to_json(F.struct(
+        F.array(F.concat(F.lit(" "), "group_name"), F.lit("  ")).alias("scene_signals"), F.col("ai_event_type").alias("dominant_context"), F.col("ai_confidence").alias("naming_confidence"),
+        F.when(i % 2 != 0, "seen").alias("reasoning"), F.when(i % 3 == 0, True).alias("needs_fallback"),
+    ))
+    c = payloads.cluster_clues(F.when(i % 9 == 0, F.substring(json, 1, 5)).otherwise(json))
+    return g.select("id", *[c[k].alias(k) for k in ("scene_signals", "dominant_context", "naming_confidence", "reasoning", "needs_fallback")])

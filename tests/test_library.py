@@ -12,7 +12,7 @@ from fotomill.functions import dates, geo, hashes, media, payloads, text
 from fotomill.operators import bursts, clusters, duplicates, kernels, lifecycle, locations, naming, ordering
 from fotomill.plans import library
 from fotomill.sources.media import media_files, write_library
-from fotomill.streaming.feeds import live_sessions, new_items
+from fotomill.streaming.feeds import append_unknown, live_sessions, new_items
 from tests.oracle import connect, duck_rows, spark_rows
 
 
@@ -248,6 +248,13 @@ def test_duplicate_groups(spark):
     assert {r["label"] for r in duplicates.least_labels(chain, "a", "b").collect()} == {0}
 
 
+def test_a_crowded_prefix_is_compared_block_by_block(spark):
+    rows = spark.range(900).select(F.lit(7).alias("p"), F.when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("rep"))
+    got = duplicates._meetings(rows, ["p", "k"], ["rep"], "rep", block=50)
+    pairs = [(r["rep_a"], r["rep_b"]) for r in got.select("rep_a", "rep_b").collect()]
+    assert len(pairs) == len(set(pairs)) == 700 * 700 + 200
+
+
 def test_location_facts_without_coordinates(spark):
     df = spark.createDataFrame([(1, datetime(2025, 1, 1), None, None, None)], "id long, at timestamp, lat double, lon double, city string").withColumn("g", F.lit(1))
     r = locations.location_facts(df, ["g"], ["at", "id"], "at", "lat", "lon", "city", (0.0, 0.0, 25.0, "x")).first()
@@ -310,10 +317,18 @@ def test_files_and_sink(spark, tmp_path):
 def test_streams(spark, sf, tmp_path):
     items = spark.createDataFrame([(i % 5, "u", datetime(2024, 1, 1) + timedelta(hours=i)) for i in range(10)], "id long, u string, at timestamp")
     items.write.parquet(str(tmp_path / "in"))
-    q = new_items(spark, str(tmp_path / "in"), items.schema, "id").writeStream.format("memory").queryName("fresh").option("checkpointLocation", str(tmp_path / "c1")).start()
+    q = new_items(spark, str(tmp_path / "in"), items.schema, "id", "at").writeStream.format("memory").queryName("fresh").option("checkpointLocation", str(tmp_path / "c1")).start()
     q.processAllAvailable()
     q.stop()
     assert spark.table("fresh").count() == 5
+    known = str(tmp_path / "known")
+    items.filter("id = 0").limit(1).write.parquet(known)
+    stream = spark.readStream.schema(items.schema).parquet(str(tmp_path / "in"))
+    q = stream.writeStream.foreachBatch(append_unknown(known, "id")).option("checkpointLocation", str(tmp_path / "c0")).start()
+    q.processAllAvailable()
+    q.stop()
+    append_unknown(known, "id")(items, 1)  # a batch that runs again
+    assert sorted(r["id"] for r in spark.read.parquet(known).collect()) == [0, 1, 2, 3, 4]
     late = spark.createDataFrame([(99, "u", datetime(2024, 2, 1)), (98, "u", datetime(2024, 3, 1))], items.schema)
     late.write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(items.schema).parquet(str(tmp_path / "in"))
