@@ -41,12 +41,13 @@ def hash_pairs(classes: DataFrame, distance: int = 5, prefix_bits: int = 16) ->
 def _meetings(rows: DataFrame, keys: list[str], values: list[str], spread: str, block: int = 4000) -> DataFrame:
     """Self-join of rows by keys, the values named _a and _b. Where a key has more than `block` rows, these are cut into blocks, and
     each block meets all rows of the key in a task of its own."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > block)
-    sizes = cut_lineage(sizes.withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int")))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    total, largest = sizes.agg(F.sum("__n"), F.max("__n")).first()
     a = b = rows
     on = keys
-    if sizes.limit(1).count():
-        cut = hot_split_join(rows, sizes, keys, "__n", rows.count(), F.col(spread), "left")
+    if (largest or 0) > block:
+        large = sizes.filter(F.col("__n") > block).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int"))
+        cut = hot_split_join(rows, large, keys, "__n", total, F.col(spread), "left")
         blocks = F.coalesce("__blocks", F.lit(1))
         a = cut.withColumn("__block", F.pmod(F.xxhash64(spread), blocks).cast("int"))
         b = cut.withColumn("__block", F.explode(F.sequence(F.lit(0), blocks - 1)))

@@ -39,12 +39,12 @@ def numbered_in_group(df: DataFrame, group: list[str], order: list[str], name: s
     broadcast) by position_in_group(), which spreads them over many tasks.
     """
     sizes = df.groupBy(*group).agg(F.count("*").alias("__n"))
-    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    total, largest = sizes.agg(F.sum("__n"), F.max("__n")).first()
     by_window = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    keys = [F.col(c).alias(f"__g{i}") for i, c in enumerate(group)]
-    hot = sizes.filter(F.col("__n") > max(100_000, total // parts)).select(*keys)
-    if not hot.limit(1).count():
+    hot_at = max(100_000, (total or 0) // parts)
+    if (largest or 0) <= hot_at:
         return df.withColumn(name, by_window)
+    hot = sizes.filter(F.col("__n") > hot_at).select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)])
     hot = cut_lineage(hot)
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(group)])
     cold = df.join(F.broadcast(hot), same, "left_anti").withColumn(name, by_window)

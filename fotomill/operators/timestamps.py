@@ -16,10 +16,10 @@ def device_zones(devices: DataFrame) -> DataFrame:
     )
 
 
-def with_zones(rows: DataFrame, devices: DataFrame, device: str, spread: str) -> DataFrame:
-    """rows with zone and date_order of their device, null for null and unknown ones. A device may hold a third of all rows."""
+def with_zones(rows: DataFrame, total: int, devices: DataFrame, device: str, spread: str) -> DataFrame:
+    """rows (`total` of them at most) with zone and date_order of their device, null for null and unknown ones. A device may hold a third of all rows."""
     zones = device_zones(devices).withColumnRenamed("device", device)
-    return lookup(rows, zones, device, F.col(spread), rows.count(), devices.count())
+    return lookup(rows, zones, device, F.col(spread), total, devices.count())
 
 
 def normalise(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -41,14 +41,14 @@ def _readable(df: DataFrame) -> DataFrame:
 def item_zones(media: DataFrame, devices: DataFrame) -> DataFrame:
     """(media_item_id, zone, date_order), one row per item with a device; of repeated ids the least device counts."""
     items = media.filter("id IS NOT NULL AND source_device IS NOT NULL").groupBy(F.col("id").alias("media_item_id")).agg(F.min("source_device").alias("device"))
-    return with_zones(items, devices, "device", "media_item_id").drop("device")
+    return with_zones(items, media.count(), devices, "device", "media_item_id").drop("device")
 
 
-def _by_item(rows: DataFrame, media: DataFrame, devices: DataFrame) -> DataFrame:
-    """rows (record_id, media_item_id, …) with the zone of their item; an item may hold a third of all rows."""
+def _by_item(rows: DataFrame, total: int, media: DataFrame, devices: DataFrame) -> DataFrame:
+    """rows (record_id, media_item_id, …), `total` of them at most, with the zone of their item; an item may hold a third of all rows."""
     uses = rows.groupBy("media_item_id").agg(F.count("*").alias("uses"))
     zones = item_zones(media, devices)
-    return hot_split_join(rows, zones.join(uses, "media_item_id"), "media_item_id", "uses", rows.count(), F.col("record_id"), "left", uses)
+    return hot_split_join(rows, zones.join(uses, "media_item_id"), "media_item_id", "uses", total, F.col("record_id"), "left", uses)
 
 
 def capture_times(media: DataFrame, devices: DataFrame, keep: dict[str, Column] | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def capture_times(media: DataFrame, devices: DataFrame, keep: dict[str, Column]
         F.col("id").alias("record_id"), F.col("date_taken").alias("value"), (F.lower(F.trim("date_taken_source")) == "fixture").alias("as_utc"),
         F.col("source_device").alias("__device"), *[c.alias(k) for k, c in (keep or {}).items()],
     )
-    return normalise(with_zones(_readable(rows), devices, "__device", "record_id"), list(keep or {}))
+    return normalise(with_zones(_readable(rows), media.count(), devices, "__device", "record_id"), list(keep or {}))
 
 
 def created_times(metadata: DataFrame, media: DataFrame, devices: DataFrame) -> DataFrame:
@@ -67,10 +67,10 @@ def created_times(metadata: DataFrame, media: DataFrame, devices: DataFrame) ->
     """
     video = F.lower(F.trim("mime_type")).startswith("video/").alias("as_utc")
     rows = metadata.select(F.col("record_id"), "media_item_id", F.col("create_date").alias("value"), video).dropDuplicates()
-    return normalise(_by_item(_readable(rows), media, devices), [])
+    return normalise(_by_item(_readable(rows), metadata.count(), media, devices), [])
 
 
 def estimated_times(estimates: DataFrame, media: DataFrame, devices: DataFrame) -> DataFrame:
     """normalise() of date_estimate.ai_date by the device of the estimate's item. Equal rows count once."""
     rows = estimates.select(F.col("estimate_id").alias("record_id"), "media_item_id", F.col("ai_date").alias("value"), F.lit(False).alias("as_utc")).dropDuplicates()
-    return normalise(_by_item(_readable(rows), media, devices), [])
+    return normalise(_by_item(_readable(rows), estimates.count(), media, devices), [])

@@ -178,7 +178,7 @@ def test_normalise_edges(spark):
         [(1, "2020-01-01 09:00:00", "a", 5), (2, "2020-01-01 09:00:00", None, 6), (3, "2020-01-01 09:00:00", "zz", 7), (None, "2020-01-02", "b", 8), (4, None, "a", 9)],
         "id long, v string, zone string, utc_micros int",
     )
-    rows = lambda f: with_zones(f.select(F.col("id").alias("record_id"), F.col("v").alias("value"), F.lit(None).cast("boolean").alias("as_utc"), F.col("zone").alias("dev"), "utc_micros"), dev, "dev", "record_id")
+    rows = lambda f: with_zones(f.select(F.col("id").alias("record_id"), F.col("v").alias("value"), F.lit(None).cast("boolean").alias("as_utc"), F.col("zone").alias("dev"), "utc_micros"), 5, dev, "dev", "record_id")
     got = normalise(rows(df), [])
     assert got.columns == ["record_id", "utc_micros", "has_time"]
     by = {r[0]: (r[1], r[2]) for r in got.collect()}
