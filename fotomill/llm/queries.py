@@ -66,9 +66,9 @@ def p4_merged(spark: SparkSession, d: str) -> DataFrame:
     age = F.coalesce(F.datediff(F.lit("2026-01-01").cast("date"), _at("updated_at")), F.lit(90))
     votes = [Ballot(trust, decayed(F.greatest(age, F.lit(0)), 90.0))]
     fields = [
-        Field("blur_score", ok["blur_score"], F.round("blur_score", 1), ballots=votes),
+        Field("blur_score", ok["blur_score"], F.floor(F.col("blur_score") * 10 + 0.5) / 10, ballots=votes),
         Field("file_size", ok["file_size"], ballots=votes),
-        Field("ai_quality_score", ok["ai_quality_score"], F.round("ai_quality_score", 2), ballots=votes),
+        Field("ai_quality_score", ok["ai_quality_score"], F.floor(F.col("ai_quality_score") * 100 + 0.5) / 100, ballots=votes),
     ]
     won = field_winners(media, group_of("duplicate_group_id"), "id", fields, digits=9)
     return merged_records(won, fields).withColumnRenamed("grp", "duplicate_group")
@@ -167,9 +167,9 @@ WITH items AS (
   SELECT DISTINCT lower(trim(duplicate_group_id)) AS g, id,
     CASE lower(trim(date_taken_source)) WHEN 'user_override' THEN 3.0 WHEN 'exif' THEN 2.0 ELSE 1.0 END
       * pow(0.5, greatest(0, coalesce(DATE '2026-01-01' - try_cast(updated_at AS TIMESTAMP)::DATE, 90)) / 90.0::DOUBLE) AS vote,
-    CASE WHEN NOT isnan(blur_score) AND blur_score >= 0 THEN round(blur_score, 1) END AS b,
+    CASE WHEN NOT isnan(blur_score) AND blur_score >= 0 THEN floor(blur_score * 10 + 0.5) / 10 END AS b,
     CASE WHEN file_size > 0 THEN file_size::DOUBLE END AS f,
-    CASE WHEN NOT isnan(ai_quality_score) AND ai_quality_score BETWEEN 0 AND 1 THEN round(ai_quality_score, 2) END AS q
+    CASE WHEN NOT isnan(ai_quality_score) AND ai_quality_score BETWEEN 0 AND 1 THEN floor(ai_quality_score * 100 + 0.5) / 100 END AS q
   FROM media_items WHERE trim(duplicate_group_id) <> '')
 , long AS (
   SELECT g, 'b' AS field, b AS v, vote, id FROM items WHERE b IS NOT NULL UNION ALL SELECT g, 'f', f, vote, id FROM items WHERE f IS NOT NULL
